@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import near_dup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_minhash_near_dedup": near_dup.op9}
+    return {
+        "op1_packing": packing.op1,
+        "op9_minhash_near_dedup": near_dup.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
