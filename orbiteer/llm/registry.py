@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing
+from . import near_dup, packing, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1,
+        "op2_substring_dedup": substring_dedup.op2,
         "op9_minhash_near_dedup": near_dup.op9,
     }
 
