@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, packing, substring_dedup
+from . import html_text, language_id, near_dup, packing, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1,
         "op2_substring_dedup": substring_dedup.op2,
+        "op3_html_text": html_text.op3,
         "op5_language_id": language_id.op5,
         "op9_minhash_near_dedup": near_dup.op9,
     }
