@@ -15,14 +15,17 @@ from .common import checkpoint, small, table
 from .components import connected_components
 
 #: Coordinates of a signature.
-COORDINATES = 64
-#: Coordinates that two signatures must share to be compared.  At a likeness of 0.8 fewer agree in 3 of a million pairs.
-MATCHES = 36
+COORDINATES = 48
+#: Coordinates that two signatures must share to be compared.  At a likeness of 0.8, fewer agree for 3 pairs in a million.
+MATCHES = 25
 #: Members of a group that one task compares with each other or with as many others.
 BLOCK = 256
 
+#: Sets of a posting list up to which its pairs are counted; those of a longer list are taken as one group.
+LIST = 128
+
 _FACTORS = np.random.default_rng(9).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SETS = "doc_id long, n_shingles long, set long, signature array<int>"
+_SETS = "doc_id long, n_shingles long, set long, signature array<int>, codes binary"
 
 
 def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -42,59 +45,56 @@ def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
 
-def _sign(length: int, coordinates: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys, signatures = [], [], []
-            for all_, first in shingle_sets(batch.column(1), length):
-                size = np.diff(first)
-                full = np.flatnonzero(size)
-                signature = np.zeros((len(size), coordinates), dtype=np.int32)
-                key = np.zeros(len(size), dtype=np.uint64)
-                if len(full):
-                    at = first[:-1][full]
-                    for i in range(coordinates):
-                        signature[full, i] = (np.minimum.reduceat(all_ * _FACTORS[i], at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    key[full] = np.add.reduceat(wordhash.mix(all_ + np.uint64(1)), at)
-                sizes.append(size)
-                keys.append(key)
-                signatures.append(signature)
-            if not sizes:
-                continue
-            signature = np.concatenate(signatures)
-            key = np.concatenate(keys).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signature) + 1, dtype=np.int32) * coordinates), pa.array(signature.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(key), lists], names=["doc_id", "n_shingles", "set", "signature"])
+def _keys(all_: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each row's set, 0 for an empty one."""
+    key = np.zeros(len(first) - 1, dtype=np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        key[full] = np.add.reduceat(wordhash.mix(all_ + np.uint64(1)), first[:-1][full])
+    return key.view(np.int64)
 
-    return run
+
+def _signatures(all_: np.ndarray, first: np.ndarray, coordinates: int) -> np.ndarray:
+    """The smallest hash of each row's set under each of ``coordinates`` hash functions, 0 for an empty set."""
+    out = np.zeros((len(first) - 1, coordinates), dtype=np.int32)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        at = first[:-1][full]
+        for i in range(coordinates):
+            out[full, i] = (np.minimum.reduceat(all_ * _FACTORS[i], at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
 
 
-def _with_sets(length: int):
+def _sign(length: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for all_, first in shingle_sets(batch.column(0), length):
-                key = np.zeros(len(first) - 1, dtype=np.uint64)
-                full = np.flatnonzero(np.diff(first))
-                if len(full):
-                    key[full] = np.add.reduceat(wordhash.mix(all_ + np.uint64(1)), first[:-1][full])
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(all_.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lists], names=["set", "shingles"])
+            at = 0
+            for all_, first in shingle_sets(batch.column(1), length):
+                n = len(first) - 1
+                signatures = _signatures(all_, first, coordinates)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * coordinates), pa.array(signatures.reshape(-1)))
+                codes = pa.array([row.tobytes() for row in signatures.astype(np.uint8)], pa.binary())
+                columns = [batch.column(0).slice(at, n), pa.array(np.diff(first)), pa.array(_keys(all_, first)), lists, codes]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set", "signature", "codes"])
+                at += n
 
     return run
 
 
-def _roots(percent: int, matches: int):
+def _roots(length: int, percent: int, coordinates: int, matches: int):
     """Of one block, or of two: joins members whose sets are alike, and returns each member with its group's root, the
     member whose signature is near to the most others.  Members that share ``comp`` are joined already."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("set").sort_values("set", ignore_index=True)
-        n = len(block)
-        signatures = np.stack(block["signature"].to_list())
-        sets = block["shingles"].to_list()
+        block = block.drop_duplicates(["set", "text"]).sort_values(["set", "text"], ignore_index=True)
+        made = [(all_[a:b], k, s) for all_, first in shingle_sets(pa.array(block["text"], pa.string()), length) for a, b, k, s in zip(first[:-1], first[1:], _keys(all_, first), _signatures(all_, first, coordinates), strict=True)]
+        # one row for each set; a row of another document with the same doc_id has another key
+        own = block["set"].to_numpy()
+        use = [i for i, x in enumerate(made) if x[1] == own[i] and (not i or own[i - 1] != own[i])]
+        own, sets, signatures = own[use], [made[i][0] for i in use], np.array([made[i][2] for i in use])
         sizes = np.array([len(s) for s in sets])
-        near = np.stack([(signatures == own).sum(axis=1, dtype=np.int16) for own in signatures])
-        group = np.unique(block["comp"].to_numpy(), return_inverse=True)[1]
+        near = np.array([(signatures == one).sum(axis=1, dtype=np.int16) for one in signatures])
+        group = np.unique(block["comp"].to_numpy()[use], return_inverse=True)[1]
         apart = np.triu(near >= matches, 1) & (group[:, None] != group[None, :])
         apart &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
         x, y = np.nonzero(apart)
@@ -107,12 +107,51 @@ def _roots(percent: int, matches: int):
         root: dict[int, int] = {}
         for i in np.argsort(-(near >= matches).sum(axis=1), kind="stable"):
             root.setdefault(group[i], i)
-        own = block["set"].to_numpy()
         return pd.DataFrame({"set": own, "root": own[[root[g] for g in group]]})
 
     return run
 
 
+def _near_in_lists(coordinates: int, matches: int):
+    """Of rows (set, token, codes) sorted by token: joins sets of a list that have ``matches`` equal codes, and returns
+    (a, b) for each set that is joined to another, b being the same for all that are joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def join(sets: np.ndarray, tokens: np.ndarray, codes: np.ndarray) -> None:
+            for k in range(1, LIST):
+                at = np.flatnonzero(tokens[k:] == tokens[:-k])
+                if not len(at):
+                    return
+                at = at[(codes[at] == codes[at + k]).sum(axis=1) >= matches]
+                for a, b in zip(sets[at].tolist(), sets[at + k].tolist(), strict=True):
+                    if (x := root(a)) != (y := root(b)):
+                        parent[max(x, y)] = min(x, y)
+
+        held = None
+        for batch in batches:
+            own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, coordinates)
+            held = own if held is None else tuple(map(np.concatenate, zip(held, own, strict=True)))
+            if len(held[0]):
+                cut = int(np.searchsorted(held[1], held[1][-1]))
+                join(*(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+        if held is not None:
+            join(*held)
+        roots = {x: root(x) for x in list(parent)}
+        rows = [(x, y) for x, y in roots.items() if x != y]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 10_000], strict=True)], names=["a", "b"])
+
+    return run
+
+
 def _part(n: str, block: int):
     """A block number for each member of a group of ``n``, about ``block`` to a number."""
     return F.pmod(F.xxhash64("set"), F.ceil(F.col(n) / block))
@@ -124,8 +163,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
 
     Method: every distinct set is posted once under each (coordinate, value) of its MinHash signature.  Values that
     only one set has are skipped.  Of what is left, two signatures that share ``matches`` coordinates share one of
-    each's rarest m - ``matches`` + 1 (m: its coordinates left), so only this prefix is merged.  Posting lists become
-    stars, never pairs; what the stars connect is a group, compared in blocks of ``block`` by whole sets: first each
+    each's rarest m - ``matches`` + 1 (m: its coordinates left), so only this prefix is merged.  A task counts the
+    matches of the sets that share a list and joins those with enough; of a list longer than ``LIST`` it joins all, as
+    a star.  What is joined is a group, compared in blocks of ``block`` by whole sets: first each
     block in itself, then the roots found, then the sets outside a group's largest component with all of the group.
     No pair of a group is dropped and none is sent out, only each member's root.
 
@@ -134,44 +174,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     kept.  Rows that repeat a doc_id count as documents of their own.  Further columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = checkpoint(docs.mapInArrow(_sign(shingle, coordinates), _SETS))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "signature")).alias("m"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "signature", "codes")).alias("m"))
     classes = checkpoint(classes.select("set", "m.*"))
 
     tokens = classes.select("set", F.posexplode("signature").alias("i", "value"))
     tokens = tokens.select("set", F.expr("shiftleft(bigint(i), 32) | (bigint(value) & 4294967295)").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     left = tokens.join(shared, "token").groupBy("set").agg(F.collect_list(F.struct("n", "token")).alias("t")).where(F.size("t") >= matches)
-    posts = checkpoint(left.select("set", F.explode(F.slice(F.array_sort("t"), F.lit(1), F.size("t") - (matches - 1))).alias("t")).select("set", "t.token"))
-    heads = posts.groupBy("token").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = posts.join(heads, "token").where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b"))
-    groups = checkpoint(connected_components(stars).select(F.col("node").alias("set"), F.col("component").alias("blob")))
+    posts = left.select("set", F.explode(F.slice(F.array_sort("t"), F.lit(1), F.size("t") - (matches - 1))).alias("t")).select("set", "t.token")
+    posts = checkpoint(posts)
+    heads = posts.groupBy("token").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = checkpoint(posts.join(heads, "token"))
+    stars = lists.where(F.col("n") > LIST).where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b"))
+    # a byte of each coordinate is enough to count matches: it adds some, and loses none
+    short = lists.where(F.col("n") <= LIST).select("set", "token").join(classes.select("set", "codes"), "set")
+    near = short.repartition("token").sortWithinPartitions("token").mapInArrow(_near_in_lists(coordinates, matches), "a long, b long")
+    groups = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("blob")))
 
     sizes = groups.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "blob").join(classes, "set")
-    wanted = checkpoint(members.select("doc_id"))
-    sets = docs.join(small(wanted), "doc_id", "left_semi").select("text").mapInArrow(_with_sets(shingle), "set long, shingles array<long>")
-    members = checkpoint(members.drop("doc_id").join(sets, "set"))
-
-    roots, kind = _roots(percent, matches), "set long, root long"
-    comps = members.withColumn("comp", F.col("set")).groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
+    members = checkpoint(groups.join(sizes, "blob").join(classes, "set").select("doc_id", "set", "blob", "n"))
+    roots, kind = _roots(shingle, percent, coordinates, matches), "set long, root long"
+    first = docs.join(small(members), "doc_id").withColumn("comp", F.col("set"))
+    comps = first.groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
     comps = checkpoint(comps.select("set", F.col("root").alias("comp")))
     large = members.where(F.col("n") > block)
     if not large.isEmpty():
-        comps = _across_blocks(large, comps, roots, kind, block)
+        comps = _across_blocks(docs, large, comps, roots, kind, block)
 
     label = classes.select("set", "doc_id").join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "comp").select("set", "component_id")
-    found = signed.drop("signature").join(label, "set", "left")
+    found = signed.drop("signature", "codes").join(label, "set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across_blocks(large: DataFrame, comps: DataFrame, roots, kind: str, block: int) -> DataFrame:
+def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, kind: str, block: int) -> DataFrame:
     """``comps`` (set, comp) after comparing members of different blocks of the ``large`` groups."""
-    tops = large.join(comps.select(F.col("comp").alias("set")).distinct(), "set").withColumn("comp", F.col("set"))
-    tops = tops.drop("n").join(tops.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), "blob")
-    again = tops.groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
+    tops = large.join(comps.select(F.col("comp").alias("set")).distinct(), "set").withColumn("comp", F.col("set")).drop("n")
+    tops = checkpoint(tops.join(tops.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), "blob"))
+    again = docs.join(small(tops), "doc_id").groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
     again = again.select(F.col("set").alias("comp"), "root")
     comps = checkpoint(comps.join(again, "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")))
 
@@ -179,22 +221,19 @@ def _across_blocks(large: DataFrame, comps: DataFrame, roots, kind: str, block:
     count = own.groupBy("blob", "comp").agg(F.count(F.lit(1)).alias("n"))
     count = count.groupBy("blob").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     own = own.join(count.select("blob", F.col("top.comp").alias("main"), F.col("top.n").alias("in_main"), (F.col("n") - F.col("top.n")).alias("outside")), "blob")
-    in_main, outside = F.ceil(F.col("in_main") / block), F.ceil(F.col("outside") / block)
     # a block of outsiders meets every block of the main component and every block of outsiders
-    at = F.when(F.col("comp") == F.col("main"), _part("in_main", block)).otherwise(_part("outside", block))
-    own = own.withColumns({"at": at, "inside": F.col("comp") == F.col("main")})
-    pairs = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), outside - 1), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(True).alias("to_main"))))
-    pairs = pairs.otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), in_main - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(True).alias("to_main"))),
-            F.transform(F.sequence(F.lit(0), outside - 1), lambda j: F.struct(F.least(F.col("at"), j).alias("i"), F.greatest(F.col("at"), j).alias("j"), F.lit(False).alias("to_main"))),
-        )
-    )
-    pairs = own.select("set", "blob", "comp", "signature", "shingles", F.explode(pairs).alias("p"))
-    links = checkpoint(pairs.groupBy("blob", "p").applyInPandas(roots, kind)).where("set <> root")
-    first = comps.select(F.col("set"), F.col("comp").alias("a"))
+    inside, main_blocks, other_blocks = F.col("comp") == F.col("main"), F.ceil(F.col("in_main") / block), F.ceil(F.col("outside") / block)
+    own = own.withColumn("at", F.when(inside, _part("in_main", block)).otherwise(_part("outside", block)))
+    outer, to_main, at = F.sequence(F.lit(0).cast("long"), other_blocks - 1), F.lit(True).alias("to_main"), F.col("at")
+    with_outer = F.transform(outer, lambda i: F.struct(i.alias("i"), at.alias("j"), to_main))
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), main_blocks - 1), lambda j: F.struct(at.alias("i"), j.alias("j"), to_main))
+    among = F.transform(outer, lambda j: F.struct(F.least(at, j).alias("i"), F.greatest(at, j).alias("j"), F.lit(False).alias("to_main")))
+    pairs = own.select("doc_id", "set", "blob", "comp", F.explode(F.when(inside, with_outer).otherwise(F.concat(with_main, among))).alias("p"))
+    links = docs.join(small(checkpoint(pairs)), "doc_id").groupBy("blob", "p").applyInPandas(roots, kind)
+    links = checkpoint(links.where("set <> root").distinct())
+    first = comps.select("set", F.col("comp").alias("a"))
     second = comps.select(F.col("set").alias("root"), F.col("comp").alias("b"))
-    edges = links.distinct().join(first, "set").join(second, "root").where("a <> b").select("a", "b")
+    edges = links.join(first, "set").join(second, "root").where("a <> b").select("a", "b")
     merged = connected_components(edges).select(F.col("node").alias("comp"), F.col("component").alias("to"))
     return checkpoint(comps.join(merged, "comp", "left").select("set", F.coalesce("to", "comp").alias("comp")))
 
