@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, near_dup, packing, substring_dedup
+from . import html_text, language_id, near_dup, packing, substring_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": html_text.op3,
         "op5_language_id": language_id.op5,
         "op9_minhash_near_dedup": near_dup.op9,
+        "op10_topk_search": topk.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk_search": topk.OP10_SQL}
