@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, near_dup, packing, substring_dedup, topk
+from . import html_text, language_id, near_dup, packing, simhash, substring_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2,
         "op3_html_text": html_text.op3,
         "op5_language_id": language_id.op5,
+        "op6_simhash": simhash.op6,
+        "simhash_search": simhash.simhash_search,
         "op9_minhash_near_dedup": near_dup.op9,
         "op10_topk_search": topk.op10,
     }
