@@ -22,8 +22,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces shorter than a window that are packed together; a task with more packs several such lots.
 LOT = 200_000
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers, in about 200 bytes each.
+REMEMBERED = 1_500_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,6 +87,8 @@ class Ids:
 
     plain = bytes([0x0A, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
     piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: Full stops and commas, other punctuation, the rest.
+    kinds = bytes(ord("p") if c in b".," else ord("q") if 0x21 <= c < 0x7F and not chr(c).isalnum() else ord("a") for c in range(256))
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -103,32 +105,42 @@ class Ids:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, parts: list[str]) -> None:
-        split = [self.piece.findall(x) for x in parts]
-        new = set().union(*split).difference(self.pieces)
-        if len(self.pieces) + len(new) > 2 * REMEMBERED:
-            self.pieces, new = {}, set().union(*split)
-        new = list(new)
+        whole, mixed, split = [], [], []
+        for part in parts:
+            if part.isalpha():
+                whole.append(part)
+            else:
+                mixed.append(part)
+                split.append(self.piece.findall(part))
+        new = list(set().union(*split).difference(self.known, whole))
+        new += whole
         ids = self.encoded(" ".join(new))
-        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        data = ids.tobytes()
-        self.pieces.update(zip(new, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        look = self.pieces.__getitem__
-        self.known.update((x, look(y[0]) if len(y) == 1 else b"".join(map(look, y))) for x, y in zip(parts, split, strict=True))
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        self.known.update(zip(new, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        look = self.known.__getitem__
+        self.known.update(zip(mixed, [b"".join(map(look, y)) for y in split], strict=True))
+
+    def parts(self, text: str) -> list[str] | None:
+        """What stands between blanks in a plain text, in lower case; full stops and commas stand by themselves where
+        none touches other punctuation, with which it would be one piece."""
+        try:
+            raw = text.encode("latin-1") if self.split else b"\0"
+        except UnicodeEncodeError:
+            return None
+        if raw.translate(None, self.plain):
+            return None
+        kinds, text = raw.translate(self.kinds), text.lower().replace("\n", " ")
+        if not (b"pp" in kinds or b"pq" in kinds or b"qp" in kinds):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for text in texts:
-            try:
-                plain = self.split and not text.encode("latin-1").translate(None, self.plain)
-            except UnicodeEncodeError:
-                plain = False
-            parts.append(text.lower().replace("\n", " ").split(" ") if plain else None)
+        parts = [self.parts(text) for text in texts]
         new = set().union(*filter(None, parts)).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, set().union(*filter(None, parts))
@@ -161,7 +173,7 @@ def _packed(window: int, vocabulary: str, end_id: int):
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b, _, _ in slices(texts):
+            for a, b, _, _ in slices(texts, 1 << 22):
                 full = []
                 for doc, found in zip(doc_ids[a:b], ids([t or "" for t in texts.slice(a, b - a).to_pylist()]), strict=True):
                     found += end
