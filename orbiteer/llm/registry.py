@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, near_dup, packing, simhash, substring_dedup, topk
+from . import html_text, language_id, mixing, near_dup, packing, simhash, substring_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1,
         "op2_substring_dedup": substring_dedup.op2,
         "op3_html_text": html_text.op3,
+        "op4_mixing": mixing.op4,
         "op5_language_id": language_id.op5,
         "op6_simhash": simhash.op6,
         "simhash_search": simhash.simhash_search,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk_search": topk.OP10_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op10_topk_search": topk.OP10_SQL}
