@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, mixing, near_dup, packing, simhash, substring_dedup, topk
+from . import html_text, language_id, line_dedup, mixing, near_dup, packing, simhash, substring_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5,
         "op6_simhash": simhash.op6,
         "simhash_search": simhash.simhash_search,
+        "op7_line_dedup": line_dedup.op7,
         "op9_minhash_near_dedup": near_dup.op9,
         "op10_topk_search": topk.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op10_topk_search": topk.OP10_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_topk_search": topk.OP10_SQL}
