@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, line_dedup, mixing, near_dup, packing, simhash, substring_dedup, topk
+from . import html_text, language_id, line_dedup, mixing, near_dup, packing, pii, simhash, substring_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash.op6,
         "simhash_search": simhash.simhash_search,
         "op7_line_dedup": line_dedup.op7,
+        "op8_pii": pii.op8,
         "op9_minhash_near_dedup": near_dup.op9,
         "op10_topk_search": topk.op10,
     }
