@@ -1,8 +1,69 @@
-"""A training corpus from ``documents``, in stages."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again by the next."""
 
-STAGES = []
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbiteer.llm.common import checkpoint, shared_folder, small, table
+from orbiteer.llm.language_id import UNDETERMINED, identify, train
+from orbiteer.llm.line_dedup import drop_boilerplate
+from orbiteer.llm.mixing import mix
+from orbiteer.llm.near_dup import near_duplicates
+from orbiteer.llm.packing import pack
+
+#: A document whose best language has a lower probability than this is rejected.
+LEAST_SCORE = 0.4
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages that the labelled ones teach; those without letters go."""
+    found = identify(docs, train(docs))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of their source share; n_chars follows the text."""
+    cut = drop_boilerplate(docs)
+    columns = [F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return cut.select(columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    gone = checkpoint(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document, each a row, as the mix takes."""
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("mix_copy")
+    return mix(docs).select(*docs.columns, copies).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", by_language),
+    ("line_dedup", without_boilerplate),
+    ("near_dedup", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: A recurrent network and MinHash groups aren't SQL; tests/llm/test_pipeline.py has a plain version of the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage for the documents of ``sf_dir``."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

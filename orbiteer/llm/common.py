@@ -18,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in a local test, is a
-    temporary folder used."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or, only where that is unset,
+    as in a local test, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="orbiteer-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbiteer-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -198,7 +198,7 @@ def train(docs: DataFrame, learn_docs: int = LEARN_DOCS, stretches: int = LEARN_
 def _predict(model: ByteGru | None, steps: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(batch.schema.get_field_index("text"))
             found, scores = [], []
             for a, b, data, offsets in slices(texts, 1 << 19):
                 if model is not None:
@@ -223,7 +223,7 @@ def _predict(model: ByteGru | None, steps: int):
 
 
 def identify(docs: DataFrame, model: ByteGru | None, steps: int = STEPS) -> DataFrame:
-    """``docs`` (key column first, text second, any others) with lang_pred and score.
+    """``docs`` (text and any others) with lang_pred and score.
 
     Every byte of a text gets probabilities from the states of both directions; their mean over the whole text gives
     lang_pred and its score.  A text that is null or has no letter gets ``und`` and 0, as does any without a model."""
