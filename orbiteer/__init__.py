@@ -1,0 +1 @@
+"""Validation of thermospheric density models against satellite observations, as Spark plans."""
