@@ -230,9 +230,12 @@ def _space_weather(spark, d):
     return days.withColumns({"F107_DATA_TYPE": F.lit("OBS"), "YEAR": F.year("date"), "MONTH": F.month("date"), "DAY": F.dayofmonth("date")})
 
 
-@query(f"""WITH {_DAYS} SELECT day AS date, round(CASE WHEN flux > 400 THEN mean ELSE flux END, 2) AS F107_OBS, round(mean, 2) AS F107_OBS_CENTER81, CASE WHEN flux > 400 THEN 'INT' ELSE 'OBS' END AS F107_DATA_TYPE FROM means""")
+@query(f"""WITH {_DAYS} SELECT day AS date, CASE WHEN flux > 400 THEN round(mean, 2) ELSE round(flux, 5) END AS F107_OBS, round(mean, 2) AS F107_OBS_CENTER81, CASE WHEN flux > 400 THEN 'INT' ELSE 'OBS' END AS F107_DATA_TYPE FROM means""")
 def high_flux_replace(spark, d):
-    return rounded(weather.replace_high_flux(_space_weather(spark, d)).select("date", "F107_OBS", "F107_OBS_CENTER81", "F107_DATA_TYPE"), 2)
+    fixed = weather.replace_high_flux(_space_weather(spark, d)).select("date", "F107_OBS", "F107_OBS_CENTER81", "F107_DATA_TYPE")
+    # totals have five decimals, means of them any number
+    shown = F.when(F.col("F107_DATA_TYPE") == "INT", F.round("F107_OBS", 2)).otherwise(F.round("F107_OBS", 5))
+    return fixed.withColumns({"F107_OBS": shown, "F107_OBS_CENTER81": F.round("F107_OBS_CENTER81", 2)})
 
 
 @query(f"WITH {_DAYS} SELECT count(*) FILTER (WHERE flux > 400) AS high, bool_or(flux > 400) AS any_high FROM means")
@@ -257,14 +260,14 @@ def hour_dedupe_lookup(spark, d):
     return rounded(weather.lookup_by_hour(read(spark, d, "events").select("event_id", "ts"), lookup, "ts").select("event_id", "hour_of", "flux"))
 
 
-@query(f"""WITH {_DAYS} SELECT l_orderkey, l_linenumber, round(a.flux, 2) AS f107, round(b.mean, 2) AS f107a FROM lineitem
+@query(f"""WITH {_DAYS} SELECT l_orderkey, l_linenumber, round(a.flux, 5) AS f107, round(b.mean, 2) AS f107a FROM lineitem
 LEFT JOIN means a ON a.day = CAST(l_shipdate AS DATE) - 1 LEFT JOIN means b ON b.day = CAST(l_shipdate AS DATE)""")
 def weather_lookup_daily(spark, d):
     daily = _space_weather(spark, d)
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     rows = weather.attach_daily(rows, daily.select("date", F.col("F107_OBS").alias("f107")), "l_shipdate", lag_days=1)
     rows = weather.attach_daily(rows, daily.select("date", F.col("F107_OBS_CENTER81").alias("f107a")), "l_shipdate")
-    return rounded(rows.drop("l_shipdate"), 2)
+    return rows.drop("l_shipdate").withColumns({"f107": F.round("f107", 5), "f107a": F.round("f107a", 2)})
 
 
 _AP = ", ".join(f"{i + 1} * 1.5 + day(day) AS AP{i + 1}" for i in range(8))
