@@ -20,7 +20,7 @@ WINDOW = 50
 #: any two positions reach the cover together within a period.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Rows that a task gathers before it merges those of equal hash and sends them out.
-LOT = 1_500_000
+LOT = 600_000
 
 _ROWS = "key long, doc_id long, tag int, start int, stop int, known boolean"
 _NAMES = ["key", "doc_id", "tag", "start", "stop", "known"]
@@ -40,23 +40,23 @@ def _batch(key, doc, tag, start, stop, known) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(known, pa.bool_())], names=_NAMES)
 
 
-def _joined(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of one length, with those of a document that touch or overlap made one."""
+def _joined(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
+    """Spans of one length, with those of a document that overlap or are at most ``gap`` apart made one."""
     order = np.lexsort((start, tag, doc))
     doc, tag, start, stop = doc[order], tag[order], start[order], stop[order]
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > stop[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], tag[first], start[first], stop[np.append(first[1:], len(doc))[: len(first)] - 1] if len(first) else stop
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > stop[:-1] + gap)
+    first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)[: len(new)])
+    return doc[first], tag[first], start[first], stop[last]
 
 
 class _Lots:
     """Gathers (hash, document, span) rows and merges those of equal hash before they are shuffled.  ``later``: what
-    counts is that a smaller doc_id has the hash; else, that another has it.  What is certain within the lot is sent
+    counts is that a smaller doc_id has the hash; else, that another has it.  ``gap``: how far apart spans may be joined.  What is certain within the lot is sent
     as known, dealt by document; of the rest goes what other tasks must see, at most the rows of one document a hash."""
 
-    def __init__(self, later: bool):
-        self.later, self.rows, self.n = later, [], 0
+    def __init__(self, later: bool, gap: int = 0):
+        self.later, self.gap, self.rows, self.n = later, gap, [], 0
 
     def add(self, *row: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.rows.append(row)
@@ -69,7 +69,7 @@ class _Lots:
             return
         key, doc, tag, start, stop = (np.concatenate(x) for x in zip(*self.rows, strict=True))
         self.rows, self.n = [], 0
-        order = np.lexsort((doc, key))
+        order = np.lexsort((start, doc, key))
         key, doc, tag, start, stop = key[order], doc[order], tag[order], start[order], stop[order]
         first, of = _groups(key)
         least, most = doc[first], doc[np.append(first[1:], len(key)) - 1]
@@ -82,10 +82,15 @@ class _Lots:
             if n:
                 zero = np.zeros(n, dtype=np.int32)
                 yield _batch(key[first][both], least[both], zero, zero, zero, np.zeros(n, dtype=bool))
-        rest = ~sure
-        yield _batch(key[rest], doc[rest], tag[rest], start[rest], stop[rest], np.zeros(int(rest.sum()), dtype=bool))
+        # a text that repeats a few words has the same hash at place after place: one row
+        rest = np.flatnonzero(~sure)
+        k, d, g, a, b = key[rest], doc[rest], tag[rest], start[rest], stop[rest]
+        new = np.ones(len(rest), dtype=bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (a[1:] > b[:-1] + self.gap)
+        first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)[: len(new)])
+        yield _batch(k[first], d[first], g[first], a[first], b[last], np.zeros(len(first), dtype=bool))
         if sure.any():
-            spans = _joined(doc[sure], tag[sure], start[sure], stop[sure])
+            spans = _joined(doc[sure], tag[sure], start[sure], stop[sure], self.gap)
             yield _batch(wordhash.mix(spans[0].astype(np.uint64)).view(np.int64), *spans, np.ones(len(spans[0]), dtype=bool))
 
 
@@ -122,7 +127,8 @@ def _anchors(window: int, period: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lots = _Lots(later=True)
+        # windows that start within a window of each other cover all words between them
+        lots = _Lots(later=True, gap=window - 1)
         for batch in batches:
             docs, tags, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for a, b, data, offsets in wordhash.slices(batch.column(2)):
