@@ -120,6 +120,8 @@ def blocks(html: str) -> list[Block]:
 
 def features(page: list[Block]) -> Iterator[tuple[float, ...]]:
     """Of each block: words, link density, those two of the block before and after, and three marks of its place."""
+    if not page:
+        return
     none = Block("", 0, 0.0, False, False, False)
     for before, own, after in zip([none, *page[:-1]], page, [*page[1:], none], strict=True):
         yield own.words, own.linked, before.words, before.linked, after.words, after.linked, own.other, own.article, own.heading
