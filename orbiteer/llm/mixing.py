@@ -88,8 +88,12 @@ def _plan(sizes: DataFrame, weights: Sequence[int], most: int, seed: int) -> tup
         return F.struct((state["room"] - F.when(fits, need).otherwise(F.lit(0))).alias("room"), F.concat(state["took"], F.array(fits)).alias("took"))
 
     start = F.struct(F.col("room").cast("long").alias("room"), F.array().cast("array<boolean>").alias("took"))
-    near = near.withColumn("took", F.aggregate("rows", start, take)["took"]).select("source", F.explode(F.arrays_zip("rows", "took")).alias("x"))
-    chosen = checkpoint(near.where("x.took").select("source", "x.rows.doc_id", "x.rows.size"))
+    near = near.withColumn("end", F.aggregate("rows", start, take))
+    # of the others, the one whose whole size comes nearest to the room left, if it comes nearer than none
+    over = F.transform(F.arrays_zip("rows", F.col("end.took").alias("took")), lambda x, i: F.named_struct(F.lit("off"), F.abs(x["rows"]["size"] * x["rows"]["n"] - F.col("end.room")), F.lit("i"), i, F.lit("took"), x["took"]))
+    last = F.array_min(F.filter(over, lambda x: ~x["took"] & (x["off"] < F.col("end.room"))))["i"]
+    near = near.select("source", last.alias("last"), F.posexplode(F.arrays_zip("rows", F.col("end.took").alias("took"))).alias("i", "x"))
+    chosen = checkpoint(near.where(F.col("x.took") | (F.col("i") == F.col("last"))).select("source", "x.rows.doc_id", "x.rows.size"))
     return known, chosen
 
 
@@ -111,10 +115,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     source takes the whole part of target over size as certain copies of all its documents.  One more copy goes to a
     fixed-size sample: documents in order of random odds over inclusion odds, as long as their sizes fit into what the
     target leaves.  The order is cut into slices of about 256 documents; slices before the limit are taken whole, by
-    sums; in the two at the limit, a document that doesn't fit is left out and later ones may follow.
+    sums; in the two at the limit, a document that doesn't fit is left out and later ones may follow; one of those left out may
+    end it, if the target is then missed by less.
 
     Nothing depends on partitions: reruns agree.  A null source is a source.  Rows that repeat a doc_id in a source have
-    one key, and if alike in size are taken both or not at all.  An empty table gives no row."""
+    one key, and if alike in size are taken both or not at all.  An empty table gives no row.
+    Columns of the added names are replaced."""
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     size = n_words(F.col("text"))
     sizes = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")))
     known, chosen = _plan(sizes, weights, most, seed)
@@ -176,8 +183,13 @@ f AS (
   UNION ALL
   SELECT o.source, o.doc_id, o.n, o.size <= g.here, g.here - CASE WHEN o.size <= g.here THEN o.size ELSE 0 END
   FROM g JOIN o ON o.source IS NOT DISTINCT FROM g.source AND o.n = g.n + 1
+), z AS (SELECT source, arg_max(here, n) AS here FROM g GROUP BY source),
+m AS (
+  SELECT o.source, arg_min(o.n, abs(o.size - z.here) * 1000000 + o.n) AS n FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.n = g.n
+  JOIN z ON o.source IS NOT DISTINCT FROM z.source WHERE NOT g.took AND abs(o.size - z.here) < z.here GROUP BY o.source
 )
 SELECT f.doc_id, f.size, f.source_size, f.target,
-       (f.size * (f.copies + CASE WHEN f.slice < f.edge AND f.odds > 0 OR coalesce(g.took, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (f.size * (f.copies + CASE WHEN f.slice < f.edge AND f.odds > 0 OR coalesce(g.took OR g.n = m.n, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM f LEFT JOIN g ON f.source IS NOT DISTINCT FROM g.source AND f.doc_id IS NOT DISTINCT FROM g.doc_id
+LEFT JOIN m ON f.source IS NOT DISTINCT FROM m.source
 """
