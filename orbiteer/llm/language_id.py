@@ -226,7 +226,9 @@ def identify(docs: DataFrame, model: ByteGru | None, steps: int = STEPS) -> Data
     """``docs`` (text and any others) with lang_pred and score.
 
     Every byte of a text gets probabilities from the states of both directions; their mean over the whole text gives
-    lang_pred and its score.  A text that is null or has no letter gets ``und`` and 0, as does any without a model."""
+    lang_pred and its score.  A text that is null or has no letter gets ``und`` and 0, as does any without a model.
+    Each row is taken by itself, so repeated rows get the same.  Columns of the added names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_predict(model, steps), f"{kinds}, lang_pred string, score double")
 

@@ -31,7 +31,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
 
     Lines end at line feeds and are compared as they are; empty ones stay.  Lines that are left keep their order.  A
     null text stays null, with 0 lines, and isn't a page.  A null host is a host.  Repeated rows are pages of their
-    own.  A page of which all lines go has an empty text."""
+    own.  A page of which all lines go has an empty text.  Columns of
+    the added names are replaced."""
+    docs = docs.drop("n_lines", "n_dropped")
     common = boilerplate(docs, host, ratio, least_pages).select(F.struct("host", "lines").alias("_common"))
     lines = F.split("text", "\n", -1)
     bad = F.coalesce(F.col("_common.lines"), F.array().cast("array<bigint>"))

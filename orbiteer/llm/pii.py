@@ -194,7 +194,9 @@ def pseudonymise(docs: DataFrame, key: str = "orbiteer") -> DataFrame:
     with each other or with real entities are made anew, so different entities stay different.
 
     Only documents with a match are joined; all others pass as they are.  A null text stays null.  Rows that repeat a
-    doc_id, or have none, are each replaced.  An empty table gives no row."""
+    doc_id, or have none, are each replaced.  An empty table gives no row.
+    A column n_replaced is replaced."""
+    docs = docs.drop("n_replaced")
     text = F.coalesce(F.col("text"), F.lit(""))
     every = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     found = checkpoint(docs.select("doc_id", F.array_distinct(every).alias("raws")).where(F.size("raws") > 0))
