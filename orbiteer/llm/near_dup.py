@@ -201,9 +201,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     if not large.isEmpty():
         comps = _across_blocks(docs, large, comps, roots, kind, block)
 
-    label = classes.select("set", "doc_id").join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "comp").select("set", "component_id")
+    joined = classes.select("set", "doc_id").join(comps, "set")
+    least = checkpoint(joined.groupBy("comp").agg(F.min("doc_id").alias("least")))
+    least = checkpoint(joined.join(least, "comp").select("set", "least"))
+    label = checkpoint(classes.select("set", "doc_id").join(least, "set", "left").select("set", F.coalesce("least", "doc_id").alias("component_id")))
     found = signed.drop("signature", "codes").join(label, "set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
