@@ -77,7 +77,7 @@ def _plan(sizes: DataFrame, weights: Sequence[int], most: int, seed: int) -> tup
     # a source without such a slice takes all that it can
     known = checkpoint(known.select("a.*", F.coalesce("b.slice", "a.slices").alias("limit"), F.coalesce("b.before", F.lit(0)).alias("before")))
 
-    near = ranked.alias("a").join(small(known).alias("b"), _same_source("a", "b") & F.col("a.slice").between(F.col("b.limit"), F.col("b.limit") + 1))
+    near = ranked.alias("a").join(small(known).alias("b"), _same_source("a", "b") & (F.col("b.odds") > 0) & F.col("a.slice").between(F.col("b.limit"), F.col("b.limit") + 1))
     near = near.groupBy("a.source", "a.doc_id", "a.size", "a.key", (F.col("b.left") - F.col("b.before")).alias("room")).agg(F.count(F.lit(1)).alias("n"))
     order = F.array_sort(F.collect_list(F.struct("key", "doc_id", "size", "n"))).alias("rows")
     near = near.groupBy("source", "room").agg(order)
