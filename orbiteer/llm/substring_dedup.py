@@ -188,9 +188,13 @@ def _merge(later: bool):
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [(t or "").encode().split() for t in batch.column(2).to_pylist()]
-        shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "tag", "n_words", "sha"])
+        counts, shas = [], []
+        # one text at a time: the words of a whole batch take ten times its bytes
+        for text in batch.column(2):
+            words = (text.as_py() or "").encode().split()
+            counts.append(len(words))
+            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "tag", "n_words", "sha"])
 
 
 def _cut(window: int):
