@@ -23,7 +23,7 @@ END_ID = 1
 #: Pieces shorter than a window that are packed together; a task with more packs several such lots.
 LOT = 200_000
 #: Words whose ids a Python worker remembers, in about 200 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
