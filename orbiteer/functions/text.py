@@ -64,6 +64,11 @@ def in_months(name: Column, start: int | None, end: int | None) -> Column:
     return ym.isNull() | inside
 
 
+def answer_parts(line: Column) -> Column:
+    """The code, content type and address in what a fetch reports of its answer, as up to three strings."""
+    return F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+", 3)
+
+
 def shortened(error: Column, most: int = 240) -> Column:
     return F.substring(error, 1, most)
 

@@ -12,6 +12,7 @@ from ..functions.time import BUCKETS
 from ..operators.binstats import figure_bins, metric_columns, mission_summary, with_bins, with_midpoint
 from ..operators.filters import mission_filter
 from ..operators.ratios import with_mission
+from ..schemas import ALTITUDE
 from ..sources.tables import scan
 
 #: Aliases of the metrics in the figure, and those that may be missing.
@@ -29,6 +30,15 @@ def figure_data(missions: Mapping[str, DataFrame], mode: str = "uncertainty_of_m
     return points.orderBy("mission", "bucket", "seasonal_bin"), labels
 
 
+def sample_observations(spark: SparkSession, n: int = 5_000, start: str = "2003-01-01", hours: int = 8_760, seed: int = 42) -> DataFrame:
+    """Made-up observations to try the figure on: ``n`` hours, drawn with replacement from ``hours`` in a row, with flux,
+    altitude and log ratios that follow the season."""
+    at = F.expr(f"timestamp_ntz '{start}'") + F.make_interval(hours=F.floor(F.rand(seed) * hours).cast("int"))
+    season = F.sin(F.dayofyear("timestamp") * 0.0172)
+    rows = spark.range(n).select(at.alias("timestamp"), (70 + 150 * F.rand(seed + 1)).alias("f107a"), (3e5 + 1e5 * F.rand(seed + 2)).alias(ALTITUDE))
+    return rows.withColumns({RATIOS["msis_00"]: 0.1 * season + 0.05 * F.randn(seed + 3), RATIOS["msis_20"]: 0.08 * season + 0.05 * F.randn(seed + 4)})
+
+
 def draw(points: DataFrame, labels: DataFrame, path: str, title: str | None = None) -> None:
     """Draws the figure to a file; needs matplotlib.  At most 12 points for each panel come to the driver."""
     import matplotlib

@@ -83,6 +83,7 @@ def test_names(spark):
     assert one(X.strip_suffix(F.lit("CH_merged"), "_merged")) == "CH" and one(X.archive_code(F.lit("den_201202.txt"))) == "HASDM_2012"
     with pytest.raises(Exception, match="no year"):
         one(X.archive_code(F.lit("den.txt")))
+    assert one(X.answer_parts(F.lit(" 200 text/plain; x http://a"))) == ["200", "text/plain;", "x http://a"]
     label = X.row_label(F.col("n"), F.lit(300400.0), F.lit(499600.0), F.lit("2001-05-01").cast("timestamp_ntz"), F.lit("2009-01-01").cast("timestamp_ntz"))
     assert [r[0] for r in spark.createDataFrame([("A",), ("B 1-2 km, x",)], "n string").select(label).collect()] == ["A 300-500 km, 2001-2009", "B 1-2 km, x"]
 
@@ -297,6 +298,13 @@ def test_figure_and_report(spark, tmp_path):
     assert stats.main([f"CHAMP={tmp_path}/t", "--metric", "ln_density_ratio_0"]) == 0
 
 
+def test_sample_observations(spark):
+    rows = figure.sample_observations(spark, 500)
+    points, labels = figure.figure_data({"demo": rows})
+    assert points.agg(F.sum("count")).first()[0] > 0 and labels.first().label == "demo 300-400 km, 2003-2003"
+    assert rows.count() == 500 and rows.where("timestamp < timestamp_ntz '2003-01-01' or timestamp >= timestamp_ntz '2004-01-01'").count() == 0
+
+
 def test_row_groups(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
