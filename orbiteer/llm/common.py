@@ -36,7 +36,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpoint``, but a table of Parquet.  For loops: what Spark infers of a checkpointed plan's columns is kept
-    with it and grows from turn to turn; of a table it knows nothing."""
+    with it and grows from turn to turn; of a table it knows nothing.  Its files stay, as checkpoints do, until the
+    folder is cleared."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

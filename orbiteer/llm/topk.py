@@ -155,7 +155,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, block:
     kind, run = "query_id long, vec_id long, score long", _in_shard(k, leaf)
     least = F.lit(NO_SCORE).cast("long")
 
-    at_home = candidates.join(F.broadcast(queries.select("block", F.col("home").alias("shard")).distinct()), "shard")
+    # block b is at home in shard b modulo the number of shards
+    at_home = candidates.where(F.col("shard") < blocks).withColumn("block", F.explode(F.sequence(F.col("shard"), F.lit(blocks - 1), F.lit(shards))))
     at_home = at_home.toDF(*at_home.columns)
     first = queries.withColumn("floor", least).groupBy("home", "block").cogroup(at_home.groupBy("shard", "block")).applyInPandas(run, kind)
     first = checkpoint(first)
