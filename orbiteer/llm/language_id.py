@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .wordhash import slices
 
 #: Bytes of one sequence; a text is cut into such, each read from both sides.
@@ -219,7 +219,7 @@ def _predict(model: ByteGru | None, steps: int):
             rest = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, model: ByteGru | None, steps: int = STEPS) -> DataFrame:

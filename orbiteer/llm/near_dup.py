@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpoint, small, table
+from .common import checkpoint, small, table, tidy
 from .components import connected_components
 
 #: Coordinates of a signature.
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     with nothing: component_id is its own doc_id.  A row with a null doc_id is returned with a null component_id and
     kept.  Rows that repeat a doc_id count as documents of their own.  Further columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = checkpoint(docs.mapInArrow(_sign(shingle, coordinates), _SETS))
+    signed = checkpoint(docs.mapInArrow(tidy(_sign(shingle, coordinates)), _SETS))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "signature", "codes")).alias("m"))
     classes = checkpoint(classes.select("set", "m.*"))
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     stars = lists.where(F.col("n") > LIST).where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b"))
     # a byte of each coordinate is enough to count matches: it adds some, and loses none
     short = lists.where(F.col("n") <= LIST).select("set", "token").join(classes.select("set", "codes"), "set")
-    near = short.repartition("token").sortWithinPartitions("token").mapInArrow(_near_in_lists(coordinates, matches), "a long, b long")
+    near = short.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(_near_in_lists(coordinates, matches)), "a long, b long")
     groups = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("blob")))
 
     sizes = groups.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 from .wordhash import slices
 
 WINDOW = 2048
@@ -23,7 +23,7 @@ END_ID = 1
 #: Pieces shorter than a window that are packed together; a task with more packs several such lots.
 LOT = 200_000
 #: Words whose ids a Python worker remembers, in about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -173,7 +173,7 @@ def _packed(window: int, vocabulary: str, end_id: int):
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b, _, _ in slices(texts, 1 << 22):
+            for a, b, _, _ in slices(texts, 1 << 21):
                 full = []
                 for doc, found in zip(doc_ids[a:b], ids([t or "" for t in texts.slice(a, b - a).to_pylist()]), strict=True):
                     found += end
@@ -194,7 +194,7 @@ def _packed(window: int, vocabulary: str, end_id: int):
         if short:
             yield lot()
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:

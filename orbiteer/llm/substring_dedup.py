@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpoint, small, table
+from .common import checkpoint, small, table, tidy
 
 WINDOW = 50
 #: Anchors start at positions that are, modulo the period, in the cover.  Fixed values: a perfect difference set, so
@@ -215,7 +215,7 @@ def _cut(window: int):
 
 
 def _flagged(rows: DataFrame, later: bool) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_merge(later), _SPANS)
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidy(_merge(later)), _SPANS)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> tuple[DataFrame, DataFrame]:
@@ -226,11 +226,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
     positions are in the cover, so both have an anchor of ``window`` - ``period`` + 1 words there.  Hashes of anchors
     tell which windows may repeat; these alone are hashed whole, and the smallest doc_id of each hash keeps it."""
     keyed = docs.where("doc_id is not null")
-    anchors = keyed.select("doc_id", "text").mapInArrow(_anchors(window, period), _ROWS)
+    anchors = keyed.select("doc_id", "text").mapInArrow(tidy(_anchors(window, period)), _ROWS)
     spans = _flagged(anchors, later=False).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
     spans = checkpoint(spans)
     shared = keyed.join(small(spans.select("doc_id")), "doc_id", "left_semi").repartition("doc_id")
-    windows = shared.join(spans, "doc_id").select("doc_id", "tag", "text", "spans").mapInArrow(_windows(window), _ROWS)
+    windows = shared.join(spans, "doc_id").select("doc_id", "tag", "text", "spans").mapInArrow(tidy(_windows(window)), _ROWS)
     return shared, _flagged(windows, later=True)
 
 
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text")
-    whole = docs.mapInArrow(_whole, "doc_id long, tag int, n_words long, sha string")
+    whole = docs.mapInArrow(tidy(_whole), "doc_id long, tag int, n_words long, sha string")
     cut = remove_repeats(docs).select("doc_id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha")).distinct()
     found = whole.join(cut, ["doc_id", "tag"], "left")
     return found.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
