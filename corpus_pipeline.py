@@ -25,8 +25,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of their source share; n_chars follows the text."""
-    cut = drop_boilerplate(docs)
+    """Documents without the lines that many of their source share; n_chars follows the text.
+
+    Copies of one text count as one page here: the next stage is to find one of them whole."""
+    cut = drop_boilerplate(docs, different=True)
     columns = [F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cut.select(columns)
 

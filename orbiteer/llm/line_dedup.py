@@ -11,13 +11,29 @@ from .common import checkpoint, small, table
 RATIO, LEAST_PAGES = 0.05, 3
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def different_pages(pages: DataFrame) -> DataFrame:
+    """One row for each different text of a host, of ``pages`` (host, text).
+
+    Texts are compared by hash.  Only those that repeat are shuffled, one of each task."""
+    hashed = pages.withColumn("hash", F.xxhash64("text"))
+    again = checkpoint(hashed.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if again.isEmpty():
+        return pages
+    again, same = small(again).alias("a"), F.expr("p.hash = a.hash and p.host <=> a.host")
+    once = hashed.alias("p").join(again, same, "left_anti")
+    first = hashed.alias("p").join(again, same, "left_semi").groupBy("host", "hash").agg(F.min("text").alias("text"))
+    return once.select("host", "text").union(first.select("host", "text"))
+
+
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, different: bool = False) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines, for hosts that have any.
 
-    A page counts once for each different line.  Hosts and lines are counted where they are read before anything is
+    A page counts once for each different line, and with ``different`` pages of a host with the same text are one page,
+    so that copies of a document don't make its lines boilerplate.  Hosts and lines are counted where they are read before anything is
     shuffled, so a host with most pages, or a line on all of them, is a few rows.  A host has at most its mean number
     of lines a page, divided by ``ratio``, of them."""
     pages = docs.where("text is not null").select(F.col(host).alias("host"), "text")
+    pages = different_pages(pages) if different else pages
     total = checkpoint(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     lines = pages.select("host", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("line <> ''")
     counts = lines.groupBy("host", F.xxhash64("line").alias("line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
@@ -25,16 +41,16 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
     return checkpoint(often.groupBy("c.host").agg(F.collect_set("line").alias("lines")))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, different: bool = False) -> DataFrame:
     """``docs`` (text, the ``host`` column and any others) without its hosts' boilerplate lines, and n_lines (before)
     and n_dropped.
 
     Lines end at line feeds and are compared as they are; empty ones stay.  Lines that are left keep their order.  A
-    null text stays null, with 0 lines, and isn't a page.  A null host is a host.  Repeated rows are pages of their
-    own.  A page of which all lines go has an empty text.  Columns of
+    null text stays null, with 0 lines, and isn't a page.  A null host is a host.  Repeated rows, and
+    copies of a text, are pages of their own unless ``different`` is set.  A page of which all lines go has an empty text.  Columns of
     the added names are replaced."""
     docs = docs.drop("n_lines", "n_dropped")
-    common = boilerplate(docs, host, ratio, least_pages).select(F.struct("host", "lines").alias("_common"))
+    common = boilerplate(docs, host, ratio, least_pages, different).select(F.struct("host", "lines").alias("_common"))
     lines = F.split("text", "\n", -1)
     bad = F.coalesce(F.col("_common.lines"), F.array().cast("array<bigint>"))
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(bad, F.xxhash64(x)))

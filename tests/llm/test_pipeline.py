@@ -73,3 +73,22 @@ def test_packing_stage(stages):
 
 def test_run(spark, sf_dir, stages):
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in C.run(spark, sf_dir).collect()) == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in stages[4][1].collect())
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents_of(spark, rows):
+    """(doc_id, text, source) with the other columns."""
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], COLUMNS)
+
+
+def test_copies_over_the_ratio_survive_once(spark):
+    """A fifth of a source's pages are copies of one document; all of its pages share a menu."""
+    story = "\n".join(f"line {k} of a story that five pages of this source tell in the same words" for k in range(6))
+    rows = [(i, "menu of the site\n" + story, "h") for i in range(5)] + [(9, story, None), (10, story, None), (11, story, None)]
+    rows += [(100 + i, f"menu of the site\npage {i} has words {i * 7} and {i * 11} that are its own", "h") for i in range(20)]
+    docs = C.without_boilerplate(spark, documents_of(spark, rows), "")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[i] == story for i in (0, 1, 2, 3, 4, 9, 10, 11)) and not any("menu" in t for t in texts.values())
+    assert [r.doc_id for r in C.one_of_each(spark, docs, "").collect() if r.text == story] == [0]
