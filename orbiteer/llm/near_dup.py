@@ -25,7 +25,7 @@ BLOCK = 256
 LIST = 128
 
 _FACTORS = np.random.default_rng(9).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SETS = "doc_id long, n_shingles long, set long, signature array<int>, codes binary"
+_SETS = "doc_id long, hash long, n_shingles long, set long, signature array<int>, codes binary"
 
 
 def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,8 +74,8 @@ def _sign(length: int, coordinates: int):
                 signatures = _signatures(all_, first, coordinates)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * coordinates), pa.array(signatures.reshape(-1)))
                 codes = pa.array([row.tobytes() for row in signatures.astype(np.uint8)], pa.binary())
-                columns = [batch.column(0).slice(at, n), pa.array(np.diff(first)), pa.array(_keys(all_, first)), lists, codes]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set", "signature", "codes"])
+                columns = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(first)), pa.array(_keys(all_, first)), lists, codes]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "n_shingles", "set", "signature", "codes"])
                 at += n
 
     return run
@@ -88,9 +88,14 @@ def _roots(length: int, percent: int, coordinates: int, matches: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop_duplicates(["set", "text"]).sort_values(["set", "text"], ignore_index=True)
         made = [(all_[a:b], k, s) for all_, first in shingle_sets(pa.array(block["text"], pa.string()), length) for a, b, k, s in zip(first[:-1], first[1:], _keys(all_, first), _signatures(all_, first, coordinates), strict=True)]
-        # one row for each set; a row of another document with the same doc_id has another key
-        own = block["set"].to_numpy()
-        use = [i for i, x in enumerate(made) if x[1] == own[i] and (not i or own[i - 1] != own[i])]
+        # the first row of each set, of those whose text it is of
+        own, first_of = block["set"].to_numpy(), {}
+        for i, x in enumerate(made):
+            if x[1] == own[i]:
+                first_of.setdefault(x[1], i)
+        use = list(first_of.values())
+        if not use:
+            return pd.DataFrame({"set": own[:0], "root": own[:0]})
         own, sets, signatures = own[use], [made[i][0] for i in use], np.array([made[i][2] for i in use])
         sizes = np.array([len(s) for s in sets])
         near = np.array([(signatures == one).sum(axis=1, dtype=np.int16) for one in signatures])
@@ -172,9 +177,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     ASCII letters are lower-cased; words are as in ``common.WORD``.  A null or empty text has no shingle and is linked
     with nothing: component_id is its own doc_id.  A row with a null doc_id is returned with a null component_id and
     kept.  Rows that repeat a doc_id count as documents of their own.  Further columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     signed = checkpoint(docs.mapInArrow(tidy(_sign(shingle, coordinates)), _SETS))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "signature", "codes")).alias("m"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "hash", "signature", "codes")).alias("m"))
     classes = checkpoint(classes.select("set", "m.*"))
 
     tokens = classes.select("set", F.posexplode("signature").alias("i", "value"))
@@ -192,9 +197,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     groups = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("blob")))
 
     sizes = groups.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    members = checkpoint(groups.join(sizes, "blob").join(classes, "set").select("doc_id", "set", "blob", "n"))
+    members = checkpoint(groups.join(sizes, "blob").join(classes, "set").select("doc_id", "hash", "set", "blob", "n"))
     roots, kind = _roots(shingle, percent, coordinates, matches), "set long, root long"
-    first = docs.join(small(members), "doc_id").withColumn("comp", F.col("set"))
+    first = docs.join(small(members), ["doc_id", "hash"]).withColumn("comp", F.col("set"))
     comps = first.groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
     comps = checkpoint(comps.select("set", F.col("root").alias("comp")))
     large = members.where(F.col("n") > block)
@@ -214,7 +219,7 @@ def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, k
     """``comps`` (set, comp) after comparing members of different blocks of the ``large`` groups."""
     tops = large.join(comps.select(F.col("comp").alias("set")).distinct(), "set").withColumn("comp", F.col("set")).drop("n")
     tops = checkpoint(tops.join(tops.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), "blob"))
-    again = docs.join(small(tops), "doc_id").groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
+    again = docs.join(small(tops), ["doc_id", "hash"]).groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
     again = again.select(F.col("set").alias("comp"), "root")
     comps = checkpoint(comps.join(again, "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")))
 
@@ -229,8 +234,8 @@ def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, k
     with_outer = F.transform(outer, lambda i: F.struct(i.alias("i"), at.alias("j"), to_main))
     with_main = F.transform(F.sequence(F.lit(0).cast("long"), main_blocks - 1), lambda j: F.struct(at.alias("i"), j.alias("j"), to_main))
     among = F.transform(outer, lambda j: F.struct(F.least(at, j).alias("i"), F.greatest(at, j).alias("j"), F.lit(False).alias("to_main")))
-    pairs = own.select("doc_id", "set", "blob", "comp", F.explode(F.when(inside, with_outer).otherwise(F.concat(with_main, among))).alias("p"))
-    links = docs.join(small(checkpoint(pairs)), "doc_id").groupBy("blob", "p").applyInPandas(roots, kind)
+    pairs = own.select("doc_id", "hash", "set", "blob", "comp", F.explode(F.when(inside, with_outer).otherwise(F.concat(with_main, among))).alias("p"))
+    links = docs.join(small(checkpoint(pairs)), ["doc_id", "hash"]).groupBy("blob", "p").applyInPandas(roots, kind)
     links = checkpoint(links.where("set <> root").distinct())
     first = comps.select("set", F.col("comp").alias("a"))
     second = comps.select(F.col("set").alias("root"), F.col("comp").alias("b"))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -106,3 +107,17 @@ def test_word_hashes():
     data = np.frombuffer(b"a b c a b c a", dtype=np.uint8)
     runs = wordhash.runs(wordhash.words(data, np.array([0, 13]))[0], 3)
     assert runs[0] == runs[3] and len(set(runs.tolist())) == 3 and len(wordhash.runs(runs[:2], 3)) == 0
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 2])
+def test_texts_that_share_a_doc_id(spark, block):
+    """Each text of a repeated doc_id is linked with its own near copies, in small groups and across blocks."""
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"]
+    rows = [(3, t) for t in texts] + [(10 + 10 * i + k, t + f" end{k}") for i, t in enumerate(texts) for k in range(4)]
+    got = found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, block=block))
+    assert got == sorted(brute(rows, 2)) and {r[2] for r in got} == {3}
+
+
+def test_block_without_its_texts():
+    block = pd.DataFrame({"set": [1, 2], "comp": [1, 2], "text": ["a b", "c d"]})
+    assert near_dup._roots(2, 80, near_dup.COORDINATES, near_dup.MATCHES)(block).empty
