@@ -11,7 +11,7 @@ from orbiteer.llm.common import checkpoint, shared_folder, small, table
 from orbiteer.llm.language_id import UNDETERMINED, identify, train
 from orbiteer.llm.line_dedup import drop_boilerplate
 from orbiteer.llm.mixing import mix
-from orbiteer.llm.near_dup import near_duplicates
+from orbiteer.llm.near_dup import groups
 from orbiteer.llm.packing import pack
 
 #: A document whose best language has a lower probability than this is rejected.
@@ -34,9 +34,20 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
-    gone = checkpoint(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: of its smallest doc_id, the text of the smallest hash, and of equal
+    texts of that doc_id the smallest row.
+
+    Rows are told apart by doc_id and text: a doc_id that repeats with another text is another document.  Rows without
+    a word or a doc_id are in no group and stay."""
+    marks = groups(docs).where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "hash")
+    marks = checkpoint(marks.agg(F.first("chosen").alias("chosen"), F.count(F.lit(1)).alias("n")).where("not chosen or n > 1"))
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    out = hashed.join(small(marks), ["doc_id", "hash"], "left_anti").select(docs.columns)
+    again = checkpoint(marks.where("chosen"))
+    if again.isEmpty():
+        return out
+    first = hashed.join(small(again), ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.union(first.select("row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

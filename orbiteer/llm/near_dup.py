@@ -163,8 +163,15 @@ def _part(n: str, block: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+    """As ``groups``, without what tells rows of one doc_id apart."""
+    return groups(docs, shingle, percent, coordinates, matches, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
     """Groups ``docs`` (doc_id, text): those whose sets of ``shingle``-word runs have 100 * intersection >=
-    ``percent`` * union are linked.  Returns a row per input row: doc_id, n_shingles, component_id, kept.
+    ``percent`` * union are linked.  Returns a row per input row: doc_id, hash (``F.xxhash64`` of the text),
+    n_shingles, component_id, kept, chosen.  kept says whether doc_id is component_id, the smallest doc_id of the group;
+    chosen, whether doc_id and hash are those of one text of the group, that of the smallest doc_id, then hash.
 
     Method: every distinct set is posted once under each (coordinate, value) of its MinHash signature.  Values that
     only one set has are skipped.  Of what is left, two signatures that share ``matches`` coordinates share one of
@@ -194,10 +201,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     # a byte of each coordinate is enough to count matches: it adds some, and loses none
     short = lists.where(F.col("n") <= LIST).select("set", "token").join(classes.select("set", "codes"), "set")
     near = short.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(_near_in_lists(coordinates, matches)), "a long, b long")
-    groups = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("blob")))
+    blobs = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("blob")))
 
-    sizes = groups.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    members = checkpoint(groups.join(sizes, "blob").join(classes, "set").select("doc_id", "hash", "set", "blob", "n"))
+    sizes = blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+    members = checkpoint(blobs.join(sizes, "blob").join(classes, "set").select("doc_id", "hash", "set", "blob", "n"))
     roots, kind = _roots(shingle, percent, coordinates, matches), "set long, root long"
     first = docs.join(small(members), ["doc_id", "hash"]).withColumn("comp", F.col("set"))
     comps = first.groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
@@ -206,13 +213,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     if not large.isEmpty():
         comps = _across_blocks(docs, large, comps, roots, kind, block)
 
-    joined = classes.select("set", "doc_id").join(comps, "set")
-    least = checkpoint(joined.groupBy("comp").agg(F.min("doc_id").alias("least")))
-    least = checkpoint(joined.join(least, "comp").select("set", "least"))
-    label = checkpoint(classes.select("set", "doc_id").join(least, "set", "left").select("set", F.coalesce("least", "doc_id").alias("component_id")))
+    joined = classes.select("set", F.struct("doc_id", "hash").alias("least")).join(comps, "set")
+    least = checkpoint(joined.groupBy("comp").agg(F.min("least").alias("least")))
+    least = checkpoint(joined.drop("least").join(least, "comp").select("set", "least"))
+    own = classes.select("set", F.struct("doc_id", "hash").alias("own"))
+    label = checkpoint(own.join(least, "set", "left").select("set", F.coalesce("least", "own").alias("least")))
     found = signed.drop("signature", "codes").join(label, "set", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    chosen = kept & F.coalesce(F.col("doc_id").isNull() | (F.col("hash") == F.col("least.hash")), F.lit(True))
+    return found.select("doc_id", "hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen"))
 
 
 def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, kind: str, block: int) -> DataFrame:

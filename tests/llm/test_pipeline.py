@@ -92,3 +92,20 @@ def test_copies_over_the_ratio_survive_once(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(texts[i] == story for i in (0, 1, 2, 3, 4, 9, 10, 11)) and not any("menu" in t for t in texts.values())
     assert [r.doc_id for r in C.one_of_each(spark, docs, "").collect() if r.text == story] == [0]
+
+
+def test_one_row_of_each_group(spark):
+    """A clean text stays though its doc_id has another text that goes, and equal rows are one document."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, one, "a"), (5, one + " end", "a"), (5, two, "a"), (7, three, "b"), (7, three, "b"), (7, three, "a"), (8, three, "a")]
+    rows += [(9, one, "a"), (9, one + " other", "a"), (2, "", "a"), (2, "", "a"), (None, one, "a"), (None, one, "a")]
+    got = [(r.doc_id, r.text, r.source) for r in C.one_of_each(spark, documents_of(spark, rows), "").collect()]
+    assert Counter(got) == Counter([(1, one, "a"), (5, two, "a"), (7, three, "a"), *rows[-4:]])
+
+
+def test_near_copies_of_one_doc_id(spark):
+    """Two near texts of the smallest doc_id are one document; which of them is kept doesn't depend on their order."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, base + " one", "a"), (4, base + " two", "a"), (6, base + " three", "a")]
+    got = [[tuple(r) for r in C.one_of_each(spark, documents_of(spark, order), "").collect()] for order in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 1 and got[0][0][0] == 4
