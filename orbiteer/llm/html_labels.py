@@ -35,4 +35,8 @@ PAGES = [
     '<div class="text"><p>+Short.</p><p>+And another line that ends the page without a footer.</p></div>',
     '<body><div class="menu"><a href="/">-Home</a></div><p>+Two lines make up this note.</p><p>+This is the second of them, and it is <a href="/z">+the last</a>.</p></body>',
     '<body><p>-<a href="/u">-Up</a></p><div><p>+The gate was open all night, and in the morning the sheep stood in the road as if they had an appointment.</p></div></body>',
+    '<body class="page"><div class="wrap overflow-hidden"><main style="overflow:hidden"><h1>+Ferries</h1><p>+The last boat left at nine, with two cars and a dog on board and nobody at the rail.</p>'
+    '<p>+It was on time.</p></main></div><div style="display:none"><p>-This line is for machines only, and says in many words what the page above has said in few of them.</p></div></body>',
+    '<body><div class="layout sidebar-right"><article><h1>+Looms</h1><p>+Two looms stood in the shed, and a third one lay in parts along the wall for most of the winter.</p><p>+All three work now.</p></article>'
+    '<div class="sidebar"><p>-More about the sheds of the valley, and how to get there by bus, on foot or by a hired boat.</p></div></div></body>',
 ]

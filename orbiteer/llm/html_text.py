@@ -27,7 +27,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol section table td th tr ul".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
-_HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: Parts of class, id and role values of containers that are not the article, and of those that are.
 _OTHER = frozenset(
     "ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs byline comment comments complementary consent cookie cookies copyright"
@@ -36,9 +38,24 @@ _OTHER = frozenset(
     " subscription taboola toolbar trending widget".split()
 )
 _ARTICLE = frozenset("article body content entry main post prose story text".split())
+#: Of the first, those of places where other articles are quoted or answered.
+_QUOTING = frozenset(
+    "aside comment comments disqus outbrain popular promo promoted promotion recommended related replies reply respond sponsor sponsored taboola trending widget".split()
+)
 _LAYOUT = frozenset("has no with without".split())
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element isn't shown: by the attribute hidden, by aria-hidden, or by its own style."""
+    if not _HIDDEN.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
+            return True
+    return False
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -54,8 +71,10 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     text: list[str] = []
     link: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, tuple[str, ...]]] = []
     other = article = in_link = False
+    # what may still be the article where other is true: there, only words of a layout say that it isn't
+    lifted: tuple[str, ...] = ()
     heading = ""
 
     def end() -> None:
@@ -101,16 +120,27 @@ def blocks(html: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    _, other, article = stack[k]
+                    _, other, article, lifted = stack[k]
                     del stack[k:]
                     break
         else:
             attributes = m[5] or m[8] or ""
-            stack.append((name, other, article))
+            stack.append((name, other, article, lifted))
             names = frozenset(p.lower() for v in _NAMES.findall(attributes) for p in _PART.findall("".join(v))) if "=" in attributes else frozenset()
             if name != "body":
-                other = other or name in ("nav", "footer", "aside", "form", "menu", "dialog") or (not article and (name == "header" or "header" in names))
-                other = other or bool(names & _OTHER and not names & _LAYOUT) or bool(attributes and _HIDDEN.search(attributes))
+                if other and name in lifted:
+                    other = False
+                words = frozenset() if names & _LAYOUT else names & _OTHER
+                if not article and "header" in names:
+                    words |= {"header"}
+                if name in ("nav", "footer", "aside", "form", "menu", "dialog") or (not article and name == "header") or hidden(attributes):
+                    other, lifted = True, ()
+                elif words:
+                    # a word alone, as in class="sidebar", names the place; with others it may be a layout's
+                    own = () if words & _QUOTING else ("main",) if names == words else ("main", "article")
+                    if name != "main" or not own:
+                        lifted = tuple(x for x in own if x in lifted) if other else own
+                        other = True
                 article = article or name in ("article", "main") or bool(names & _ARTICLE)
     if at < len(html):
         add(html[at:])

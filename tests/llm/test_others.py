@@ -98,6 +98,36 @@ def test_markup(page, text):
     assert html_text.main_text(page, html_text.learnt()) == text
 
 
+STORY = "<h1>Head</h1><p>The river had been dry for years when the rains of April came back over the hills and filled it.</p><p>Fish followed in the week after, and the town came out to see them.</p>"
+
+
+@pytest.mark.parametrize(
+    "before,after,kept",
+    [
+        ('<div class="overflow-hidden"><article>', "</article></div>", True),
+        ('<main style="overflow: hidden">', "</main>", True),
+        ('<div data-note="hidden"><main>', "</main></div>", True),
+        ('<div class="layout sidebar-right"><article>', "</article></div>", True),
+        ('<div class="content ad-slot"><section><article>', "</article></section></div>", True),
+        ('<main class="layout sidebar-right">', "</main>", True),
+        ('<div class="overlay"><main>', "</main></div>", True),
+        ('<div class="comments layout"><article>', "</article></div>", False),
+        ('<div class="related posts"><article>', "</article></div>", False),
+        ('<div class="sidebar"><article>', "</article></div>", False),
+        ('<aside><div class="layout sidebar-right"><article>', "</article></div></aside>", False),
+        ("<div hidden><article>", "</article></div>", False),
+        ('<div hidden=""><main>', "</main></div>", False),
+        ('<div aria-hidden="true"><main>', "</main></div>", False),
+        ('<main style="color: red; visibility: hidden">', "</main>", False),
+        ('<div class="layout sidebar-right"><article style="display:none">', "</article></div>", False),
+    ],
+)
+def test_wrappers(before, after, kept):
+    """Words of a layout around an article don't hide it; what isn't shown, or is quoted, stays away."""
+    text = html_text.main_text(f"<body>{before}{STORY}{after}</body>", html_text.learnt())
+    assert text == (" ".join(re.sub("<[^>]*>", " ", STORY).split()) if kept else "")
+
+
 def test_pages_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (None, None, "<p>x", 3), (2, "u", "<p>" + "y " * 50_000, 3)], "page_id long, url string, html string, text int")
     rows = sorted((r.page_id or 0, r.n_chars) for r in html_text.extract(df).collect())
