@@ -45,6 +45,9 @@ ROUNDS = 12
 #: Documents with personal data up to which their replacements are broadcast.
 SMALL_MAPS = 50_000
 
+#: Between given name and surname in the normal form of a given name.
+SEPARATOR = "\x1f"
+
 _HEX = "0123456789abcdef"
 
 
@@ -93,7 +96,8 @@ def _hex_like(text: Column, digest: Column) -> Column:
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities`` (kind, norm, attempt) with a surrogate in lower case, from a digest of all three.
 
-    norm is an entity's normal form: lower case, and for phones, cards and accounts without separators."""
+    norm is an entity's normal form: lower case, and for phones, cards and accounts without separators.  That of a given
+    name ends with ``SEPARATOR`` and the surname."""
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
     d = _digest(key, kind, norm, attempt.cast("string"))
 
@@ -110,7 +114,9 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     given = F.lit(None).cast("string")
     for script, genders in GIVEN.items():
         for gender, names in genders.items():
-            given = F.when(kind == f"given:{script}:{gender}", _pick(names, _number(d, 2, len(names)))).otherwise(given)
+            # one name at first, then two or three in one word, so that a surname with many given names has enough
+            more = [F.when(attempt >= least, F.lower(_pick(names, _number(d, at, len(names))))).otherwise("") for at, least in ((4, 4), (6, 8))]
+            given = F.when(kind == f"given:{script}:{gender}", F.concat(_pick(names, _number(d, 2, len(names))), *more)).otherwise(given)
     # a country, and what tells the kind of an access key, stay
     kept = F.regexp_extract(norm, r"^(\+\d|akia|asia|gh[pousr]_|sk-|[a-z]{2}(?=\d{2}[a-z0-9]{11,}$))", 0)
     kept = F.when(kind.isin("phone", "iban", "secret") & ~norm.rlike("^[0-9a-f]{32,}$"), kept).otherwise("")
@@ -122,17 +128,19 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """Distinct ``entities`` (kind, norm) with a surrogate each: of a kind, no two have the same, and none has one that
-    is itself an entity of the data.  Those that collide, but for the first, try again with another digest."""
-    real = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
+    is itself an entity of the data.  Given names are held apart so among those of a surname, whatever their gender.
+    Those that collide, but for the first, try again with another digest."""
     given = F.col("kind").startswith("given")
+    pool = F.when(given, F.concat(F.lit("given" + SEPARATOR), F.substring_index("norm", SEPARATOR, -1))).otherwise(F.col("kind"))
+    own = F.when(given, F.substring_index("norm", SEPARATOR, 1)).otherwise(F.col("norm"))
+    real = checkpoint(entities.select(pool.alias("pool"), own.alias("surrogate")).distinct().withColumn("real", F.lit(True)))
     now = checkpoint(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
     for attempt in range(1, ROUNDS + 3):
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
-        judged = now.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        again = ((F.col("n") > 1) & (F.col("first.norm") != F.col("norm"))) | F.col("real").isNotNull()
-        # a given name may be shared, as in life: names are told apart by surnames
-        judged = judged.select("kind", "norm", "attempt", "surrogate", (again & ~given).alias("again"))
-        judged = checkpoint(judged)
+        pooled = now.withColumn("pool", pool)
+        first = pooled.groupBy("pool", "surrogate").agg(F.min(F.struct("attempt", "kind", "norm")).alias("first"))
+        judged = pooled.join(first, ["pool", "surrogate"]).join(real, ["pool", "surrogate"], "left")
+        again = (F.col("first.kind") != F.col("kind")) | (F.col("first.norm") != F.col("norm")) | F.col("real").isNotNull()
+        judged = checkpoint(judged.select("kind", "norm", "attempt", "surrogate", again.alias("again")))
         if judged.where("again").isEmpty():
             return judged.drop("again")
         tried = with_surrogates(judged.where("again").select("kind", "norm", F.lit(attempt).alias("attempt")), key)
@@ -151,7 +159,7 @@ def parts_of(raw: Column) -> Column:
     last, first = F.element_at(words, -1), F.get(words, F.lit(1))
     script = F.when(first.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     surname = F.struct(F.lit("surname").alias("kind"), F.lower(last).alias("norm"), last.alias("part"))
-    given = F.struct(F.concat_ws(":", F.lit("given"), script, gender).alias("kind"), F.lower(first).alias("norm"), first.alias("part"))
+    given = F.struct(F.concat_ws(":", F.lit("given"), script, gender).alias("kind"), F.concat_ws(SEPARATOR, F.lower(first), F.lower(last)).alias("norm"), first.alias("part"))
     names = F.when(F.size(words) > 2, F.array(given, surname)).otherwise(F.array(surname))
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), raw.alias("part"))))
 
@@ -191,7 +199,8 @@ def pseudonymise(docs: DataFrame, key: str = "orbiteer") -> DataFrame:
     keys, and names after a title.  An entity's surrogate is made from a digest of ``key``, its kind and its normal
     form, so it is the same wherever and however written (coreference), and looks like it: digits for digits, letters
     of the same script and case, octets of as many digits, given names of the title's gender.  Surrogates that collide
-    with each other or with real entities are made anew, so different entities stay different.
+    with each other or with real entities are made anew, so different entities stay different; given names do so within a surname, hence full names do, and the
+    same given name with another surname is another entity.
 
     Only documents with a match are joined; all others pass as they are.  A null text stays null.  Rows that repeat a
     doc_id, or have none, are each replaced.  An empty table gives no row.

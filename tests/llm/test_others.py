@@ -288,6 +288,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == 2000 and not got & real
 
 
+def test_full_names_stay_distinct(spark):
+    """More given names of one surname than there are to draw from, and real ones among them."""
+    given = [*pii.GIVEN["latin"]["m"], *(f"X{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))]
+    names = [f"Mr {g} Smith" for g in given] + ["Ms Xaa Smith", "Mr Paul Miller"]
+    df = spark.createDataFrame([(i, f"{n} and {n.upper().replace('MR', 'Mr').replace('MS', 'Ms')}") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    pairs = [re.fullmatch(r"M[rs] (\w+ \w+) and M[rs] (\w+ \w+)", t) for t in out]
+    assert all(m and m[1].upper() == m[2] for m in pairs) and len({m[1] for m in pairs}) == len(names)
+    assert len({m[1].split()[1] for m in pairs[:-1]}) == 1 and not {m[1].split()[0] for m in pairs[:-1]} & set(given)
+    assert not any(c.isdigit() for t in out for c in t)
+
+
 def test_all_planted_forms_go(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = {r.doc_id: r for r in pii.op8(spark, sf_dir).collect()}
