@@ -261,6 +261,15 @@ def test_upsert_and_entries(spark, tmp_path):
     assert one(manifest.valid_response(F.lit("http://a"), F.lit("text/plain"), F.lit(200))) and not one(manifest.valid_response(F.lit("http://a/login"), F.lit("text/plain"), F.lit(200)))
 
 
+def test_no_page_is_stored_as_a_file(tmp_path):
+    page, data = tmp_path / "error.html", tmp_path / "data.bin"
+    page.write_text("<p>Sorry</p>")
+    data.write_bytes(b"data")
+    answers = [download.download(f.as_uri(), tmp_path / "out" / f.name, retries=1) for f in (page, data)]
+    assert [a.status for a in answers] == ["failed", "downloaded"] and not (tmp_path / "out" / "error.html").exists()
+    assert download.first_answer([page.as_uri()]) == b"<p>Sorry</p>"
+
+
 def test_downloads(tmp_path):
     asked, naps = [], []
 
