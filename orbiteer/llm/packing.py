@@ -22,8 +22,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces shorter than a window that are packed together; a task with more packs several such lots.
 LOT = 200_000
-#: Words whose ids a Python worker remembers, in about 200 bytes each.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, in about 200 bytes each, and how many the tokenizer is given at once (it
+#: takes some 500 bytes for each).
+REMEMBERED, LEARNT = 300_000, 8192
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -82,8 +83,8 @@ class Ids:
 
     In a text of printable ASCII and Latin-1 letters, the vocabulary's own pattern is ``piece``, and none of its pieces
     spans a blank.  So such texts are looked up, in lower case, by what stands between blanks, or else by their pieces;
-    only pieces not seen lately go to the tokenizer, all together, and are told apart by the ids that end a word.
-    Other texts go to the tokenizer whole."""
+    only pieces not seen lately go to the tokenizer, many together, and are told apart by the ids that end a word.
+    Other texts, and those in which a special token may stand, go to the tokenizer whole."""
 
     plain = bytes([0x0A, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
     piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -101,7 +102,6 @@ class Ids:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -132,7 +132,7 @@ class Ids:
             raw = text.encode("latin-1") if self.split else b"\0"
         except UnicodeEncodeError:
             return None
-        if raw.translate(None, self.plain):
+        if raw.translate(None, self.plain) or "<|" in text:
             return None
         kinds, text = raw.translate(self.kinds), text.lower().replace("\n", " ")
         if not (b"pp" in kinds or b"pq" in kinds or b"qp" in kinds):
@@ -144,7 +144,9 @@ class Ids:
         new = set().union(*filter(None, parts)).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, set().union(*filter(None, parts))
-        self.learn(list(new))
+        new = list(new)
+        for i in range(0, len(new), LEARNT):
+            self.learn(new[i : i + LEARNT])
         look = self.known.__getitem__
         return [self.encoded(text).tobytes() if x is None else b"".join(map(look, x)) for text, x in zip(texts, parts, strict=True)]
 
@@ -207,7 +209,9 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     one part-filled window; sequence ids hold the partition's number, which a task that runs again has too.
 
     A null or empty text is only ``end_id``.  Rows that repeat a doc_id, or have none, are documents of their own;
-    an empty table gives no row.  Further columns are ignored."""
+    pieces of equal length go in the order of the rows.  An empty table gives no row.  A long text is held whole, with
+    its ids.  The strings of special tokens in a text are those tokens.  Further columns are ignored, whatever their
+    names."""
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_packed(window, vocabulary, end_id), _PIECES)
 
 

@@ -21,6 +21,8 @@ _VALUE = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64
 _BASE, _RUN = _U(0x9E3779B97F4A7C15 | 1), _U(0xD6E8FEB86659FD93 | 1)
 #: Words longer than this are hashed one by one with xxhash: a polynomial modulo 2**64 is weak for long strings.
 LONG_WORD = 256
+#: Bytes, and words, that are hashed at once.
+PART = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -55,8 +57,8 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
     """(first row, row after the last, bytes, offsets of the rows in them): consecutive rows of at most ``most``
     bytes together, or one longer row.  A null text counts as empty."""
     texts = texts.fill_null("") if texts.null_count else texts
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1] or bytes(8), dtype=wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < len(texts):
@@ -66,10 +68,35 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of consecutive rows, and each row's first word (one more entry at the end)."""
+    """Hashes of the words of consecutive rows, and each row's first word (one more entry at the end).
+
+    More than about ``PART`` bytes are taken part by part, cut between words, so a long row needs, besides itself, 16
+    bytes for each word (and a single word of more than ``PART`` bytes some 30 times its size)."""
+    if len(data) <= PART:
+        first, out = _words(data, offsets, lower)
+        return out, np.searchsorted(first, offsets)
+    firsts, outs, begin = [], [], 0
+    while begin < len(data):
+        end = begin + PART
+        while end < len(data):
+            gap = np.flatnonzero(_SPACE[data[end : end + PART]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += PART
+        end = min(end, len(data))
+        first, out = _words(data[begin:end], np.clip(offsets - begin, 0, end - begin), lower)
+        firsts.append(first + begin)
+        outs.append(out)
+        begin = end
+    return np.concatenate(outs), np.searchsorted(np.concatenate(firsts), offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash."""
     n = len(data)
     if not n:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     if lower:
         data = _LOWER[data]
     solid = ~_SPACE[data]
@@ -87,7 +114,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     out = mix(out + (last - first).astype(np.uint64))
     for i in np.flatnonzero(last - first > LONG_WORD):
         out[i] = xxhash.xxh64_intdigest(data[first[i] : last[i]].tobytes(), seed=7)
-    return out, np.searchsorted(first, offsets)
+    return first, out
 
 
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -95,6 +122,10 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes)
     if n < length:
         return np.empty(0, dtype=np.uint64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers(_RUN, n), out=total[1:])
-    return mix((total[length:] - total[:-length]) * powers(inverse(_RUN), n)[: n - length + 1] + _U(length))
+    out = np.empty(n - length + 1, dtype=np.uint64)
+    for a in range(0, len(out), PART):
+        own = hashes[a : a + PART + length - 1]
+        total = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(own * powers(_RUN, len(own)), out=total[1:])
+        out[a : a + PART] = mix((total[length:] - total[:-length]) * powers(inverse(_RUN), len(own))[: len(own) - length + 1] + _U(length))
+    return out

@@ -93,7 +93,7 @@ def test_components(spark):
     assert got == {x: root(x) for x in list(up)}
 
 
-def test_word_hashes():
+def test_word_hashes(monkeypatch):
     texts = ["a b  a\tB", "", None, "ab ba é\x0bé", " x" * 300, "y" * 1000 + " " + "y" * 1000]
     seen, back = {}, {}
     for a, b, data, offsets in wordhash.slices(pa.array(texts), 50):
@@ -104,6 +104,14 @@ def test_word_hashes():
             assert len(own) == len(words)
             for w, h in zip(words, own, strict=True):
                 assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
+    raw = ("some words of é and w\u00fcrde " * 40 + "z" * 300 + " end").encode()
+    data, offsets = np.frombuffer(raw, dtype=np.uint8), np.array([0, 17, 17, 500, len(raw)])
+    whole, first = wordhash.words(data, offsets, lower=True)
+    chained = wordhash.runs(whole, 5)
+    monkeypatch.setattr(wordhash, "PART", 32)
+    again, first_again = wordhash.words(data, offsets, lower=True)
+    assert whole.tolist() == again.tolist() and first.tolist() == first_again.tolist() and chained.tolist() == wordhash.runs(whole, 5).tolist()
+    monkeypatch.undo()
     data = np.frombuffer(b"a b c a b c a", dtype=np.uint8)
     runs = wordhash.runs(wordhash.words(data, np.array([0, 13]))[0], 3)
     assert runs[0] == runs[3] and len(set(runs.tolist())) == 3 and len(wordhash.runs(runs[:2], 3)) == 0

@@ -7,7 +7,7 @@ import pytest
 
 from orbiteer.llm import packing as P
 
-TEXTS = ["", " ", "a.b,c", "a..b", "don't we'll 'S", "x,!y", "ÀÉß ÿ Œuvre", "tab\tx", "12.5,3", "a\nb\r\nc", "ｆｕｌｌ", "é İ Σς", "<|endoftext|> x", ".", ", .", "a .b", "_x_", "a,b.c d.", "º ª µ ²", "\x1c a\x1cb", "3.14''s", "A'Sb.", "naïve", "x\x00y"]
+TEXTS = ["", " ", "a.b,c", "a..b", "don't we'll 'S", "x,!y", "ÀÉß ÿ Œuvre", "tab\tx", "12.5,3", "a\nb\r\nc", "ｆｕｌｌ", "é İ Σς", "<|endoftext|> x", "a<|STARTOFTEXT|>b", "x <|endoftext|>.", "< | a <| b |>", ".", ", .", "a .b", "_x_", "a,b.c d.", "º ª µ ²", "\x1c a\x1cb", "3.14''s", "A'Sb.", "naïve", "x\x00y"]
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +15,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
 
 
 def test_ids(tokenizer, documents, monkeypatch):
@@ -25,6 +23,9 @@ def test_ids(tokenizer, documents, monkeypatch):
     ids = P.Ids(P.VOCABULARY)
     expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in ids(texts)] == expected
+    assert 49407 in expected[TEXTS.index("<|endoftext|> x")]
+    monkeypatch.setattr(P, "LEARNT", 7)
+    assert [np.frombuffer(x, "<u4").tolist() for x in P.Ids(P.VOCABULARY)(texts)] == expected
     monkeypatch.setattr(P, "REMEMBERED", 50)
     assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in ids([t])] == expected
 
