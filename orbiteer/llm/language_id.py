@@ -16,16 +16,25 @@ from .wordhash import slices
 
 #: Bytes of one sequence; a text is cut into such, each read from both sides.
 STEPS = 64
+#: Sequences that go through the network together.
+PART = 8192
 HIDDEN = 8
 #: Labelled documents of each language, and stretches of each of them, that the network learns from, about: the bound
 #: of what the driver gathers (times the number of languages and STEPS bytes).
 LEARN_DOCS, LEARN_STRETCHES = 500, 8
+#: Languages that a network can learn; more in the table are an error.
+MOST_LANGUAGES = 256
 UPDATES, SEQUENCES = 500, 128
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether one of Unicode's categories L* is in ``text``; the pattern alone takes numerals too."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class ByteGru:
     """Two gated recurrent layers, one for each direction, and a linear layer on both.  Gates and candidates are clipped
@@ -145,7 +154,7 @@ def sequences(data: np.ndarray, offsets: np.ndarray, steps: int) -> tuple[np.nda
     lengths = np.full(int(first[-1]), steps, dtype=np.int64)
     full = count > 0
     lengths[first[1:][full] - 1] = (sizes - (count - 1) * steps)[full]
-    return np.ascontiguousarray(codes.reshape(-1, steps).T).astype(np.intp), lengths, first
+    return np.ascontiguousarray(codes.reshape(-1, steps).T), lengths, first
 
 
 def _stretches(most: int, steps: int):
@@ -173,19 +182,25 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, learn_docs: int = LEARN_DOCS, stretches: int = LEARN_STRETCHES, hidden: int = HIDDEN, steps: int = STEPS, updates: int = UPDATES, seed: int = 5) -> ByteGru | None:
     """A network for the languages in ``docs`` (doc_id, text, lang), learnt from rows with both that aren't held out.
 
-    About ``learn_docs`` documents of each language, chosen by a hash of text and doc_id, are the sample; their
-    stretches come to the driver, in an order that doesn't depend on partitions.  None if nothing can be learnt from."""
+    The sample is about ``learn_docs`` different texts of each language, chosen by a hash of the text, and at least one:
+    a language is never lost, and rows that repeat a text count once.  Up to ``stretches`` stretches of each come to the
+    driver, in an order that doesn't depend on partitions; at most twice the number expected are taken, a bound that the
+    sample stays far below.  More than ``MOST_LANGUAGES`` languages raise an error.  None if nothing can be learnt from:
+    an empty table, or one without a labelled text that has a letter."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(~held_out(), F.lit(True)))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = {r["lang"]: r["n"] for r in counts.collect()}
+    known = known.select("lang", "text", F.xxhash64("text").alias("hash"))
+    chance = F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min(chance).alias("least"))
+    languages = {r["lang"]: max(r["least"], min(1.0, learn_docs / r["n"])) for r in counts.limit(MOST_LANGUAGES + 1).collect()}
     if not languages:
         return None
-    chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) / float(1 << 20)
-    rates = F.create_map(*[F.lit(x) for k, n in sorted(languages.items()) for x in (k, min(1.0, learn_docs / n))])
-    rows = known.where(chance <= rates[F.col("lang")]).select("lang", "text").mapInArrow(_stretches(stretches, steps), "lang string, stretch binary")
-    rows = sorted((r["lang"], bytes(r["stretch"])) for r in rows.limit(2 * learn_docs * stretches * len(languages)).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    rates = F.create_map(*[F.lit(x) for k, rate in sorted(languages.items()) for x in (k, rate)])
+    rows = known.where(chance <= rates[F.col("lang")]).select("lang", "text").distinct().mapInArrow(tidy(_stretches(stretches, steps)), "lang string, stretch binary")
+    rows = sorted((r["lang"], bytes(r["stretch"])) for r in rows.limit(2 * max(learn_docs, 100) * stretches * len(languages)).collect())
     names = sorted({lang for lang, _ in rows})
-    codes = np.ascontiguousarray(np.frombuffer(b"".join(s for _, s in rows), dtype=np.uint8).reshape(-1, steps).T).astype(np.intp)
+    codes = np.ascontiguousarray(np.frombuffer(b"".join(s for _, s in rows), dtype=np.uint8).reshape(-1, steps).T)
     labels = np.array([names.index(lang) for lang, _ in rows])
     # each language alike often
     random = np.random.default_rng(seed)
@@ -200,20 +215,21 @@ def _predict(model: ByteGru | None, steps: int):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             found, scores = [], []
-            for a, b, data, offsets in slices(texts, 1 << 19):
+            for a, b, data, offsets in slices(texts, PART * steps):
                 if model is not None:
-                    codes, lengths, first = sequences(data, offsets, steps)
                     total = np.zeros((len(model.languages), b - a))
-                    full = np.flatnonzero(np.diff(first))
-                    # a long text goes through the network in parts
-                    sums = [model.pooled(codes[:, i : i + 8192], lengths[i : i + 8192]) for i in range(0, codes.shape[1], 8192)]
-                    if sums:
-                        total[:, full] = np.add.reduceat(np.concatenate(sums, axis=1), first[:-1][full], axis=1, dtype=np.float64)
+                    # a text longer than a slice goes through the network in parts, cut where its sequences are
+                    for at in range(0, max(1, len(data)), PART * steps):
+                        part = np.clip(offsets - at, 0, PART * steps) if len(data) > PART * steps else offsets
+                        codes, lengths, first = sequences(data[at : at + PART * steps], part, steps)
+                        full = np.flatnonzero(np.diff(first))
+                        if len(full):
+                            total[:, full] += np.add.reduceat(model.pooled(codes, lengths), first[:-1][full], axis=1, dtype=np.float64)
                     share = total / np.maximum(total.sum(axis=0), 1e-12)
                     best, score = share.argmax(axis=0), share.max(axis=0)
                 for i in range(a, b):
                     text = texts[i].as_py()
-                    certain = model is not None and text is not None and _LETTER.search(text)
+                    certain = model is not None and text is not None and has_letter(text)
                     found.append(model.languages[best[i - a]] if certain else UNDETERMINED)
                     scores.append(round(float(score[i - a]), 5) if certain else 0.0)
             rest = [batch.column(i) for i in range(batch.num_columns)]
@@ -226,8 +242,10 @@ def identify(docs: DataFrame, model: ByteGru | None, steps: int = STEPS) -> Data
     """``docs`` (text and any others) with lang_pred and score.
 
     Every byte of a text gets probabilities from the states of both directions; their mean over the whole text gives
-    lang_pred and its score.  A text that is null or has no letter gets ``und`` and 0, as does any without a model.
-    Each row is taken by itself, so repeated rows get the same.  Columns of the added names are replaced."""
+    lang_pred and its score; of languages with equal shares, the first by name.  A text that is null, empty or has no
+    letter gets ``und`` and 0, as does any without a model.  Each row is taken by itself, so repeated rows get the same,
+    and an empty table gives no row; a long text goes through the network in parts.  Columns of the added names are
+    replaced."""
     docs = docs.drop("lang_pred", "score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_predict(model, steps), f"{kinds}, lang_pred string, score double")

@@ -63,6 +63,35 @@ def test_language_of_odd_rows(odd, none):
     assert language_id.train(none) is None and language_id.identify(none, model).count() == 0
 
 
+def test_numerals_are_no_letters(spark):
+    model = language_id.ByteGru.fresh(["de", "en"], 4, 1)
+    texts = ["½ ² ①", "Ⅷ", "12_3 ٣", "😀", "½ a", "ª", "語", None]
+    rows = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in rows] == [True, True, True, True, False, False, False, True]
+
+
+def test_no_language_is_lost(spark):
+    """Rows of one doc_id, rows of one text, and a rare language."""
+    rows = [(1, f"words of text {i} in the one", "en") for i in range(1500)] + [(1, f"wörter von text {i} in der anderen", "de") for i in range(1500)]
+    rows += [(2, "un seul texte", "fr")] * 500 + [(3, "raro", "es"), (4, "1 2 3", "xx"), (5, None, "yy"), (6, "no language", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learn_docs=20, updates=2)
+    assert model.languages == ["de", "en", "es", "fr"]
+
+
+def test_a_long_text_in_parts(spark, monkeypatch):
+    model = language_id.ByteGru.fresh(["de", "en"], 4, 1)
+    df = spark.createDataFrame([(1, "ein Wort und " * 3000), (2, "kurz"), (3, "")], "doc_id long, text string")
+    whole = sorted(map(tuple, language_id.identify(df, model).collect()))
+    data = np.frombuffer(("ein Wort und " * 3000).encode(), dtype=np.uint8)
+    codes, lengths, _ = language_id.sequences(data, np.array([0, len(data)]), 64)
+    share = model.pooled(codes, lengths).sum(axis=1)
+    assert whole[0][3] == pytest.approx((share / share.sum()).max(), abs=1e-4)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in whole]), pa.array([r[1] for r in whole])], names=["doc_id", "text"])
+    monkeypatch.setattr(language_id, "PART", 4)
+    again = pa.Table.from_batches(language_id._predict(model, 64)([batch])).to_pylist()
+    assert [(r["lang_pred"], pytest.approx(r["score"], abs=2e-5)) for r in again] == [(r[2], r[3]) for r in whole]
+
+
 # html
 
 
