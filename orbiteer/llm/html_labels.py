@@ -1,5 +1,10 @@
 """The small labelled table that the block classifier learns from: pages whose blocks begin with + (article text) or -
-(anything else)."""
+(anything else).  ``PAGES`` are written by hand; ``made`` lays out more by rule, so that neither the elements nor the
+class names of a page tell all: many have none, some mislead."""
+
+from __future__ import annotations
+
+import random
 
 PAGES = [
     '<body><nav><ul><li><a href="/">-Home</a></li><li><a href="/n">-News</a></li><li><a href="/w">-World and weather</a></li></ul></nav>'
@@ -40,3 +45,98 @@ PAGES = [
     '<body><div class="layout sidebar-right"><article><h1>+Looms</h1><p>+Two looms stood in the shed, and a third one lay in parts along the wall for most of the winter.</p><p>+All three work now.</p></article>'
     '<div class="sidebar"><p>-More about the sheds of the valley, and how to get there by bus, on foot or by a hired boat.</p></div></div></body>',
 ]
+
+_WORDS = (
+    "river town market harvest winter bridge ferry bell mountain garden letter train road village summer people water light stone house years old new long small great many few"
+    " went came found built kept grew told held over under after before with from into and the a of in to for was were had is are that which when while where still never often"
+).split()
+#: Class names of the places of a page, names that say nothing or mislead, and none.
+_CHROME = {
+    "menu": ["menu", "nav-main", "navigation", "topnav", "breadcrumbs", "", "x1", "row"],
+    "ad": ["ad", "advert", "sponsored-box", "promo-box", "teaser", "", "box", "col-3"],
+    "notice": ["cookie-notice", "consent", "notice", "banner-top", "", "info", "msg"],
+    "side": ["sidebar", "widget", "related", "recommended-list", "teaser", "", "col-2", "right"],
+    "comments": ["comments", "comment-list", "discussion", "replies", "kommentare", "reader-comments"],
+    "footer": ["footer", "colophon", "imprint", "bottom-bar", "legal", "", "end"],
+    "share": ["share", "social-bar", "", "tools"],
+}
+_TEXT = ["content", "post", "entry-body", "story", "article-text", "", "", "x2", "main-column", "content popular-science", "page promo-history", "text widget-world", "layout sidebar-right", "share-prices report"]
+
+
+def made(n: int = 90, seed: int = 3) -> list[str]:
+    """``n`` pages in three layouts by turns: with elements that name the places, of divisions, and flat."""
+    pick = random.Random(seed)
+
+    def words(low: int, high: int) -> str:
+        return " ".join(pick.choice(_WORDS) for _ in range(pick.randint(low, high))).capitalize()
+
+    def named(place: str) -> str:
+        name = pick.choice(_CHROME[place] if place in _CHROME else _TEXT)
+        return f' {pick.choice(["class", "class", "id"])}="{name}"' if name else ""
+
+    def link(sign: str, low: int = 1, high: int = 4) -> str:
+        return f'<a href="/{pick.randint(1, 999)}">{sign}{words(low, high)}</a>'
+
+    def prose(low: int = 1, high: int = 5) -> str:
+        text = [words(6, 24) + "." for _ in range(pick.randint(low, high))]
+        if pick.random() < 0.25:
+            text.insert(pick.randint(0, len(text)), f'<a href="/{pick.randint(1, 999)}">{words(1, 4)}</a>')
+        return " ".join(text)
+
+    def links(n: int) -> str:
+        form = pick.random()
+        if form < 0.5:
+            return "<ul>" + "".join(f"<li>{link('-')}</li>" for _ in range(n)) + "</ul>"
+        if form < 0.8:
+            return "<p>-" + " | ".join(link("") for _ in range(n)) + "</p>"
+        return "<table><tr>" + "".join(f"<td>{link('-')}</td>" for _ in range(n)) + "</tr></table>"
+
+    def article() -> str:
+        parts = [f"<h1>+{words(2, 8)}</h1>"] if pick.random() < 0.8 else []
+        for _ in range(pick.randint(2, 7)):
+            kind = pick.random()
+            if kind < 0.6:
+                parts.append(f"<p>+{prose()}</p>")
+            elif kind < 0.72:
+                parts.append(f"<p>+{words(2, 7)}.</p><p>+{prose()}</p>")
+            elif kind < 0.8:
+                parts.append(f"<h2>+{words(1, 5)}</h2><p>+{prose()}</p>")
+            elif kind < 0.87:
+                parts.append("<ul>" + "".join(f"<li>+{words(3, 12)}</li>" for _ in range(pick.randint(2, 4))) + f"</ul><p>+{prose()}</p>")
+            elif kind < 0.92:
+                parts.append(f"<p>+{prose()}</p><p>{link('+', 3, 9)}</p><p>+{prose(2)}</p>")
+            elif kind < 0.96:
+                parts.append(f"<blockquote>+{words(3, 20)}.</blockquote><p>+{prose()}</p>")
+            else:
+                parts.append(f"<p>+{prose()}</p><div{named('share')}>-{' '.join(link('', 1, 2) for _ in range(3))}</div><p>+{prose()}</p>")
+        return "".join(parts)
+
+    def aside(tag: str) -> str:
+        text = f"<h4>-{words(1, 3)}</h4>" + (links(pick.randint(2, 5)) if pick.random() < 0.6 else f"<p>-{prose(1, 3)}</p>")
+        return f"<{tag}{named('side')}>{text}</{tag}>"
+
+    def comments(tag: str, inner: str) -> str:
+        one = lambda: f"<{inner}><p>-{words(1, 2)}</p><p>-{prose(1, 3)}</p></{inner}>"
+        return f"<{tag}{named('comments')}>" + (f"<h3>-{words(1, 2)}</h3>" if pick.random() < 0.5 else "") + "".join(one() for _ in range(pick.randint(1, 4))) + f"</{tag}>"
+
+    def footer(tag: str) -> str:
+        text = f"-&copy; {words(2, 14)}." if pick.random() < 0.5 else f"<p>-{words(4, 12)}</p>{links(3)}"
+        return f"<{tag}{named('footer') if tag != 'footer' else ''}>{text}</{tag}>"
+
+    out = []
+    for i in range(n):
+        some = lambda part, odds: part if pick.random() < odds else ""
+        if i % 3 == 0:
+            core = pick.choice(["article", "main"])
+            extra = some(f'<div{named("ad")}><p>-{prose(1, 2)}</p></div>', 0.5) + some(aside("aside"), 0.5)
+            body = [some(f"<header><h2>-{words(1, 4)}</h2><p>-{words(4, 16)}</p></header>", 0.5), f"<nav>{links(4)}</nav>", some(f'<div{named("notice")}>-{prose(1, 2)}</div>', 0.5), extra]
+            inside = some(f"<form>-{words(4, 14)}</form>", 0.2) + some(comments("section", "article"), 0.2 * (core == "main"))
+            body += [f"<{core}{named('text')}>{article()}{inside}</{core}>", some(comments(pick.choice(["section", "div"]), "div"), 0.5), some(aside("div"), 0.4), footer(pick.choice(["footer", "div"]))]
+        elif i % 3 == 1:
+            body = [f"<div{named('menu')}>{links(4)}</div>", some(f'<div{named("notice")}>-{prose(1, 1)}</div>', 0.5), some(f'<div{named("ad")}>-{prose(1, 1)}</div>', 0.5)]
+            inside = some(comments("div", "div"), 0.3) + some(f'<div class="{pick.choice(["related", "newsletter", "promo"])}"><p>-{prose(1, 2)}</p></div>', 0.3)
+            body += [f"<div{named('text')}>{article()}{article()}{inside}</div>", some(aside("div"), 0.5), footer("div")]
+        else:
+            body = [some(links(pick.randint(2, 5)), 0.8), some(f"<p>-{words(1, 3)}</p>{links(3)}", 0.3), article(), some(links(3), 0.3) and "", some(comments("div", "div"), 0.2), links(3), some(f"<p>-{words(2, 6)}</p>{links(2)}", 0.5)]
+        out.append("<body>" + "".join(body) + "</body>")
+    return out

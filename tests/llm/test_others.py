@@ -105,7 +105,7 @@ def test_article_text(spark, sf_dir):
 def test_labelled_pages():
     tree = html_text.learnt()
     for page in html_labels.PAGES:
-        marked = html_text.blocks(page)
+        marked, _ = html_text.blocks(page)
         assert html_text.main_text(page, tree) == " ".join(b.text for b in marked if b.text[0] == "+")
 
 
@@ -127,6 +127,60 @@ def test_markup(page, text):
     assert html_text.main_text(page, html_text.learnt()) == text
 
 
+def nodes(tree):
+    return [tree, *nodes(tree[2]), *nodes(tree[3])] if isinstance(tree, tuple) else []
+
+
+def test_tree_looks_at_text_and_neighbours():
+    used = {html_text.FEATURES[n[0]] for n in nodes(html_text.learnt())}
+    assert {"words", "linked"} <= used and used & {"words before", "words after"} and used & {"linked before", "linked after"}
+
+
+def test_labels_of_other_pages():
+    """Pages made by the same rules that the tree hasn't seen."""
+    x, y = html_text.labelled(html_labels.made(120, seed=77))
+    right = 0
+    for row, own in zip(x, y, strict=True):
+        node = html_text.learnt()
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        right += (node >= 0.5) == own
+    assert len(y) > 1500 and right >= 0.98 * len(y)
+
+
+LINES = "The town voted on Monday for a new bridge after three years of talks, and the work is to begin in the spring of next year."
+WORDY = "Readers of this page told us a lot of things about rivers and bridges, which we keep here for all who come by to see them."
+
+
+@pytest.mark.parametrize("name", "bottom-bar colophon imprint teaser discussion kommentare foot-links legal promo-box x7 content story".split())
+@pytest.mark.parametrize("core", ["article", "main", "div"])
+def test_text_beside_the_article(name, core):
+    """What stands beside the article goes, whatever it is called; also where no element says which it is."""
+    story = f"<h1>Bridge</h1><p>{LINES}</p><p>{LINES}</p><p>{LINES}</p>"
+    for page in (f'<body><{core}>{story}</{core}><div class="{name}"><p>{WORDY}</p></div></body>', f'<body><div class="{name}"><p>{WORDY}</p></div><{core}>{story}</{core}></body>'):
+        assert html_text.main_text(page, html_text.learnt()) == " ".join(["Bridge", LINES, LINES, LINES])
+
+
+@pytest.mark.parametrize("attributes", ["class='search-result'", "class='content popular-science'", "id='share-prices'", "class='promo'", ""])
+def test_article_with_any_name(attributes):
+    page = f"<body><nav><a href='/'>Home</a></nav><article {attributes}><p>{LINES}</p><p><a href='/r'>The report of the town on bridges</a></p><p>{LINES}</p></article><footer>Imprint</footer></body>"
+    assert html_text.main_text(page, html_text.learnt()) == f"{LINES} The report of the town on bridges {LINES}"
+
+
+def test_comments_inside_the_main_element():
+    page = f"<main><article><p>{LINES}</p><p>{LINES}</p></article><section id='comments'><article><p>{WORDY}</p></article><article><p>{WORDY}</p></article></section></main>"
+    assert html_text.main_text(page, html_text.learnt()) == f"{LINES} {LINES}"
+
+
+@pytest.mark.parametrize("piece", ["<button>", "<select>", "<object>", "<a ", '<a "', "<div>", "</p>", "<!", "<", "<script", "<p class='"])
+def test_reading_is_linear(piece):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(f"<p>{LINES}</p>" + piece * 100_000 + "x", html_text.learnt())
+    assert time.perf_counter() - began < 2
+
+
 STORY = "<h1>Head</h1><p>The river had been dry for years when the rains of April came back over the hills and filled it.</p><p>Fish followed in the week after, and the town came out to see them.</p>"
 
 
