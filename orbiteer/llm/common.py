@@ -10,11 +10,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few fixed-width columns is broadcast (about 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes, about, of what rows of any width hold up to which their table is broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Rows of an Arrow batch in place of Spark's default: whole texts are long, and 10,000 of them are held in several copies.
+ARROW_ROWS = 2000
 
 #: Java and Python pattern of one word: a run without space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Sends whole texts to Python in batches of ``ARROW_ROWS``, unless the session has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, a function of a task's batches, that gives freed memory back to the system when the task ends: Python
     workers live on and are reused, and what they hold counts beside the next tasks'."""
@@ -70,7 +80,13 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffle join).
+    """``df`` with a broadcast hint if it has at most ``limit`` rows of fixed width, else as it is (a shuffle join).
 
     Counts ``df``, so give a checkpointed one."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def fits(df: DataFrame, size: Column, rows: int = BROADCAST_ROWS, total: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df``, checkpointed, has at most so many rows, of which ``size`` adds up to at most ``total``."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= total

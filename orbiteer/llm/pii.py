@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, table
+from .common import checkpoint, fits, table
 
 #: Names to draw from, by script and gender; a surname is made of three parts of its script.  None is tied to a person.
 GIVEN = {
@@ -13,6 +13,14 @@ GIVEN = {
         "f": "Ada Alma Anna Bella Clara Dora Edith Elena Ella Emma Eva Frida Greta Hanna Ida Irma Julia Karla Laura Lena Lina Maria Marta Mina Nora Olga Paula Rita Rosa Sara Sofia Vera".split(),
         "m": "Adam Albert Anton Bruno Carl Conrad David Emil Erik Felix Frank Georg Hugo Ivan Jakob Jonas Karl Leon Lukas Martin Max Milan Nils Oscar Otto Paul Peter Robert Simon Thomas Viktor Walter".split(),
     },
+    "greek": {
+        "f": "Άννα Δήμητρα Ειρήνη Ελένη Ευαγγελία Ζωή Κατερίνα Μαρία Νίκη Όλγα Σοφία Χριστίνα".split(),
+        "m": "Αλέξανδρος Ανδρέας Γιάννης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Μιχάλης Νίκος Πέτρος Σπύρος".split(),
+    },
+    "armenian": {
+        "f": "Անահիտ Աննա Արմինե Գայանե Լիլիթ Մարիամ Նարե Սիրանուշ".split(),
+        "m": "Արամ Արմեն Գևորգ Դավիթ Հակոբ Հայկ Տիգրան Վահան".split(),
+    },
     "cyrillic": {
         "f": "Анна Вера Дарья Елена Зоя Инна Ирина Лидия Мария Нина Ольга Раиса Софья Тамара Ульяна Юлия".split(),
         "m": "Антон Борис Вадим Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Сергей Юрий".split(),
@@ -20,31 +28,35 @@ GIVEN = {
 }
 PARTS = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta to".split(),
+    "greek": "βα βε βο γα γε δα δε δο κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε σο τα το".split(),
+    "armenian": "բա բե գա գո դա դե կա կո լա լե մա մե նա նե նո ռա ռե սա սե սո տա տե".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та то".split(),
 }
 #: Titles that say a person's name follows, and which gender it has.
-TITLES = {"f": "Mrs Ms Miss Mme Mlle Frau Señora Sra Signora госпожа".split(), "m": "Mr Sir Herr Monsieur Señor Sr Signor господин".split(), "": "Dr Prof".split()}
+TITLES = {"f": "Mrs Ms Miss Mme Mlle Frau Señora Sra Signora госпожа Κυρία Κα Տիկին".split(), "m": "Mr Sir Herr Monsieur Señor Sr Signor господин Κύριος Κος Պարոն".split(), "": "Dr Prof".split()}
 
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
-#: Kinds of personal data in the order in which they are tried at a place (Java patterns without groups).
+_END = r"(?![\p{L}\p{N}])"
+#: Kinds of personal data in the order in which they are tried at a place, all of them after what is no letter or digit
+#: (Java patterns without groups).
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,})(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "secret": rf"(?:[0-9a-fA-F]{{32,128}}|(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{36,}}|sk-[0-9A-Za-z_-]{{20,}}){_END}",
+    "password": r"(?<=\b(?:password|passwd|pwd) ?[=:] ?['\x22]?)(?=[^\s'\x22,;]*\d)[^\s'\x22,;]{6,}",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
+    "phone": rf"(?<!\+)(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{2,4}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}){_END}",
+    "card": rf"\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}{_END}",
+    "name": rf"(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?",
 }
-ANY = "|".join(KINDS.values())
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
+#: What a text with any of them has somewhere, to be looked for first: it costs a tenth.
+SCREEN = rf"[0-9@]|[0-9a-fA-F]{{32}}|sk-|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})"
 #: Rounds of new surrogates for those that collide; after them a surrogate is made longer, which always ends it.
 ROUNDS = 12
-#: Documents with personal data up to which their replacements are broadcast.
-SMALL_MAPS = 50_000
-
 #: Between given name and surname in the normal form of a given name.
 SEPARATOR = "\x1f"
 
@@ -93,11 +105,41 @@ def _hex_like(text: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), _pick(list(_HEX), _number(digest, i, 16))).otherwise(c)), "")
 
 
+def luhn(digits: Column) -> Column:
+    """The digit that a number of cards must end with, after ``digits``."""
+    values = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
+    doubled = F.transform(values, lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int"))).otherwise(c.cast("int")))
+    total = F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def remainder_97(account: Column) -> Column:
+    """An account number (lower case, country and check digits first) modulo 97, with letters as 10 to 35."""
+    moved = F.filter(F.split(F.concat(F.substring(account, 5, 64), F.substring(account, 1, 4)), ""), lambda c: c != "")
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("long")).otherwise((F.ascii(c) - 87).cast("long"))
+    return F.aggregate(moved, F.lit(0).cast("long"), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
+def is_valid(kind: Column, norm: Column) -> Column:
+    """Whether a number's check digits, if its kind has such, are right; other numbers of that form are left alone, but
+    for those of 16 digits that begin as cards do: a card with a wrong digit is taken too."""
+    card = luhn(F.expr("substring(norm, 1, length(norm) - 1)")) == F.expr("substring(norm, length(norm), 1)")
+    return F.when(kind == "card", card | norm.rlike("^[3-6][0-9]{15}$")).when(kind == "iban", remainder_97(norm) == 1).otherwise(F.lit(True))
+
+
+def script_of(name: Column) -> Column:
+    out = F.lit("latin")
+    for script in GIVEN:
+        if script != "latin":
+            out = F.when(name.rlike(rf"\p{{Is{script.capitalize()}}}"), script).otherwise(out)
+    return out
+
+
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities`` (kind, norm, attempt) with a surrogate in lower case, from a digest of all three.
 
-    norm is an entity's normal form: lower case, and for phones, cards and accounts without separators.  That of a given
-    name ends with ``SEPARATOR`` and the surname."""
+    norm is an entity's normal form: lower case (but for passwords), and for phones, cards and accounts without separators.
+    That of a given name ends with ``SEPARATOR`` and the surname."""
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
     d = _digest(key, kind, norm, attempt.cast("string"))
 
@@ -110,32 +152,42 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     surname = F.lit(None).cast("string")
     for script, parts in PARTS.items():
         made = F.concat(*[_pick(parts, _number(d, i, len(parts))) for i in range(1, 4)])
-        surname = F.when(norm.rlike(r"\p{IsCyrillic}") == (script == "cyrillic"), made).otherwise(surname)
+        surname = F.when(script_of(norm) == script, made).otherwise(surname)
     given = F.lit(None).cast("string")
     for script, genders in GIVEN.items():
         for gender, names in genders.items():
             # one name at first, then two or three in one word, so that a surname with many given names has enough
             more = [F.when(attempt >= least, F.lower(_pick(names, _number(d, at, len(names))))).otherwise("") for at, least in ((4, 4), (6, 8))]
             given = F.when(kind == f"given:{script}:{gender}", F.concat(_pick(names, _number(d, 2, len(names))), *more)).otherwise(given)
-    # a country, and what tells the kind of an access key, stay
-    kept = F.regexp_extract(norm, r"^(\+\d|akia|asia|gh[pousr]_|sk-|[a-z]{2}(?=\d{2}[a-z0-9]{11,}$))", 0)
-    kept = F.when(kind.isin("phone", "iban", "secret") & ~norm.rlike("^[0-9a-f]{32,}$"), kept).otherwise("")
+    # a country, what tells the kind of an access key, and the first digit of a card stay
+    kept = F.regexp_extract(norm, r"^(\+\d|\d(?=\d{12,18}$)|akia|asia|gh[pousr]_|sk-|[a-z]{2}(?=\d{2}[a-z0-9]{11,}$))", 0)
+    hexadecimal = norm.rlike("^[0-9a-f]{32,}$")
+    kept = F.when(kind.isin("phone", "iban", "secret", "card") & ~hexadecimal, kept).otherwise("")
     rest = F.substring(norm, F.length(kept) + 1, F.length(norm))
-    like = F.when(norm.rlike("^[0-9a-f]{32,}$"), _hex_like(norm, d)).otherwise(F.concat(kept, _like(rest, d)))
-    made = F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "surname", surname).when(kind.startswith("given"), given).otherwise(like)
-    return entities.withColumn("surrogate", F.lower(F.when(attempt <= ROUNDS, made).otherwise(F.concat(made, F.substring(d, 1, 16)))))
+    like = F.when(hexadecimal, _hex_like(norm, d)).otherwise(F.concat(kept, _like(rest, d)))
+    entities = entities.withColumn("_like", like)
+    # numbers with check digits get right ones
+    body = F.expr("substring(_like, 1, length(_like) - 1)")
+    card = F.concat(body, luhn(body))
+    country, account = F.substring(norm, 1, 2), F.substring("_like", 5, 64)
+    check = F.lpad((98 - remainder_97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(country, check, account)
+    made = F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "surname", surname).when(kind.startswith("given"), given).when(kind == "card", card).when(kind == "iban", iban).otherwise(F.col("_like"))
+    longer = F.when(kind.isin("card", "iban"), made).otherwise(F.concat(made, F.substring(d, 1, 16)))
+    return entities.withColumn("surrogate", F.lower(F.when(attempt <= ROUNDS, made).otherwise(longer))).drop("_like")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """Distinct ``entities`` (kind, norm) with a surrogate each: of a kind, no two have the same, and none has one that
     is itself an entity of the data.  Given names are held apart so among those of a surname, whatever their gender.
-    Those that collide, but for the first, try again with another digest."""
+    Those that collide, but for the first, try again with another digest, until none does: only cards and accounts,
+    which have a fixed length, could go on, and of those there are far more than entities."""
     given = F.col("kind").startswith("given")
     pool = F.when(given, F.concat(F.lit("given" + SEPARATOR), F.substring_index("norm", SEPARATOR, -1))).otherwise(F.col("kind"))
-    own = F.when(given, F.substring_index("norm", SEPARATOR, 1)).otherwise(F.col("norm"))
+    own = F.when(given, F.substring_index("norm", SEPARATOR, 1)).otherwise(F.lower("norm"))
     real = checkpoint(entities.select(pool.alias("pool"), own.alias("surrogate")).distinct().withColumn("real", F.lit(True)))
     now = checkpoint(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
-    for attempt in range(1, ROUNDS + 3):
+    for attempt in range(1, 8 * ROUNDS):
         pooled = now.withColumn("pool", pool)
         first = pooled.groupBy("pool", "surrogate").agg(F.min(F.struct("attempt", "kind", "norm")).alias("first"))
         judged = pooled.join(first, ["pool", "surrogate"]).join(real, ["pool", "surrogate"], "left")
@@ -145,23 +197,39 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             return judged.drop("again")
         tried = with_surrogates(judged.where("again").select("kind", "norm", F.lit(attempt).alias("attempt")), key)
         now = checkpoint(judged.where("not again").drop("again").unionByName(tried))
-    return now
+    raise ValueError("some entities have no surrogate of their own")
 
 
 def parts_of(raw: Column) -> Column:
-    """The entities in a match, as (kind, norm, part): a name has up to two, each with the part of the text it is."""
-    kind = _alternatives({k: p for k, p in KINDS.items() if k != "name"}, raw, F.lit("name"))
+    """The entities in a match, as (kind, norm, gender, part): a name has up to two, each with the part of the text it is.
+    gender is that of a name's title, if it tells one."""
+    kind = _alternatives({k: p for k, p in KINDS.items() if k != "password"}, raw, F.lit("password"))
     digits = F.regexp_replace(raw, r"\D", "")
-    norm = F.when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)).when(kind == "card", digits).when(kind == "iban", F.lower(F.replace(raw, F.lit(" ")))).otherwise(F.lower(raw))
+    norm = F.when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)).when(kind == "card", digits).when(kind == "iban", F.lower(F.replace(raw, F.lit(" "))))
+    norm = norm.when(kind == "password", raw).otherwise(F.lower(raw))
     words = F.split(raw, " ")
     title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
-    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise(F.when(_number(F.sha2(F.get(words, F.lit(1)), 256), 0, 2) == 0, "f").otherwise("m"))
+    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("")
     last, first = F.element_at(words, -1), F.get(words, F.lit(1))
-    script = F.when(first.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    surname = F.struct(F.lit("surname").alias("kind"), F.lower(last).alias("norm"), last.alias("part"))
-    given = F.struct(F.concat_ws(":", F.lit("given"), script, gender).alias("kind"), F.concat_ws(SEPARATOR, F.lower(first), F.lower(last)).alias("norm"), first.alias("part"))
+    entity = lambda kind, norm, gender, part: F.struct(kind.alias("kind"), norm.alias("norm"), gender.alias("gender"), part.alias("part"))
+    surname = entity(F.lit("surname"), F.lower(last), F.lit(""), last)
+    given = entity(F.lit("given"), F.concat_ws(SEPARATOR, F.lower(first), F.lower(last)), gender, first)
     names = F.when(F.size(words) > 2, F.array(given, surname)).otherwise(F.array(surname))
-    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), raw.alias("part"))))
+    return F.when(kind == "name", names).otherwise(F.array(entity(kind, norm, F.lit(""), raw)))
+
+
+def with_gender(raws: DataFrame) -> DataFrame:
+    """``raws`` (kind, norm, gender and others) with the kind of given names made "given:script:gender".
+
+    A person's gender is that of the titles that come with the full name anywhere.  With titles of both, these are two
+    persons, and mentions without one are of the man; without any, a hash of the name chooses."""
+    given = F.col("kind") == "given"
+    known = raws.where(given).groupBy("norm").agg(F.max(F.col("gender") == "m").alias("_m"), F.max(F.col("gender") == "f").alias("_f"))
+    known = known.withColumnRenamed("norm", "_norm")
+    chosen = F.when(F.col("gender") != "", F.col("gender")).when(F.col("_m"), "m").when(F.col("_f"), "f").when(_number(F.sha2("norm", 256), 0, 2) == 0, "f").otherwise("m")
+    out = raws.join(known, given & (F.col("norm") == F.col("_norm")), "left")
+    kind = F.when(given, F.concat_ws(":", "kind", script_of(F.col("norm")), chosen)).otherwise(F.col("kind"))
+    return out.withColumn("kind", kind).drop("_m", "_f", "_norm", "gender")
 
 
 def poured(part: Column, made: Column) -> Column:
@@ -179,9 +247,10 @@ def poured(part: Column, made: Column) -> Column:
 
 
 def replacements(found: DataFrame, key: str) -> DataFrame:
-    """(raw, replacement) of every different match in ``found`` (raw)."""
+    """(raw, replacement) of every different match in ``found`` (raw) that is personal data."""
     raws = found.select("raw").distinct().select("raw", F.posexplode(parts_of(F.col("raw"))).alias("i", "x")).select("raw", "i", "x.*")
-    raws = checkpoint(raws)
+    raws = checkpoint(raws.where(is_valid(F.col("kind"), F.col("norm"))))
+    raws = checkpoint(with_gender(raws))
     made = assign(raws.select("kind", "norm").distinct(), key).select("kind", "norm", "surrogate")
     kind, part, new = F.col("kind"), F.col("part"), F.col("surrogate")
     named = (kind == "surname") | kind.startswith("given")
@@ -193,33 +262,49 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str = "orbiteer") -> DataFrame:
-    """``docs`` (doc_id, text and any others) with the personal data in text replaced, and n_replaced.
+    """``docs`` (text and any others) with the personal data in text replaced, and n_replaced.
 
     ``KINDS`` says what is found: mail and network addresses, phone, card, account and social security numbers, access
-    keys, and names after a title.  An entity's surrogate is made from a digest of ``key``, its kind and its normal
+    keys, passwords, and names after a title.  Numbers of cards and accounts need right check digits (``is_valid``), and
+    their surrogates have right ones.  An entity's surrogate is made from a digest of ``key``, its kind and its normal
     form, so it is the same wherever and however written (coreference), and looks like it: digits for digits, letters
-    of the same script and case, octets of as many digits, given names of the title's gender.  Surrogates that collide
-    with each other or with real entities are made anew, so different entities stay different; given names do so within a surname, hence full names do, and the
-    same given name with another surname is another entity.
-
-    Only documents with a match are joined; all others pass as they are.  A null text stays null.  Rows that repeat a
-    doc_id, or have none, are each replaced.  An empty table gives no row.
-    A column n_replaced is replaced."""
-    docs = docs.drop("n_replaced")
+    of the same script and case, octets of as many digits, given names of the person's gender (``with_gender``).
+    Surrogates that collide with each other or with real entities are made anew, so different entities stay different:
+    surnames do, and given names within a surname, hence full names; the same given name with another surname is another
+    entity.
+
+    Only texts with a match are joined to their replacements; all others pass as they are.  What is found at a place is
+    the first kind that fits.  A null text stays null, an empty one empty, and a long one is replaced whole.  Rows are
+    told apart by their text, so ones that repeat a doc_id, or have none, are each replaced.  An empty table gives no
+    row.  Columns n_replaced, _hash and _private are replaced."""
+    docs = docs.drop("n_replaced", "_hash", "_private")
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    found = checkpoint(docs.select("doc_id", F.array_distinct(every).alias("raws")).where(F.size("raws") > 0))
-    each = found.select("doc_id", F.explode("raws").alias("raw"))
+    every = F.when(text.rlike(SCREEN), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = docs.select(F.xxhash64("text").alias("hash"), F.array_distinct(every).alias("raws")).where(F.size("raws") > 0)
+    found = checkpoint(found.distinct())
+    each = found.select("hash", F.explode("raws").alias("raw"))
     new = checkpoint(replacements(each, key))
-    maps = each.join(new, "raw").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("raw", "replacement"))).alias("map"))
-    maps = checkpoint(maps.select(F.struct("doc_id", "map").alias("_private")))
-    out = docs.join(small(maps, SMALL_MAPS), docs["doc_id"].eqNullSafe(F.col("_private.doc_id")), "left")
-    pieces, private = F.split(text, ANY, -1), F.col("_private.map")
-    replaced = F.concat(F.transform(every, lambda m: F.coalesce(private[m], m)), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(pieces, replaced, lambda a, b: F.concat(a, b)), "")
-    known = F.col("_private").isNotNull() & F.col("text").isNotNull()
-    columns = [F.when(known, joined).otherwise(F.col("text")).alias(c) if c == "text" else docs[c] for c in docs.columns]
-    return out.select(*columns, F.when(known, F.size(every)).otherwise(0).cast("long").alias("n_replaced"))
+    each = each.join(F.broadcast(new) if fits(new, F.length("raw") + F.length("replacement")) else new, "raw")
+    maps = each.groupBy("hash").agg(F.collect_set(F.struct("raw", "replacement")).alias("pairs"))
+    maps = checkpoint(maps.select(F.col("hash").alias("_hash"), F.map_from_entries("pairs").alias("_private")))
+    size = F.aggregate(F.map_entries("_private"), F.lit(0), lambda a, x: a + 32 + F.length(x["key"]) + F.length(x["value"]))
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    if fits(maps, size):
+        return _replaced(docs.join(F.broadcast(maps), "_hash", "left"), docs, every)
+    matched = F.coalesce(F.size(every) > 0, F.lit(False))
+    clean = docs.where(~matched).withColumn("_private", F.lit(None).cast(maps.schema["_private"].dataType))
+    return _replaced(docs.where(matched).join(maps, "_hash", "left"), docs, every).union(_replaced(clean, docs, every))
+
+
+def _replaced(joined: DataFrame, docs: DataFrame, every: Column) -> DataFrame:
+    private = F.col("_private")
+    pieces = F.split(F.col("text"), ANY, -1)
+    made = F.transform(every, lambda m: F.coalesce(private[m], m))
+    new = F.array_join(F.zip_with(pieces, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    known = private.isNotNull() & F.col("text").isNotNull()
+    columns = [F.when(known, new).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "_hash"]
+    count = F.when(known, F.size(F.filter(every, lambda m: private[m].isNotNull()))).otherwise(0)
+    return joined.select(*columns, count.cast("long").alias("n_replaced"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,6 +383,59 @@ def test_full_names_stay_distinct(spark):
     assert not any(c.isdigit() for t in out for c in t)
 
 
+TITLED = [
+    "Dr John Smith met Mr John Smith", "Prof. JOHN SMITH", "Ms Anna Berg", "Dr Anna Berg", "Dr Kim Lee", "Mr Kim Lee", "Ms Kim Lee", "Prof Toni Fux and Dr Toni Fux",
+    "Dr Νίκος Παππάς", "Κυρία Μαρία Παππά", "Պարոն Արամ Խաչատրյան", "госпожа Анна Иванова", "Dr Анна Иванова", *(f"Mr {g} Smith" for g in "Adam Bert Carl Dirk Egon Fritz Gerd Hans Ingo Jens Kurt Lars Max Nick Olaf Pit Rolf Sven Tom Udo".split()),
+]
+
+
+def test_persons(spark):
+    """One surrogate for each person, of one gender and script, whatever the title; by brute force over all mentions."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TITLED)], "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    gender = {t: g for g, titles in pii.TITLES.items() for t in titles}
+    mention = re.compile(rf"\b({'|'.join(gender)})\.? ([^\W\d_]+) ([^\W\d_]+)")
+    titles, pairs = {}, []
+    for before, after in zip(TITLED, out, strict=True):
+        for a, b in zip(mention.finditer(before), mention.finditer(after), strict=True):
+            assert a[1] == b[1]
+            titles.setdefault((a[2].lower(), a[3].lower()), set()).add(gender[a[1]])
+            pairs.append((gender[a[1]], (a[2].lower(), a[3].lower()), (b[2].lower(), b[3].lower())))
+    of, back = {}, {}
+    for g, person, made in pairs:
+        known = titles[person] - {""}
+        g = g or ("m" if "m" in known else "f" if known else "")
+        assert of.setdefault((person, g), made) == made and back.setdefault(made, (person, g)) == (person, g) and made != person
+        script = next(s for s, letters in (("greek", "α-ώ"), ("armenian", "ա-ֆ"), ("cyrillic", "а-я"), ("latin", "a-z")) if re.search(f"[{letters}]", person[0]))
+        lists = {h: [n.lower() for n in pii.GIVEN[script][h]] for h in "mf"}
+        assert any(made[0].startswith(n) for n in (lists[g] if g else lists["m"] + lists["f"]))
+    assert len({x[1] for x in of.values()}) == len({person[1] for person, _ in of})
+
+
+def test_check_digits(spark):
+    def luhn(x):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(x))) % 10 == 0
+
+    texts = ["order 1234567890123456789", "order 9111 1111 1111 1112", "card 4111 1111 1111 1111", "5500-0000-0000-0004", "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pseudonymise(df).orderBy("doc_id").collect()
+    assert [r.n_replaced for r in rows] == [0, 0, 1, 1, 1, 0, 1] and all((r.text == t) == (r.n_replaced == 0) for r, t in zip(rows, texts, strict=True))
+    assert luhn(re.sub(r"\D", "", rows[2].text)) and luhn(re.sub(r"\D", "", rows[3].text)) and re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", rows[3].text)
+    for i, form in ((4, r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d"), (6, r"DE\d{20}")):
+        x = rows[i].text.replace(" ", "")
+        assert re.fullmatch(form, rows[i].text) and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_passwords_and_separate_joins(spark, monkeypatch):
+    """Also where the replacements are too many to be broadcast."""
+    texts = ["password=d72a491f71c7584344 ok", 'pwd: "Xy-9zzz" and Xy-9zzz', "password: needed", "my password is long", None, "mail a.b@c.org", "mail a.b@c.org"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    one = sorted((r.text or "", r.n_replaced) for r in pii.pseudonymise(df).collect())
+    monkeypatch.setattr(pii, "fits", lambda *_: False)
+    assert sorted((r.text or "", r.n_replaced) for r in pii.pseudonymise(df).collect()) == one
+    assert [n for _, n in one].count(1) == 4 and not any("d72a" in t or "a.b@c" in t for t, _ in one) and any(re.fullmatch(r'pwd: "[A-Z][a-z]-\d[a-z]{3}" and Xy-9zzz', t) for t, _ in one)
+
+
 def test_all_planted_forms_go(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = {r.doc_id: r for r in pii.op8(spark, sf_dir).collect()}
