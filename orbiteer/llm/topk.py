@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, table
+from .common import checkpoint, table, tidy
 
-#: Candidates in a shard, of which one task makes a tree; queries that a task takes to a tree; vectors in a leaf.
+#: Candidates in a shard, of which one task makes a tree; queries that go down a tree together; vectors in a leaf.
 SHARD, QUERIES, LEAF = 8192, 4096, 64
+#: Bytes of the queries, as they are stored, that are broadcast at once; a component is one to eight of them.
+QUERY_BYTES = 4 << 20
 
 #: Stand for an empty place among a query's best.  The first can be negated.
 NO_SCORE, NO_ID = -(2**63) + 1, 2**63 - 1
 
+_SHARDS = "shard int, one int, n int, tree binary, queries binary, found binary"
+_FOUND = "shard int, place int, query_id long, vec_id long, score long"
+
 
 class BallTree:
     """Balls (centre, radius) around halves of halves of integer vectors, split where they spread most, down to leaves."""
@@ -64,13 +73,19 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector id, score) of each query's ``k`` best vectors of a tree that score ``floor`` or more; ties to
-    smaller ids; ``own`` are ids that a query leaves out.  All queries go down the tree together: a node is opened for
-    those whose bound there is not below their kth score so far, leaves by falling bound, and each leaf lifts it."""
+def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, best_score: np.ndarray, best_id: np.ndarray) -> None:
+    """Merges the vectors of a tree into each query's best so far, ``best_score`` and ``best_id`` (queries, k), in place:
+    those that score ``floor`` or more, ties to smaller ids.  ``ids`` are the vectors' in the tree's order, ``own`` the
+    place there that a query leaves out, or -1.
+
+    All queries go down the tree together: a node is opened for those whose bound there is not below their kth score so
+    far, leaves by falling bound, and each leaf lifts it."""
+    k = best_score.shape[1]
+    if not k:
+        return
     real = queries.astype(np.float64)
     norms = np.sqrt((real**2).sum(axis=1))
-    kth = floor.astype(np.float64)
+    kth = np.maximum(floor, best_score[:, -1]).astype(np.float64)
     pairs, nodes = [], {0: np.arange(len(queries))}
     while nodes:
         below: dict[int, np.ndarray] = {}
@@ -82,13 +97,12 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray
             elif live.any():
                 below.update(dict.fromkeys(tree.children[node], who[live]))
         nodes = below
+    if not pairs:
+        return
     who, leaf, bound = (np.concatenate(x) for x in zip(*pairs, strict=True))
     order = np.lexsort((-bound, who))
     who, leaf, bound = who[order], leaf[order], bound[order]
     rank = np.arange(len(who)) - np.searchsorted(who, who)
-    best_score = np.full((len(queries), k), NO_SCORE)
-    best_id = np.full((len(queries), k), NO_ID)
-    sorted_ids = ids[tree.order]
     done, step = 0, 1
     while done <= rank.max(initial=-1):
         now = np.flatnonzero((rank >= done) & (rank < done + step) & (bound >= kth[who]))
@@ -98,83 +112,157 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray
             a, b = tree.spans[leaf[now[i]]]
             q = who[now[i:j]]
             score = _exact(queries[q], tree.vectors[a:b])
-            skip = (own[q][:, None] == sorted_ids[a:b]) | (score < floor[q][:, None])
+            skip = (own[q][:, None] == np.arange(a, b)) | (score < floor[q][:, None])
             score = np.where(skip, NO_SCORE, score)
-            id_ = np.where(skip, NO_ID, sorted_ids[a:b])
+            id_ = np.where(skip, NO_ID, ids[a:b])
             better = np.flatnonzero((score >= best_score[q][:, -1:]).any(axis=1))
             if len(better):
                 both_s, both_i = np.hstack([best_score[q[better]], score[better]]), np.hstack([best_id[q[better]], id_[better]])
-                top = np.lexsort((both_i, -both_s), axis=1)[:, :k] if k else np.zeros((len(better), 0), int)
+                top = np.lexsort((both_i, -both_s), axis=1)[:, :k]
                 best_score[q[better]], best_id[q[better]] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_i, top, 1)
         kth = np.maximum(kth, best_score[:, -1].astype(np.float64))
         done, step = done + step, step * 2
-    q, r = np.nonzero(best_id != NO_ID)
-    return q, best_id[q, r], best_score[q, r]
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
     """Integer rows; a shorter vector is filled up with zeros."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))), dtype=np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = vectors.flatten().to_numpy()
+    return out
+
+
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type that holds them."""
+    low, high = vectors.min(initial=0), vectors.max(initial=0)
+    return vectors.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _wide(vectors: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), dtype=np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    out[:, : vectors.shape[1]] = vectors
     return out
 
 
-def _in_shard(k: int, leaf: int):
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(candidates):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        width = max(max(map(len, queries["vector"])), max(map(len, candidates["vector"])))
-        candidates = candidates.sort_values("vec_id", ignore_index=True)
-        ids, vectors = candidates["vec_id"].to_numpy(), _matrix(candidates["vector"], width)
-        own = queries["vec_id"].to_numpy()
-        q, found, score = search(BallTree(vectors, leaf), ids, _matrix(queries["vector"], width), own, queries["floor"].to_numpy(), k)
-        return pd.DataFrame({"query_id": own[q], "vec_id": found, "score": score})
+def _rows(shard: np.ndarray, place: np.ndarray, query: np.ndarray, best_score: np.ndarray, best_id: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What was found, a row for each; a query is told by its shard and place there."""
+    q, r = np.nonzero(best_id != NO_ID)
+    for i in range(0, len(q), 50_000):
+        at, n = q[i : i + 50_000], r[i : i + 50_000]
+        columns = [pa.array(shard[at], pa.int32()), pa.array(place[at], pa.int32()), pa.array(query[at], pa.int64()), pa.array(best_id[at, n], pa.int64()), pa.array(best_score[at, n], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _none(queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((queries, k), NO_SCORE), np.full((queries, k), NO_ID)
+
+
+def _shards(k: int, leaf: int, most: int):
+    """Of all rows (vec_id, vector, is_query) of a task: a tree for each ``most`` of them, and their queries after these have
+    searched it, with what they found; trees, queries and findings are pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 12
+        held = None
+
+        def shard(rows: pa.Table, number: int) -> pa.RecordBatch:
+            ids, vectors = rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks())
+            tree = BallTree(vectors, leaf)
+            ids = ids[tree.order]
+            own = np.flatnonzero(rows.column(2).to_numpy(zero_copy_only=False)[tree.order])
+            queries, (score, found) = tree.vectors[own], _none(len(own), k)
+            for i in range(0, len(own), QUERIES):
+                part = slice(i, i + QUERIES)
+                search(tree, ids, queries[part], own[part], np.full(len(own[part]), NO_SCORE), score[part], found[part])
+            floor = score[:, -1] if k else np.zeros(len(own))
+            tree.vectors, tree.order = _narrow(tree.vectors), None
+            pickled = [pickle.dumps(x, 5) for x in ((tree, ids), (number, own, ids[own], _narrow(queries), floor), (score, found))]
+            columns = [pa.array([number], pa.int32()), pa.array([0], pa.int32()), pa.array([len(own)], pa.int32()), *(pa.array([x], pa.binary()) for x in pickled)]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SHARDS.split(", ")])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            while len(held) >= 2 * most:
+                yield shard(held.slice(0, most), first)
+                held, first = held.slice(most), first + 1
+        if held is not None and len(held):
+            yield shard(held, first)
+
+    return run
+
+
+def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for queries, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            number, own, ids, _, _ = pickle.loads(queries)
+            yield from _rows(np.full(len(own), number), own, ids, *pickle.loads(found))
+
+
+def _away(k: int):
+    """Of rows (shard, tree, array of the queries of many shards): what those queries find in all trees of the task that
+    aren't their own.  The best so far go from tree to tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            for i in range(len(batch)):
+                if known is None:
+                    known = [pickle.loads(x) for x in batch.column(2)[i].as_py()]
+                    number = np.concatenate([np.full(len(x[1]), x[0]) for x in known])
+                    place, query, floor = (np.concatenate([x[c] for x in known]) for c in (1, 2, 4))
+                    width = max(x[3].shape[1] for x in known)
+                    vectors = np.concatenate([_wide(x[3], width) for x in known])
+                    score, found = _none(len(query), k)
+                tree, ids = pickle.loads(batch.column(1)[i].as_py())
+                both = max(width, tree.vectors.shape[1])
+                tree.vectors = _wide(tree.vectors, both)
+                tree.centres = np.pad(tree.centres, ((0, 0), (0, both - tree.centres.shape[1])))
+                others = np.flatnonzero(number != batch.column(0)[i].as_py())
+                for a in range(0, len(others), QUERIES):
+                    part = others[a : a + QUERIES]
+                    s, f = score[part], found[part]
+                    search(tree, ids, _wide(vectors[part], both), np.full(len(part), -1), floor[part], s, f)
+                    score[part], found[part] = s, f
+        if known is not None:
+            yield from _rows(number, place, query, score, found)
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, block: int = QUERIES, leaf: int = LEAF) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """For each row of ``vectors`` (vec_id long, vector array<long>) where ``is_query`` holds: its ``k`` largest inner
     products with other rows, as query_id, rank, vec_id, score; ties to the smaller vec_id; all, if there are fewer.
 
-    Candidates are dealt to shards of about ``shard`` rows, queries to blocks of about ``block``; a task makes the tree
-    of a shard and takes a block through it.  Each block first searches one shard.  The kth score found there is where
-    every other shard starts, so those open few nodes and return only what may still count.
-
-    Rows with a null vec_id or vector take no part.  Of rows that repeat a vec_id the smallest vector counts.  Vectors
-    of different lengths are filled up with zeros.  Products beyond 64 bits raise an error."""
-    rows = vectors.where("vec_id is not null and vector is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("vector").alias("vector"))
-    rows = checkpoint(rows)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, blocks = max(1, -(-counts["n"] // shard)), max(1, -(-counts["q"] // block))
-    deal = F.xxhash64("vec_id", F.lit(10))
-    candidates = rows.withColumn("shard", F.pmod(deal, F.lit(shards)).cast("int"))
-    candidates = candidates.toDF(*candidates.columns)
-    queries = rows.where(is_query).withColumn("block", F.pmod(deal, F.lit(blocks)).cast("int")).withColumn("home", (F.col("block") % shards).cast("int"))
-    kind, run = "query_id long, vec_id long, score long", _in_shard(k, leaf)
-    least = F.lit(NO_SCORE).cast("long")
-
-    # block b is at home in shard b modulo the number of shards
-    at_home = candidates.where(F.col("shard") < blocks).withColumn("block", F.explode(F.sequence(F.col("shard"), F.lit(blocks - 1), F.lit(shards))))
-    at_home = at_home.toDF(*at_home.columns)
-    first = queries.withColumn("floor", least).groupBy("home", "block").cogroup(at_home.groupBy("shard", "block")).applyInPandas(run, kind)
-    first = checkpoint(first)
-    found = first
-    if shards > 1:
-        floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-        bounded = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce(F.when(F.col("n") >= k, F.col("least")), least)).drop("least", "n")
-        away = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-        others = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("block") % shards != F.col("shard"))
-        others = others.toDF(*others.columns)
-        found = found.union(away.groupBy("shard", "block").cogroup(others.groupBy("shard", "block")).applyInPandas(run, kind))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    Rows are dealt evenly to shards of about ``shard`` rows, whatever is in them, which is the one shuffle of vectors.  The
+    task of a shard makes its tree, once, and its own queries search it; the kth score that they find there is where they
+    start everywhere else.  Then the queries, in groups of at most about ``query_bytes``, are broadcast to the trees, and a
+    task takes its trees one after the other, so the kth score rises from tree to tree.
+
+    Rows with a null vec_id or vector take no part.  Rows that repeat a vec_id are rows of their own: each is a candidate of
+    all others, and each a query, with results of its own.  An empty table gives no row.  Vectors of different lengths
+    are filled up with zeros; a vector is held whole.  Products beyond 64 bits raise an error.  Further columns are
+    ignored, whatever their names."""
+    rows = vectors.where("vec_id is not null and vector is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vector", F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    n = rows.count()
+    trees = rows.repartition(max(1, -(-n // shard))).mapInArrow(tidy(_shards(k, leaf, shard)), _SHARDS)
+    trees = checkpoint(trees)
+    found = trees.select("queries", "found").mapInArrow(tidy(_at_home), _FOUND)
+    sizes = trees.where("n > 0").agg(F.sum(F.length("queries")).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    groups = max(1, -(-(sizes["size"] or 0) // query_bytes))
+    tasks = max(1, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    for g in range(groups):
+        own = trees.where((F.col("n") > 0) & (F.pmod(F.hash("shard"), F.lit(groups)) == g)).groupBy("one").agg(F.collect_list("queries").alias("queries"))
+        pairs = trees.select("shard", "tree", "one").coalesce(tasks).join(F.broadcast(own), "one").select("shard", "tree", "queries")
+        more = pairs.mapInArrow(tidy(_away(k)), _FOUND)
+        found = found.union(more if groups == 1 else checkpoint(more))
+    order = Window.partitionBy("shard", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id and floor(``scale`` * x) of each component of ``embeddings`` (vec_id, embedding); no row for a vector that
-    is null or holds a null, NaN or infinite component."""
+    is null or holds a null, NaN or infinite component.  An empty vector stays."""
     infinite = float("inf")
     good = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == infinite))
     return embeddings.where(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
@@ -186,11 +274,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vector FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vector FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.vector, c.vector)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+  SELECT q.n AS q, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.vector, c.vector)::BIGINT AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
 """
