@@ -21,8 +21,9 @@ MATCHES = 25
 #: Members of a group that one task compares with each other or with as many others.
 BLOCK = 256
 
-#: Sets of a posting list up to which its pairs are counted; those of a longer list are taken as one group.
-LIST = 128
+#: Sets of a posting list up to which one task counts its pairs' matches; a longer list is counted in blocks of
+#: ``CODES`` sets.
+LIST, CODES = 128, 2048
 
 _FACTORS = np.random.default_rng(9).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SETS = "doc_id long, hash long, n_shingles long, set long, signature array<int>, codes binary"
@@ -157,11 +158,83 @@ def _near_in_lists(coordinates: int, matches: int):
     return run
 
 
+def _near_codes(coordinates: int, matches: int):
+    """Of two blocks of a long list (set, comp, inside, codes): edges (a, b) between the comps of sets that have
+    ``matches`` equal codes, enough of them to join all that any pair joins.  Pairs that are both ``inside``, the list's
+    largest comp, aren't looked at."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        codes = np.frombuffer(b"".join(block["codes"]), dtype=np.uint8).reshape(-1, coordinates)
+        comp = block["comp"].to_numpy()
+        group, edges = comp.copy(), []
+        for i in np.flatnonzero(~block["inside"].to_numpy()):
+            near = np.flatnonzero(((codes == codes[i]).sum(axis=1) >= matches) & (group != group[i]))
+            for other in np.unique(group[near]):
+                j = near[group[near] == other][0]
+                edges.append((comp[i], comp[j]))
+                group[group == other] = group[i]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _part(n: str, block: int):
     """A block number for each member of a group of ``n``, about ``block`` to a number."""
     return F.pmod(F.xxhash64("set"), F.ceil(F.col(n) / block))
 
 
+def _pairs_of_blocks(own: DataFrame, by: str, block: int) -> DataFrame:
+    """``own`` (set, comp, ``by`` and others), with a row for each pair of blocks (p) that a set is to be compared in.
+
+    In a group by ``by``, all but its largest comp are outside.  A block of outsiders meets every block of the largest
+    comp and every block of outsiders; groups of one comp have no row."""
+    count = own.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("n"))
+    count = count.groupBy(by).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    count = checkpoint(count.select(by, F.col("top.comp").alias("main"), F.col("top.n").alias("in_main"), (F.col("n") - F.col("top.n")).alias("outside")))
+    own = own.join(small(count), by).withColumn("inside", F.col("comp") == F.col("main"))
+    main_blocks, other_blocks = F.ceil(F.col("in_main") / block), F.ceil(F.col("outside") / block)
+    own = own.withColumn("at", F.when(F.col("inside"), _part("in_main", block)).otherwise(_part("outside", block)))
+    outer, to_main, at = F.sequence(F.lit(0).cast("long"), other_blocks - 1), F.lit(True).alias("to_main"), F.col("at")
+    with_outer = F.transform(outer, lambda i: F.struct(i.alias("i"), at.alias("j"), to_main))
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), main_blocks - 1), lambda j: F.struct(at.alias("i"), j.alias("j"), to_main))
+    among = F.transform(outer, lambda j: F.struct(F.least(at, j).alias("i"), F.greatest(at, j).alias("j"), F.lit(False).alias("to_main")))
+    pairs = F.explode(F.when(F.col("inside"), with_outer).otherwise(F.concat(with_main, among))).alias("p")
+    return own.select("*", pairs).drop("at", "main", "in_main", "outside")
+
+
+def _joined(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comps`` (set, comp) after joining comps by ``edges`` (a, b)."""
+    merged = connected_components(edges).select(F.col("node").alias("comp"), F.col("component").alias("to"))
+    return checkpoint(comps.join(merged, "comp", "left").select("set", F.coalesce("to", "comp").alias("comp")))
+
+
+def _candidates(posts: DataFrame, classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """(set, comp) of all sets of ``posts`` (set, token) that are joined to another by pairs which share a token and
+    ``matches`` coordinates.
+
+    A task counts the matches of the pairs of each short list.  In a long one, each set is first counted against the list's
+    head; what that joins, with all that short lists join, are comps.  A list of copies is then one comp and done.  In
+    others, only sets outside the list's largest comp are counted against all of it, in blocks."""
+    heads = posts.groupBy("token").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = checkpoint(posts.join(heads, "token"))
+    # a byte of each coordinate is enough to count matches: it adds some, and loses none
+    short = lists.where(F.col("n") <= LIST).select("set", "token").join(classes.select("set", "codes"), "set")
+    near = short.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(_near_in_lists(coordinates, matches)), "a long, b long")
+    long = lists.where(F.col("n") > LIST)
+    if long.isEmpty():
+        return checkpoint(connected_components(near).select(F.col("node").alias("set"), F.col("component").alias("comp")))
+    long = checkpoint(long.select("set", "token", "head").join(classes.select("set", "signature", "codes"), "set"))
+    head = checkpoint(long.where("set = head").select("token", F.col("signature").alias("of_head")))
+    equal = F.aggregate(F.zip_with("signature", "of_head", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    stars = long.join(small(head), "token").where((F.col("set") != F.col("head")) & (equal >= matches)).select(F.col("set").alias("a"), F.col("head").alias("b"))
+    comps = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("comp")))
+    own = long.select("set", "token", "codes").join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    edges = _pairs_of_blocks(checkpoint(own), "token", CODES).groupBy("token", "p").applyInPandas(_near_codes(coordinates, matches), "a long, b long")
+    edges = checkpoint(edges.distinct())
+    alone = edges.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(comps, "set", "left_anti").select("set", F.col("set").alias("comp"))
+    return comps if edges.isEmpty() else _joined(comps.union(alone), edges)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
     """As ``groups``, without what tells rows of one doc_id apart."""
     return groups(docs, shingle, percent, coordinates, matches, block).select("doc_id", "n_shingles", "component_id", "kept")
@@ -176,14 +249,16 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     Method: every distinct set is posted once under each (coordinate, value) of its MinHash signature.  Values that
     only one set has are skipped.  Of what is left, two signatures that share ``matches`` coordinates share one of
     each's rarest m - ``matches`` + 1 (m: its coordinates left), so only this prefix is merged.  A task counts the
-    matches of the sets that share a list and joins those with enough; of a list longer than ``LIST`` it joins all, as
-    a star.  What is joined is a group, compared in blocks of ``block`` by whole sets: first each
+    matches of the sets that share a list and joins those with enough; long lists are counted in blocks
+    (``_candidates``).  What is joined is a group, compared in blocks of ``block`` by whole sets: first each
     block in itself, then the roots found, then the sets outside a group's largest component with all of the group.
     No pair of a group is dropped and none is sent out, only each member's root.
 
     ASCII letters are lower-cased; words are as in ``common.WORD``.  A null or empty text has no shingle and is linked
     with nothing: component_id is its own doc_id.  A row with a null doc_id is returned with a null component_id and
-    kept.  Rows that repeat a doc_id count as documents of their own.  Further columns are ignored."""
+    kept.  Rows that repeat a doc_id count as documents of their own; equal texts are one set, and of equal doc_ids the
+    smallest hash of the text is chosen.  A long text counts whole (about 20 bytes for each word of it are held).  An
+    empty table gives no row.  Further columns are ignored, whatever their names."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     signed = checkpoint(docs.mapInArrow(tidy(_sign(shingle, coordinates)), _SETS))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "hash", "signature", "codes")).alias("m"))
@@ -195,13 +270,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     left = tokens.join(shared, "token").groupBy("set").agg(F.collect_list(F.struct("n", "token")).alias("t")).where(F.size("t") >= matches)
     posts = left.select("set", F.explode(F.slice(F.array_sort("t"), F.lit(1), F.size("t") - (matches - 1))).alias("t")).select("set", "t.token")
     posts = checkpoint(posts)
-    heads = posts.groupBy("token").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = checkpoint(posts.join(heads, "token"))
-    stars = lists.where(F.col("n") > LIST).where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b"))
-    # a byte of each coordinate is enough to count matches: it adds some, and loses none
-    short = lists.where(F.col("n") <= LIST).select("set", "token").join(classes.select("set", "codes"), "set")
-    near = short.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(_near_in_lists(coordinates, matches)), "a long, b long")
-    blobs = checkpoint(connected_components(stars.union(near)).select(F.col("node").alias("set"), F.col("component").alias("blob")))
+    blobs = _candidates(posts, classes, coordinates, matches).withColumnRenamed("comp", "blob")
 
     sizes = blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
     members = checkpoint(blobs.join(sizes, "blob").join(classes, "set").select("doc_id", "hash", "set", "blob", "n"))
@@ -233,25 +302,13 @@ def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, k
     again = again.select(F.col("set").alias("comp"), "root")
     comps = checkpoint(comps.join(again, "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")))
 
-    own = large.drop("n").join(comps, "set")
-    count = own.groupBy("blob", "comp").agg(F.count(F.lit(1)).alias("n"))
-    count = count.groupBy("blob").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    own = own.join(count.select("blob", F.col("top.comp").alias("main"), F.col("top.n").alias("in_main"), (F.col("n") - F.col("top.n")).alias("outside")), "blob")
-    # a block of outsiders meets every block of the main component and every block of outsiders
-    inside, main_blocks, other_blocks = F.col("comp") == F.col("main"), F.ceil(F.col("in_main") / block), F.ceil(F.col("outside") / block)
-    own = own.withColumn("at", F.when(inside, _part("in_main", block)).otherwise(_part("outside", block)))
-    outer, to_main, at = F.sequence(F.lit(0).cast("long"), other_blocks - 1), F.lit(True).alias("to_main"), F.col("at")
-    with_outer = F.transform(outer, lambda i: F.struct(i.alias("i"), at.alias("j"), to_main))
-    with_main = F.transform(F.sequence(F.lit(0).cast("long"), main_blocks - 1), lambda j: F.struct(at.alias("i"), j.alias("j"), to_main))
-    among = F.transform(outer, lambda j: F.struct(F.least(at, j).alias("i"), F.greatest(at, j).alias("j"), F.lit(False).alias("to_main")))
-    pairs = own.select("doc_id", "hash", "set", "blob", "comp", F.explode(F.when(inside, with_outer).otherwise(F.concat(with_main, among))).alias("p"))
+    own = checkpoint(large.drop("n").join(comps, "set"))
+    pairs = _pairs_of_blocks(own, "blob", block).select("doc_id", "hash", "set", "blob", "comp", "p")
     links = docs.join(small(checkpoint(pairs)), ["doc_id", "hash"]).groupBy("blob", "p").applyInPandas(roots, kind)
     links = checkpoint(links.where("set <> root").distinct())
     first = comps.select("set", F.col("comp").alias("a"))
     second = comps.select(F.col("set").alias("root"), F.col("comp").alias("b"))
-    edges = links.join(first, "set").join(second, "root").where("a <> b").select("a", "b")
-    merged = connected_components(edges).select(F.col("node").alias("comp"), F.col("component").alias("to"))
-    return checkpoint(comps.join(merged, "comp", "left").select("set", F.coalesce("to", "comp").alias("comp")))
+    return _joined(comps, links.join(first, "set").join(second, "root").where("a <> b").select("a", "b"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,21 @@ def test_groups_larger_than_a_block(spark):
     assert found(near_dup.near_duplicates(df, 2, block=16)) == expected
 
 
+@pytest.mark.parametrize("limit", [2, 6])
+def test_long_lists(spark, documents, monkeypatch, limit):
+    """Lists that are too long for one task are counted in blocks: copies, near copies, and lists of others."""
+    monkeypatch.setattr(near_dup, "LIST", limit)
+    monkeypatch.setattr(near_dup, "CODES", 5)
+    pick, rows = random.Random(4), [(i, t[:3000]) for i, t in documents[:60]]
+    common = "all of these begin with words that many others have too and go on for a while like this"
+    for i in range(120):
+        words = (common if i % 2 else common[::-1]).split() + [f"y{pick.randint(0, 9)}" for _ in range(pick.randint(0, 12))]
+        rows.append((10_000 + i, " ".join(words)))
+    expected = sorted(brute(rows, 2))
+    assert 10 < len({r[2] for r in expected if r[0] >= 10_000}) < 110
+    assert found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, block=16)) == expected
+
+
 def test_odd_rows(odd, none):
     rows = near_dup.near_duplicates(odd, 2).collect()
     assert len(rows) == len(odd.rows)
