@@ -20,10 +20,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number above 0 and below 1 for each doc_id, from its MD5."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+def digest(doc_id: Column, text: Column, seed: int) -> Column:
+    """MD5 of doc_id, seed and text: rows that differ in one of them get different random numbers."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def uniform(hexadecimal: Column) -> Column:
+    """A number above 0 and below 1 from the first digits of a digest."""
+    return (F.conv(F.substring(hexadecimal, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -52,102 +56,126 @@ def _same_source(a: str, b: str) -> Column:
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
 
-def _plan(sizes: DataFrame, weights: Sequence[int], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """What each source takes, and which documents of the slices at its limit it takes."""
+def with_scale(known: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``known`` (source, room and others) with ``scale``: a document's inclusion probability is scale * size, at most 1,
+    and by those the sample is expected to have ``room`` words.
+
+    Over the different sizes of a source, from the largest: with the sizes so far certain, what they leave of the room,
+    divided by the sum of squares of the rest, is the scale; the first that leaves no other above 1 holds."""
+    counts = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.alias("a").join(small(known.select("source", "room")).alias("b"), _same_source("a", "b")).select("a.source", "size", "n", "room")
+    exact = lambda c: c.cast("decimal(38,0)")
+    words, squares = exact(F.col("n")) * exact(F.col("size")), (exact(F.col("n") * F.col("size")).cast("decimal(25,0)") * F.col("size").cast("decimal(12,0)")).cast("decimal(38,0)")
+    falling = Window.partitionBy("source").orderBy(F.desc("size"))
+    before, whole = falling.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
+    taken, gone = (F.coalesce(F.sum(x.cast("decimal(28,0)")).over(before), F.lit(0)).cast("double") for x in (words, squares))
+    counts = counts.withColumn("scale", (F.col("room") - taken) / (F.sum(squares.cast("decimal(28,0)")).over(whole).cast("double") - gone))
+    fits = counts.where(F.col("scale") * F.col("size") <= 1).groupBy("source").agg(F.max_by("scale", "size").alias("scale"))
+    known = known.alias("a").join(fits.alias("b"), _same_source("a", "b"), "left")
+    return known.select("a.*", F.greatest(F.coalesce("b.scale", F.lit(0.0)), F.lit(0.0)).alias("scale"))
+
+
+def pareto(u: Column, size: Column, scale: Column) -> Column:
+    """The sampling key: random odds over inclusion odds; the smallest keys are in the sample.  0 for what is certain,
+    null for what has no odds."""
+    chance = F.least(F.lit(1.0), scale * size)
+    return F.when(chance >= 1, 0.0).when(chance > 0, u / (1 - u) / (chance / (1 - chance)))
+
+
+def slice_of(key: Column, slices: Column) -> Column:
+    """The slice of the order that a key falls in, counting from 0; where the sample ends, at keys about 1, slices hold
+    ``SLICE`` documents or less on average."""
+    return F.least(slices - 1, F.floor(key / (1 + key) * slices)).cast("long")
+
+
+def place(key: Column, doc_id: Column, size: Column, u: Column) -> Column:
+    """A document's place in the order; equal rows share one."""
+    return F.struct(key.alias("key"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), size.alias("size"), u.alias("u"))
+
+
+def plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """For each source of ``sizes`` (doc_id, source, size, u): source_size, target, copies, scale, slices, and where its
+    sample ends (limit, cut)."""
     known = targets(sizes, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    known = known.withColumn("rate", rate).withColumn("copies", F.floor("rate").cast("long"))
-    # inclusion odds of one more copy; with odds of 0 there is nothing left to sample
-    part = F.col("rate") - F.col("copies")
-    known = known.withColumn("odds", part / (1 - part)).withColumn("left", F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("long"))
-    known = checkpoint(known.withColumn("slices", F.ceil(F.col("docs") / SLICE).cast("long")))
-
-    ranked = sizes.alias("a").join(small(known).alias("b"), _same_source("a", "b")).select("a.doc_id", "a.size", "b.source", "b.slices", "b.left", pareto(F.col("a.doc_id"), F.col("b.odds"), seed).alias("key"), F.col("b.odds").alias("odds"))
-    ranked = ranked.withColumn("slice", slice_of(F.col("key"), F.col("odds"), F.col("slices")))
-    slices = checkpoint(ranked.groupBy("source", "slice", "left").agg(F.sum("size").alias("size")))
-    # the slice in which the running sum passes what is left: first by groups of slices, then inside that group
+    known = known.withColumn("copies", F.floor(rate).cast("long")).withColumn("room", F.col("target") - F.col("copies") * F.col("source_size"))
+    known = known.withColumn("slices", F.ceil(F.col("docs") / SLICE).cast("long"))
+    known = checkpoint(with_scale(checkpoint(known), sizes))
+
+    ranked = sizes.alias("a").join(small(known).alias("b"), _same_source("a", "b"))
+    ranked = ranked.select("a.doc_id", "a.size", "a.u", "b.source", "b.slices", "b.room", pareto(F.col("a.u"), F.col("a.size"), F.col("b.scale")).alias("key")).where("key is not null")
+    ranked = ranked.withColumn("slice", slice_of(F.col("key"), F.col("slices")))
+    slices = checkpoint(ranked.groupBy("source", "slice", "room").agg(F.sum("size").alias("size")))
+    # the slice in which the running sum passes the room: first by groups of slices, then inside that group
     group = F.floor(F.col("slice") / GROUP)
     over_groups = Window.partitionBy("source").orderBy("g")
-    groups = slices.groupBy("source", group.alias("g"), "left").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(over_groups))
-    at_group = groups.where("upto > left").groupBy("source").agg(F.min_by(F.struct("g", (F.col("upto") - F.col("size")).alias("before")), "g").alias("x")).select("source", "x.*")
-    inside = slices.alias("a").join(at_group.alias("b"), _same_source("a", "b") & (group == F.col("b.g"))).select("a.source", "a.slice", "a.left", "a.size", "b.before")
+    groups = slices.groupBy("source", group.alias("g"), "room").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(over_groups))
+    at_group = groups.where("upto > room").groupBy("source").agg(F.min_by(F.struct("g", (F.col("upto") - F.col("size")).alias("before")), "g").alias("x")).select("source", "x.*")
+    inside = slices.alias("a").join(at_group.alias("b"), _same_source("a", "b") & (group == F.col("b.g"))).select("a.source", "a.slice", "a.room", "a.size", "b.before")
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("slice")))
-    limit = inside.where("upto > left").groupBy("source").agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("size")).alias("before")), "slice").alias("x")).select("source", "x.*")
-    known = known.alias("a").join(limit.alias("b"), _same_source("a", "b"), "left")
-    # a source without such a slice takes all that it can
-    known = checkpoint(known.select("a.*", F.coalesce("b.slice", "a.slices").alias("limit"), F.coalesce("b.before", F.lit(0)).alias("before")))
-
-    near = ranked.alias("a").join(small(known).alias("b"), _same_source("a", "b") & (F.col("b.odds") > 0) & F.col("a.slice").between(F.col("b.limit"), F.col("b.limit") + 1))
-    near = near.groupBy("a.source", "a.doc_id", "a.size", "a.key", (F.col("b.left") - F.col("b.before")).alias("room")).agg(F.count(F.lit(1)).alias("n"))
-    order = F.array_sort(F.collect_list(F.struct("key", "doc_id", "size", "n"))).alias("rows")
-    near = near.groupBy("source", "room").agg(order)
+    limit = inside.where("upto > room").groupBy("source").agg(F.min_by(F.struct(F.col("slice").alias("limit"), (F.col("upto") - F.col("size")).alias("before")), "slice").alias("x")).select("source", "x.*")
+    limit = checkpoint(limit)
 
-    def take(state: Column, row: Column) -> Column:
-        need = row["size"] * row["n"]
-        fits = need <= state["room"]
-        return F.struct((state["room"] - F.when(fits, need).otherwise(F.lit(0))).alias("room"), F.concat(state["took"], F.array(fits)).alias("took"))
+    # in it, document by document: the last one is in if that misses the room by no more
+    near = ranked.alias("a").join(small(limit).alias("b"), _same_source("a", "b") & (F.col("a.slice") == F.col("b.limit")))
+    near = near.select("a.source", place(F.col("a.key"), F.col("a.doc_id"), F.col("a.size"), F.col("a.u")).alias("place"), "a.size", "a.room", "b.before")
+    near = near.groupBy("source", "place", "room", "before").agg(F.sum("size").alias("size"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    cut = near.withColumn("upto", upto).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("room")).groupBy("source").agg(F.max("place").alias("cut"))
+    out = known.alias("a").join(limit.alias("b"), _same_source("a", "b"), "left").join(cut.alias("c"), _same_source("a", "c"), "left")
+    return checkpoint(out.select("a.source", "a.source_size", "a.target", "a.copies", "a.scale", "a.slices", F.coalesce("b.limit", "a.slices").alias("limit"), "c.cut"))
 
-    start = F.struct(F.col("room").cast("long").alias("room"), F.array().cast("array<boolean>").alias("took"))
-    near = near.withColumn("end", F.aggregate("rows", start, take))
-    # of the others, the one whose whole size comes nearest to the room left, if it comes nearer than none
-    over = F.transform(F.arrays_zip("rows", F.col("end.took").alias("took")), lambda x, i: F.named_struct(F.lit("off"), F.abs(x["rows"]["size"] * x["rows"]["n"] - F.col("end.room")), F.lit("i"), i, F.lit("took"), x["took"]))
-    last = F.array_min(F.filter(over, lambda x: ~x["took"] & (x["off"] < F.col("end.room"))))["i"]
-    near = near.select("source", last.alias("last"), F.posexplode(F.arrays_zip("rows", F.col("end.took").alias("took"))).alias("i", "x"))
-    chosen = checkpoint(near.where(F.col("x.took") | (F.col("i") == F.col("last"))).select("source", "x.rows.doc_id", "x.rows.size"))
-    return known, chosen
 
+def n_copies(doc_id: Column, size: Column, u: Column, source: Column) -> Column:
+    """How many copies the mix takes of a document; ``source`` is a struct of a row of ``plan``."""
+    key = pareto(u, size, source["scale"])
+    own = slice_of(key, source["slices"])
+    chosen = (own < source["limit"]) | ((own == source["limit"]) & (place(key, doc_id, size, u) <= source["cut"]))
+    return source["copies"] + F.coalesce((key.isNotNull() & chosen).cast("int"), F.lit(0))
 
-def pareto(doc_id: Column, odds: Column, seed: int) -> Column:
-    """The sampling key: random odds over inclusion odds; the smallest keys are in the sample."""
-    u = uniform(doc_id, seed)
-    return F.when(odds > 0, u / (1 - u) / odds)
 
-
-def slice_of(key: Column, odds: Column, slices: Column) -> Column:
-    """The slice of the order that a key falls in, counting from 0; all slices of a source hold about as many."""
-    return F.coalesce(F.least(slices - 1, F.floor(key * odds / (1 + key * odds) * slices)), slices).cast("long")
+def measured(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size and random number of each document."""
+    doc_id = F.col("doc_id").cast("long")
+    return checkpoint(docs.select(doc_id.alias("doc_id"), "source", n_words(F.col("text")).alias("size"), uniform(digest(doc_id, F.col("text"), seed)).alias("u")))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 4) -> DataFrame:
     """``docs`` (doc_id, text, source and any others), with mix_size, mix_source_size, mix_target and mix_copies.
 
-    A document's size is its words (``common.WORD``; 0 for a null text).  See ``targets`` for those of the sources.  A
-    source takes the whole part of target over size as certain copies of all its documents.  One more copy goes to a
-    fixed-size sample: documents in order of random odds over inclusion odds, as long as their sizes fit into what the
-    target leaves.  The order is cut into slices of about 256 documents; slices before the limit are taken whole, by
-    sums; in the two at the limit, a document that doesn't fit is left out and later ones may follow; one of those left out may
-    end it, if the target is then missed by less.
+    A document's size is its words (``common.WORD``; 0 for a null or empty text).  See ``targets`` for those of the sources.
+    A source takes the whole part of target over size as certain copies of all its documents.  One more copy goes to a
+    sample with unequal probabilities, in proportion to size (``with_scale``), whose size in words is fixed by what the
+    target leaves: documents in Pareto order, of random odds over inclusion odds, as far as that goes, which misses the
+    target by at most half of the last one.  The order is cut into slices of about 256 documents, of which only that where
+    the sample ends is looked at document by document.
 
-    Nothing depends on partitions: reruns agree.  A null source is a source.  Rows that repeat a doc_id in a source have
-    one key, and if alike in size are taken both or not at all.  An empty table gives no row.
+    Nothing depends on partitions: reruns agree.  A null source is a source.  A null doc_id is one like others; rows that
+    are equal in doc_id and text are taken both or not at all.  An empty table gives no row; a long text is read whole.
     Columns of the added names are replaced."""
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    size = n_words(F.col("text"))
-    sizes = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")))
-    known, chosen = _plan(sizes, weights, most, seed)
-    given = docs.withColumn("mix_size", size)
-    known = known.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "copies", "odds", "slices", "limit")
-    chosen = chosen.select(F.col("source").alias("c_source"), F.col("doc_id").alias("c_doc_id"), F.col("size").alias("c_size"))
-    known = known.select("mix_source", "mix_source_size", "mix_target", F.struct("copies", "odds", "slices", "limit").alias("mix_plan"))
-    chosen = chosen.select(F.struct("c_source", "c_doc_id", "c_size").alias("mix_chosen"))
-    out = given.join(small(known), given["source"].eqNullSafe(F.col("mix_source")))
-    plan, doc_id = F.col("mix_plan"), given["doc_id"].cast("long")
-    own = slice_of(pareto(doc_id, plan["odds"], seed), plan["odds"], plan["slices"])
-    row = F.struct(given["source"].alias("c_source"), doc_id.alias("c_doc_id"), F.col("mix_size").alias("c_size"))
-    out = out.join(small(chosen.distinct()), row.eqNullSafe(F.col("mix_chosen")), "left")
-    copies = plan["copies"] + F.when((own < plan["limit"]) & (plan["odds"] > 0) | F.col("mix_chosen").isNotNull(), 1).otherwise(0)
-    return out.select(*[given[c] for c in docs.columns], "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_plan", "mix_u")
+    known = plan(measured(docs, seed), weights, most)
+    columns = [c for c in known.columns if c != "source"]
+    known = known.select(F.struct("source", *columns).alias("mix_plan"))
+    given = docs.withColumn("mix_size", n_words(F.col("text"))).withColumn("mix_u", uniform(digest(F.col("doc_id").cast("long"), F.col("text"), seed)))
+    out = given.join(small(known), given["source"].eqNullSafe(F.col("mix_plan.source")))
+    of = F.col("mix_plan")
+    copies = n_copies(F.col("doc_id").cast("long"), F.col("mix_size"), F.col("mix_u"), of)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", of["source_size"].alias("mix_source_size"), of["target"].alias("mix_target"), copies.alias("mix_copies"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    sizes = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), 4)
+    known = plan(sizes)
+    known = known.select(F.struct(*known.columns).alias("of"))
+    taken = F.col("size") * n_copies(F.col("doc_id"), F.col("size"), F.col("u"), F.col("of"))
+    return sizes.join(small(known), F.col("source").eqNullSafe(F.col("of.source"))).select("doc_id", "size", "of.source_size", "of.target", taken.alias("taken"))
 
 
 OP4_SQL = r"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':4'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':4:' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents
 ), s AS (
   SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size,
@@ -161,35 +189,27 @@ WITH RECURSIVE d AS (
   SELECT *, least(coalesce(min_by(CASE WHEN level * weight <= source_size * 3.0::DOUBLE THEN level END,
                                   CASE WHEN level * weight <= source_size * 3.0::DOUBLE THEN source_size / weight END) OVER (), 0.0::DOUBLE) * weight,
                   source_size::DOUBLE * 3) AS target FROM l
-), r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ceil(docs / 256)::BIGINT AS slices FROM t),
-p AS (
-  SELECT *, floor(rate)::BIGINT AS copies, (rate - floor(rate)) / (1 - (rate - floor(rate))) AS odds,
-         floor(target - floor(rate)::BIGINT * source_size)::BIGINT AS room FROM r
-), k AS (
-  SELECT d.doc_id, d.size, p.*, CASE WHEN odds > 0 THEN u / (1 - u) / odds END AS pareto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), r AS (
+  SELECT *, target - copies * source_size AS room
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t)
 ), c AS (
-  SELECT *, coalesce(least(slices - 1, floor(pareto * odds / (1 + pareto * odds) * slices)), slices)::BIGINT AS slice FROM k
-), b AS (
-  SELECT source, slice, room, sum(sum(size)) OVER (PARTITION BY source ORDER BY slice) AS upto, sum(size) AS own FROM c GROUP BY source, slice, room
-), e AS (SELECT source, min(slice) AS edge, min_by(upto - own, slice) AS before FROM b WHERE upto > room GROUP BY source),
-f AS (
-  SELECT c.*, coalesce(e.edge, c.slices) AS edge, c.room - coalesce(e.before, 0) AS here,
-         row_number() OVER (PARTITION BY c.source ORDER BY pareto, doc_id, size) AS n
-  FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.source
+  -- scale x size is the chance of one more copy, 1 for the largest documents; it makes the expected words fill the room
+  SELECT d.source, d.size, any_value(r.room) AS room,
+         coalesce(sum(sum(d.size::HUGEINT)) OVER larger, 0)::DOUBLE AS certain,
+         (sum(sum(d.size::HUGEINT * d.size)) OVER (PARTITION BY d.source) - coalesce(sum(sum(d.size::HUGEINT * d.size)) OVER larger, 0))::DOUBLE AS squares
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE d.size > 0 GROUP BY d.source, d.size
+  WINDOW larger AS (PARTITION BY d.source ORDER BY d.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), p AS (
+  SELECT source, greatest(max_by((room - certain) / squares, size), 0) AS scale FROM c WHERE (room - certain) / squares * size <= 1 GROUP BY source
+), k AS (
+  SELECT d.*, r.source_size, r.target, r.copies, r.room, least(1.0::DOUBLE, coalesce(p.scale, 0) * d.size) AS chance
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), o AS (
-  SELECT source, doc_id, size, here, row_number() OVER (PARTITION BY source ORDER BY n) AS n FROM f WHERE slice BETWEEN edge AND edge + 1
-), g AS (
-  SELECT source, doc_id, n, size <= here AS took, here - CASE WHEN size <= here THEN size ELSE 0 END AS here FROM o WHERE n = 1
-  UNION ALL
-  SELECT o.source, o.doc_id, o.n, o.size <= g.here, g.here - CASE WHEN o.size <= g.here THEN o.size ELSE 0 END
-  FROM g JOIN o ON o.source IS NOT DISTINCT FROM g.source AND o.n = g.n + 1
-), z AS (SELECT source, arg_max(here, n) AS here FROM g GROUP BY source),
-m AS (
-  SELECT o.source, arg_min(o.n, abs(o.size - z.here) * 1000000 + o.n) AS n FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.n = g.n
-  JOIN z ON o.source IS NOT DISTINCT FROM z.source WHERE NOT g.took AND abs(o.size - z.here) < z.here GROUP BY o.source
+  SELECT *, CASE WHEN chance >= 1 THEN 0 WHEN chance > 0 THEN u / (1 - u) / (chance / (1 - chance)) END AS pareto FROM k
+), w AS (
+  SELECT *, sum(CASE WHEN pareto IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY pareto NULLS LAST, doc_id NULLS FIRST, size, u) AS upto,
+         sum(size) OVER (PARTITION BY source, pareto, doc_id, size, u) AS own
+  FROM o
 )
-SELECT f.doc_id, f.size, f.source_size, f.target,
-       (f.size * (f.copies + CASE WHEN f.slice < f.edge AND f.odds > 0 OR coalesce(g.took OR g.n = m.n, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM f LEFT JOIN g ON f.source IS NOT DISTINCT FROM g.source AND f.doc_id IS NOT DISTINCT FROM g.doc_id
-LEFT JOIN m ON f.source IS NOT DISTINCT FROM m.source
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN pareto IS NOT NULL AND 2 * upto - own <= 2 * room THEN 1 ELSE 0 END))::BIGINT AS taken FROM w
 """

@@ -250,6 +250,39 @@ def test_mix_meets_targets_and_reruns_agree(spark, sf_dir):
     assert all(abs(r.t - r.g) <= r.m / 2 + 1 for r in by)
 
 
+def test_sample_in_proportion_to_size(spark):
+    """The plan, against a plain version of it over sorted rows, and inclusion by size over many seeds."""
+    sizes = [*range(1, 60), 900, 2500, 0, 0]
+    df = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(1000 + i, "v " * 30, "b") for i in range(40)], "doc_id long, text string, source string")
+    taken = Counter()
+    for seed in range(12):
+        rows = mixing.mix(df, weights=(1, 3), seed=seed).collect()
+        for source in "ab":
+            own = [r for r in rows if r.source == source]
+            copies, target, total = math.floor(own[0].mix_target / own[0].mix_source_size), own[0].mix_target, own[0].mix_source_size
+            room, scale, certain, squares = target - copies * total, 0.0, 0, sum(r.mix_size**2 for r in own)
+            for n in sorted({r.mix_size for r in own if r.mix_size}, reverse=True):
+                if (room - certain) / squares * n <= 1:
+                    scale = (room - certain) / squares
+                    break
+                certain += n * sum(r.mix_size == n for r in own)
+                squares -= n * n * sum(r.mix_size == n for r in own)
+            keys = {}
+            for r in own:
+                digits = hashlib.md5(f"{r.doc_id}:{seed}:{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest()[:12]
+                u, chance = (int(digits, 16) + 0.5) / 2**48, min(1, scale * r.mix_size)
+                if chance > 0:
+                    keys[r.doc_id] = 0.0 if chance == 1 else u / (1 - u) / (chance / (1 - chance))
+            chosen, upto, size = set(), 0, {r.doc_id: r.mix_size for r in own}
+            for i in sorted(keys, key=lambda i: (keys[i], i)):
+                upto += size[i]
+                if 2 * upto - size[i] <= 2 * room:
+                    chosen.add(i)
+            assert {r.doc_id for r in own if r.mix_copies > copies} == chosen
+            taken.update(i for i in chosen if source == "a")
+    assert sum(taken[i] for i in range(40, 59)) > 1.5 * sum(taken[i] for i in range(19)) and taken[59] + taken[60] > 0
+
+
 def test_many_slices(spark, monkeypatch):
     """Slices and their groups, much smaller than usual, give what sorting all documents would."""
     monkeypatch.setattr(mixing, "SLICE", 8)
