@@ -355,6 +355,8 @@ def test_lines_of_odd_rows(odd, none, spark):
     rows = line_dedup.drop_boilerplate(odd).collect()
     assert len(rows) == len(odd.rows) and {r.n_dropped for r in rows} == {0}
     df = spark.createDataFrame([("h", f"menu\n\nown {i}\nmenu") for i in range(5)] + [("h", None), (None, "menu"), ("g", "menu")], "source string, text string")
+    both = spark.createDataFrame([("h", "menu\none"), ("h", "menu\ntwo"), ("h", "menu\ntwo"), ("g", "x\ny"), ("g", "x\ny")], "source string, text string")
+    assert sorted(r.text for r in line_dedup.drop_boilerplate(both).collect()) == ["one", "two", "two", "x\ny", "x\ny"]
     got = sorted((r.source or "", r.text or "", r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(df).collect())
     assert got == sorted([("h", f"\nown {i}", 4, 2) for i in range(5)] + [("h", "", 0, 0), ("", "menu", 1, 0), ("g", "menu", 1, 0)])
     assert line_dedup.drop_boilerplate(none).count() == 0
