@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpoint, table
+from .common import checkpoint, short_batches, table, tidy
 
 BITS = 128
 #: Words of a term.
 TERM = 2
+#: Places of documents in the sample that limits of ranges are taken from, for each range; terms that vote together.
+PER_RANGE, TERMS = 20, 8192
 
 _KIND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -31,10 +33,12 @@ def fingerprints(texts: pa.Array, term: int = TERM) -> np.ndarray:
         for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
             if y > x:
                 terms, count = np.unique(runs[x : y - term + 1] if y - x >= term else wordhash.runs(words[x:y], y - x), return_counts=True)
-                wide = np.column_stack([terms, wordhash.mix(terms + np.uint64(0x5851F42D4C957F2D))])
-                weight = (1 + np.log(count)).astype(np.float32)
-                votes = weight @ np.unpackbits(wide.view(np.uint8), axis=1).astype(np.float32)
-                out[a + i] = 2 * votes > weight.sum()
+                weight, votes = (1 + np.log(count)).astype(np.float32), np.zeros(BITS, dtype=np.float64)
+                for k in range(0, len(terms), TERMS):
+                    own = terms[k : k + TERMS]
+                    wide = np.column_stack([own, wordhash.mix(own + np.uint64(0x5851F42D4C957F2D))])
+                    votes += weight[k : k + TERMS] @ np.unpackbits(wide.view(np.uint8), axis=1).astype(np.float32)
+                out[a + i] = 2 * votes > weight.sum(dtype=np.float64)
     return out
 
 
@@ -73,14 +77,15 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows.slice(len(rows) - 1)
 
 
-def _count_below(cuts: list[int], value: Column) -> Column:
-    """How many of the sorted ``cuts`` are at most ``value``, by halving."""
-    array = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
+def _count_below(cuts: list[tuple[int, int]], ord_: Column, hash_: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most (ord, hash), by halving."""
+    ords, hashes = _longs([c[0] for c in cuts]), _longs([c[1] for c in cuts])
     zero, n = F.lit(0), F.lit(len(cuts))
 
     def halve(state: Column, _: Column) -> Column:
         middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
-        above = F.get(array, middle) <= value
+        cut = F.get(ords, middle)
+        above = (cut < ord_) | ((cut == ord_) & (F.get(hashes, middle) <= hash_))
         more = state["low"] < state["high"]
         return F.struct(F.when(more & above, middle + 1).otherwise(state["low"]).alias("low"), F.when(more & ~above, middle).otherwise(state["high"]).alias("high"))
 
@@ -88,50 +93,63 @@ def _count_below(cuts: list[int], value: Column) -> Column:
     return F.aggregate(steps, F.struct(zero.alias("low"), n.alias("high")), halve)["low"]
 
 
+def _longs(values: list[int]) -> Column:
+    return F.lit(values).cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     """Of each of ``docs`` (doc_id, text): its fingerprint, and that of its edited text, whose last quarter of code points
     is replaced by the first as many of the next document (by doc_id; after the last, the first).
 
-    Documents are dealt once, by ranges of doc_id whose limits are doc_ids of the table, so that a range's last
+    Documents are dealt once, by ranges of doc_id and, for those that repeat one, of a hash of the text.  The limits are
+    places of documents, from a sample of about ``PER_RANGE`` for each range; they matter for balance only.  A range's last
     document finds the next one as a second copy of the following range's first.  A range is read in order, row by row.
 
-    A null text is empty, and all bits of an empty text's fingerprint are 0.  A null doc_id comes before all others,
-    and rows that repeat one are in order of their texts.  An empty table gives no row; of a single document, the next
-    is itself.  Further columns are ignored."""
+    A null text is empty, and all bits of an empty text's fingerprint are 0; a long text is held whole.  A null doc_id
+    comes before all others, and rows that repeat one are in order of that hash, then of their texts.  An empty table
+    gives no row; of a single document, the next is itself.  Further columns are ignored, whatever their names."""
     spark = docs.sparkSession
+    short_batches(spark)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / ranges for i in range(1, ranges)]
-    limits = docs.agg(F.min("ord").alias("least"), F.percentile_approx("ord", shares, 20 * ranges).alias("cuts")).first()
-    least = limits["least"] if limits["least"] is not None else 0
-    cuts = sorted({c for c in limits["cuts"] or [] if c > least})
-    own = _count_below(cuts, F.col("ord"))
-    docs = docs.withColumn("own", own)
+    known = docs.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "hash")).alias("least")).first()
+    least = tuple(known["least"]) if known["least"] else (0, 0)
+    chance = min(1.0, PER_RANGE * ranges / max(1, known["n"]))
+    picked = docs.where(F.pmod(F.xxhash64("ord", "hash", F.lit(6)), F.lit(1 << 40)) < int(chance * (1 << 40))).select("ord", "hash").distinct()
+    picked = sorted(tuple(r) for r in picked.limit(4 * PER_RANGE * ranges).collect())
+    cuts = sorted({picked[i * len(picked) // ranges] for i in range(1, ranges)} - {least}) if picked else []
+    empty = F.array().cast("array<struct<bucket:int,extra:int>>")
+    docs = docs.withColumn("own", _count_below(cuts, F.col("ord"), F.col("hash")))
     to = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("extra")))
-    begins = (F.col("own") > 0) & (F.col("ord") == F.get(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), F.col("own") - 1))
-    to = F.concat(to, F.when(begins, F.array(F.struct((F.col("own") - 1).alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array().cast("array<struct<bucket:int,extra:int>>")))
-    wraps = F.col("ord") == F.lit(least)
-    to = F.concat(to, F.when(wraps, F.array(F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("extra")))).otherwise(F.array().cast("array<struct<bucket:int,extra:int>>")))
-    dealt = docs.select("doc_id", "ord", "text", F.explode(to).alias("to")).select("doc_id", "ord", "to.bucket", "to.extra", "text")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", "ord", "text")
-    return dealt.select("doc_id", "bucket", "extra", "text").mapInArrow(_with_next, _KIND)
+    limit = F.col("own") - 1
+    begins = (F.col("own") > 0) & (F.col("ord") == F.get(_longs([c[0] for c in cuts]), limit)) & (F.col("hash") == F.get(_longs([c[1] for c in cuts]), limit))
+    to = F.concat(to, F.when(begins, F.array(F.struct(limit.alias("bucket"), F.lit(1).alias("extra")))).otherwise(empty))
+    wraps = (F.col("ord") == F.lit(least[0])) & (F.col("hash") == F.lit(least[1]))
+    to = F.concat(to, F.when(wraps, F.array(F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("extra")))).otherwise(empty))
+    dealt = docs.select("doc_id", "ord", "hash", "text", F.explode(to).alias("to")).select("doc_id", "ord", "hash", "to.bucket", "to.extra", "text")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", "ord", "hash", "text")
+    return dealt.select("doc_id", "bucket", "extra", "text").mapInArrow(tidy(_with_next), _KIND)
 
 
 def fingerprint(docs: DataFrame, term: int = TERM) -> DataFrame:
-    """doc_id and fingerprint (hexadecimal) of ``docs`` (doc_id, text), row by row."""
+    """doc_id and fingerprint (hexadecimal) of ``docs`` (doc_id, text), row by row: nulls and repeated rows as they come, a
+    null or empty text with all bits 0.  An empty table gives no row; further columns are ignored."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hex(fingerprints(batch.column(1), term)), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 def within_radius(queries: DataFrame, found: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     """All pairs (query, fingerprint, distance) of the distinct fingerprints of ``queries`` and of ``found`` that differ
     in at most ``radius`` bits.  Two such agree in all of ``blocks`` but ``radius`` blocks of bits, so for each choice of
-    that many blocks there is a table, keyed by them put first, and every pair meets in at least one of them."""
+    that many blocks there is a table, keyed by them put first, and every pair meets in at least one of them.
+
+    Nulls take no part, repeated fingerprints count once, empty tables give no row, further columns are ignored."""
     if not 0 <= radius < blocks or BITS % (4 * blocks):
         raise ValueError("radius must be below blocks, and blocks must cut the hexadecimal digits evenly")
     width = BITS // 4 // blocks

@@ -319,7 +319,8 @@ def test_edits_and_fingerprints(spark, sf_dir, documents):
 
 def test_edits_of_odd_rows(odd, none, spark):
     rows = simhash.fingerprint_with_edits(odd).collect()
-    order = sorted(odd.rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or ""))
+    hashes = {r.text: r.hash for r in odd.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).collect()}
+    order = sorted(odd.rows, key=lambda r: (-(2**63) if r[0] is None else r[0], hashes[r[1] or ""], r[1] or ""))
     texts = [r[1] or "" for r in order]
     expected = Counter()
     for k, r in enumerate(order):
@@ -332,6 +333,61 @@ def test_edits_of_odd_rows(odd, none, spark):
     assert one.edited_sha256 == hashlib.sha256(b"abca").hexdigest() and one.near_next == 1.0
 
 
+def test_edits_across_ranges(spark, monkeypatch):
+    """A range for every few documents, with one doc_id on many of them; long texts vote in parts."""
+    monkeypatch.setattr(simhash, "TERMS", 3)
+    rows = [(i if i % 3 else None, f"text {i} has a few words of its own and {i * 7}") for i in range(60)]
+    got = Counter((r.doc_id, r.edited_sha256, r.fingerprint) for r in simhash.fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    monkeypatch.undo()
+    hashes = {r.text: r.hash for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("hash")).collect()}
+    rows.sort(key=lambda r: (-(2**63) if r[0] is None else r[0], hashes[r[1]]))
+    expected = Counter()
+    for k, (i, own) in enumerate(rows):
+        after, n = rows[(k + 1) % len(rows)][1], len(own) // 4
+        expected[i, hashlib.sha256((own[: len(own) - n] + after[:n]).encode()).hexdigest(), np.packbits(simhash.fingerprints(pa.array([own]))[0]).tobytes().hex()] += 1
+    assert got == expected
+
+
+def brute_fingerprint(text):
+    """Bit by bit: words, their pairs, votes by 1 + ln(count)."""
+    words = text.encode().split()
+    pairs = Counter(tuple(words[i : i + 2]) for i in range(len(words) - 1)) if len(words) > 1 else Counter([tuple(words)] if words else [])
+    votes = [0.0] * simhash.BITS
+    for term, n in pairs.items():
+        data = b" ".join(term)
+        (h, _) = simhash.wordhash.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        one = simhash.wordhash.runs(h, len(term))[0]
+        bits = "".join(f"{b:08b}" for b in int(one).to_bytes(8, "little") + int(simhash.wordhash.mix(np.array([one + np.uint64(0x5851F42D4C957F2D)]))[0]).to_bytes(8, "little"))
+        votes = [v + (1 + math.log(n)) * (1 if c == "1" else -1) for v, c in zip(votes, bits, strict=True)]
+    return [v > 1e-6 for v in votes]
+
+
+def test_fingerprint_bit_by_bit(documents):
+    texts = [t for _, t in documents[:12]] + ["", "one", "a b a b a b", "é è é"]
+    for text, bits in zip(texts, simhash.fingerprints(pa.array(texts)), strict=True):
+        assert (bits == brute_fingerprint(text)).mean() > 0.99
+
+
+def test_likeness_to_the_next(spark, sf_dir, documents):
+    rows = {r.doc_id: r for r in simhash.op6(spark, sf_dir).collect()}
+    bits = simhash.fingerprints(pa.array([t for _, t in documents]))
+    for k, (i, _) in enumerate(documents):
+        assert rows[i].near_next == pytest.approx(max(0, math.cos(math.pi * (bits[k] != bits[(k + 1) % len(bits)]).mean())), abs=1e-5)
+
+
+def test_search_query(spark, sf_dir, documents):
+    """simhash_search against all pairs of fingerprints."""
+    bits = simhash.fingerprints(pa.array([t for _, t in documents]))
+    names = simhash._hex(bits)
+    expected = set()
+    for k, (i, _) in enumerate(documents):
+        if i % 100 == 0:
+            for name in {names[m] for m in np.flatnonzero((bits != bits[k]).sum(axis=1) <= 6)}:
+                own = [d for (d, _), x in zip(documents, names, strict=True) if x == name]
+                expected.add((i, min(own), len(own), int((bits[k] != bits[names.index(name)]).sum())))
+    assert {tuple(r) for r in simhash.simhash_search(spark, sf_dir).collect()} == expected
+
+
 @pytest.mark.parametrize("radius,blocks", [(0, 1), (3, 4), (6, 8)])
 def test_radius_search(spark, radius, blocks):
     random = np.random.default_rng(radius)
