@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tidy
+from .common import short_batches, table, tidy
 from .html_labels import PAGES, made
 
 _ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
@@ -317,6 +317,7 @@ def extract(pages: DataFrame, depth: int = 8) -> DataFrame:
     A null or empty html, or one without words, gives an empty text.  Each row is taken by itself, so repeated rows give
     repeated results, an empty table gives none, and nothing is cut off: a page is held whole, and read in time that
     grows with its length.  Further columns are ignored, whatever their names."""
+    short_batches(pages.sparkSession)
     return pages.selectExpr("page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(
         _extract(learnt(depth)), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import short_batches, table, tidy
 from .wordhash import slices
 
 #: Bytes of one sequence; a text is cut into such, each read from both sides.
@@ -246,6 +246,7 @@ def identify(docs: DataFrame, model: ByteGru | None, steps: int = STEPS) -> Data
     letter gets ``und`` and 0, as does any without a model.  Each row is taken by itself, so repeated rows get the same,
     and an empty table gives no row; a long text goes through the network in parts.  Columns of the added names are
     replaced."""
+    short_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_predict(model, steps), f"{kinds}, lang_pred string, score double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpoint, small, table, tidy
+from .common import checkpoint, short_batches, small, table, tidy
 from .components import connected_components
 
 #: Coordinates of a signature.
@@ -259,6 +259,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     kept.  Rows that repeat a doc_id count as documents of their own; equal texts are one set, and of equal doc_ids the
     smallest hash of the text is chosen.  A long text counts whole (about 20 bytes for each word of it are held).  An
     empty table gives no row.  Further columns are ignored, whatever their names."""
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     signed = checkpoint(docs.mapInArrow(tidy(_sign(shingle, coordinates)), _SETS))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "hash", "signature", "codes")).alias("m"))

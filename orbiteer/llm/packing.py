@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tidy
+from .common import short_batches, table, tidy
 from .wordhash import slices
 
 WINDOW = 2048
@@ -212,6 +212,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     pieces of equal length go in the order of the rows.  An empty table gives no row.  A long text is held whole, with
     its ids.  The strings of special tokens in a text are those tokens.  Further columns are ignored, whatever their
     names."""
+    short_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_packed(window, vocabulary, end_id), _PIECES)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpoint, small, table, tidy
+from .common import checkpoint, short_batches, small, table, tidy
 
 WINDOW = 50
 #: Anchors start at positions that are, modulo the period, in the cover.  Fixed values: a perfect difference set, so
@@ -225,6 +225,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
     A run of ``window`` words in two documents has, within a ``period`` of its start, a place where both documents'
     positions are in the cover, so both have an anchor of ``window`` - ``period`` + 1 words there.  Hashes of anchors
     tell which windows may repeat; these alone are hashed whole, and the smallest doc_id of each hash keeps it."""
+    short_batches(docs.sparkSession)
     keyed = docs.where("doc_id is not null")
     anchors = keyed.select("doc_id", "text").mapInArrow(tidy(_anchors(window, period)), _ROWS)
     spans = _flagged(anchors, later=False).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
