@@ -273,11 +273,13 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     posts = checkpoint(posts)
     blobs = _candidates(posts, classes, coordinates, matches).withColumnRenamed("comp", "blob")
 
-    sizes = blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    members = checkpoint(blobs.join(sizes, "blob").join(classes, "set").select("doc_id", "hash", "set", "blob", "n"))
+    sizes = checkpoint(blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("n")))
+    members = checkpoint(blobs.join(small(sizes), "blob").join(classes, "set").select("doc_id", "hash", "set", "blob", "n"))
     roots, kind = _roots(shingle, percent, coordinates, matches), "set long, root long"
     first = docs.join(small(members), ["doc_id", "hash"]).withColumn("comp", F.col("set"))
-    comps = first.groupBy("blob", _part("n", block).alias("part")).applyInPandas(roots, kind)
+    # as many tasks as the session has partitions: few bytes of text take long to compare
+    first = first.withColumn("part", _part("n", block)).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "blob", "part")
+    comps = first.groupBy("blob", "part").applyInPandas(roots, kind)
     comps = checkpoint(comps.select("set", F.col("root").alias("comp")))
     large = members.where(F.col("n") > block)
     if not large.isEmpty():
