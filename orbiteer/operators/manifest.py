@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path", order: str = "seq") -> DataFrame:
     """One row for each key of both tables: the one of highest ``order``, new before old."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    latest = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(order))
-    return both.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", "_new")
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*old.columns), F.struct("_new", order)).alias("row"))
+    return latest.select("row.*")
 
 
 def entries(manifest: DataFrame) -> DataFrame:
@@ -55,5 +54,5 @@ def download_needed(exists, size, overwrite: bool):
 
 
 def valid_response(url, content_type, code):
-    """Whether an answer is the file: not a login page, not HTML, and code 200."""
-    return ~F.contains(F.lower(url), F.lit("login")) & ~F.lower(content_type).startswith("text/html") & (code == 200)
+    """Whether an answer is the file: not from a login host, not HTML, and code 200."""
+    return ~F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).startswith("login."), F.lit(False)) & ~F.lower(content_type).startswith("text/html") & (code == 200)

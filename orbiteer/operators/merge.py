@@ -27,7 +27,8 @@ def collapse_constant(df: DataFrame, column: str) -> DataFrame:
     if column not in df.columns:
         return df
     x = c(column)
-    one = df.agg((F.count_distinct(x) + F.coalesce(F.max(x.isNull().cast("int")), F.lit(0)) == 1).alias("one")).first()["one"]
+    lacking, least, most = F.max(x.isNull()), F.min(x), F.max(x)
+    one = df.agg(F.coalesce(F.when(lacking, least.isNull()).otherwise(least == most), F.lit(False)).alias("one")).first()["one"]
     return df.drop(x) if one else df
 
 

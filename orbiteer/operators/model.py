@@ -36,7 +36,10 @@ def add_densities(df: DataFrame, model: DensityModel, versions: Sequence[str] =
         for rows in batches:
             n = len(rows)
             where = rows["timestamp"].to_numpy(), rows[LONGITUDE].to_numpy(), rows[LATITUDE].to_numpy(), rows[ALTITUDE].to_numpy() / 1000.0
-            aps = np.array([np.full(7, np.nan) if a is None else np.asarray(a, dtype=float) for a in rows["aps"]]).reshape(n, -1)
+            aps = np.full((n, 7), np.nan)
+            given = rows["aps"].notna().to_numpy()
+            if given.any():
+                aps[given] = np.concatenate(rows["aps"].to_numpy()[given]).astype(float).reshape(-1, 7)
             flux, mean, index = CONSTANT
             forcings = {"": (rows["f107"].to_numpy(), rows["f107a"].to_numpy(), aps), "ct_": (np.full(n, flux), np.full(n, mean), np.full_like(aps, index))}
             made = {f"msis_density_{kind}{v}": np.asarray(model(*where, *forcing, version=v), dtype=float).reshape(n, -1)[:, 0] if n else [] for kind, forcing in forcings.items() for v in versions}

@@ -55,7 +55,12 @@ def centred_mean(daily: DataFrame, value: str, day: str = "date", days: int = 81
 
 def attach_daily(rows: DataFrame, daily: DataFrame, ts: str = "timestamp", lag_days: int = 0) -> DataFrame:
     """``rows`` with the columns of ``daily`` for their day (less ``lag_days``); rows without one get nulls.  Spark
-    broadcasts the daily table if it is below its limit, as any real one is, and shuffles by day otherwise."""
+    broadcasts the daily table if it is below its limit, as any real one is, and shuffles by day otherwise.  Days that
+    repeat raise an error: they would multiply rows."""
+    values = [x for x in daily.columns if x != "date"]
+    days = daily.groupBy("date").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c(x)).alias(x) for x in values])
+    once = lambda x: F.when(F.col("_n") == 1, c(x)).otherwise(F.raise_error(F.lit("a day repeats in the daily table"))).alias(x)
+    daily = days.select("date", *[once(x) for x in values])
     key = F.date_sub(F.to_date(c(ts)), lag_days)
     return rows.join(daily.withColumnRenamed("date", "_date"), key == F.col("_date"), "left").drop("_date")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..operators.filters import require_rows
 from ..operators.merge import merge
 from ..schemas import DECODE_MANIFEST, MERGE_MANIFEST, SCHEMAS
 from ..sources.tables import append_csv, scan, write
-from ..sources.text import read_archive, read_lines, read_mission
+from ..sources.text import archive_rows, mission_rows, read_lines
 
 
 @dataclass(frozen=True)
@@ -23,9 +24,15 @@ class Decoded:
     rejected: DataFrame
 
 
-def _log(spark: SparkSession, manifest: str | None, mission: str, code, paths: list[str], out: str) -> None:
+def _kept(lines: DataFrame) -> DataFrame:
+    """The lines of all files, unpacked once and held on disk while they are checked, written and logged."""
+    return lines.persist(StorageLevel.DISK_ONLY)
+
+
+def _log(lines: DataFrame, bad: DataFrame, manifest: str | None, mission: str, code, out: str) -> None:
+    """A row for each file with a text that wasn't rejected."""
     if manifest is not None:
-        members = read_lines(spark, paths).where("member is not null").select("path", "member").distinct()
+        members = lines.where("member is not null").select("path", "member").distinct().join(bad.select("path").distinct(), "path", "left_anti")
         rows = members.select(F.lit(mission).alias("mission"), code(F.col("member")).alias("mission_code"), F.lit(out).alias("parquet_path"), F.col("path").alias("source_path"))
         append_csv(rows, manifest, DECODE_MANIFEST)
 
@@ -35,17 +42,25 @@ def decode_mission(spark: SparkSession, mission: str, paths: list[str], out: str
     returned as rejected; an unknown mission, or nothing readable, raises."""
     if mission.upper() not in SCHEMAS:
         raise ValueError(f"unknown mission {mission!r}")
-    rows, bad = read_mission(spark, paths, SCHEMAS[mission.upper()])
-    write(require_rows(rows.drop("path"), 9), out, "lz4")
-    _log(spark, manifest, mission, mission_code, paths, out)
+    lines = _kept(read_lines(spark, paths))
+    try:
+        rows, bad = mission_rows(lines, SCHEMAS[mission.upper()])
+        write(require_rows(rows.drop("path"), 9), out, "lz4")
+        _log(lines, bad, manifest, mission, mission_code, out)
+    finally:
+        lines.unpersist()
     return Decoded(out, bad)
 
 
 def decode_archive(spark: SparkSession, paths: list[str], out: str, manifest: str | None = None) -> Decoded:
     """The same for archive files, by time."""
-    rows, bad = read_archive(spark, paths)
-    write(require_rows(rows.drop("path"), 7).orderBy("timestamp"), out, "lz4")
-    _log(spark, manifest, "hasdm", archive_code, paths, out)
+    lines = _kept(read_lines(spark, paths))
+    try:
+        rows, bad = archive_rows(lines)
+        write(require_rows(rows.drop("path"), 7).orderBy("timestamp"), out, "lz4")
+        _log(lines, bad, manifest, "hasdm", archive_code, out)
+    finally:
+        lines.unpersist()
     return Decoded(out, bad)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import argparse
+import importlib.util
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +16,8 @@ from ..operators.binstats import figure_bins, metric_columns, mission_summary, w
 from ..operators.filters import mission_filter
 from ..operators.ratios import with_mission
 from ..schemas import ALTITUDE
-from ..sources.tables import scan
+from ..session import session
+from ..sources.tables import scan, write
 
 #: Aliases of the metrics in the figure, and those that may be missing.
 RATIOS = {"msis_00": "ln_density_ratio_0", "msis_20": "ln_density_ratio_2.0", "msis_21": "ln_density_ratio_2.1", "matlab": "ln_density_ratio_matlab_density"}
@@ -76,3 +80,23 @@ def comparisons(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, tupl
         missions = {m: scan(spark, p).where(mission_filter(m, exclude_2005)) for m, p in paths.items()}
         out[name] = figure_data(missions, mode)
     return out
+
+
+def main(arguments: Sequence[str] | None = None) -> int:
+    """Saves the points and labels of the three comparisons as Parquet, and draws them where matplotlib is installed."""
+    parser = argparse.ArgumentParser(prog="figure", description=main.__doc__)
+    parser.add_argument("tables", nargs="+", metavar="MISSION=PATH", help="analysed tables")
+    parser.add_argument("--folder", required=True)
+    given = parser.parse_args(arguments)
+    spark = session("figure")
+    for name, (points, labels) in comparisons(spark, dict(t.split("=", 1) for t in given.tables)).items():
+        write(points, f"{given.folder}/{name}/points")
+        write(labels, f"{given.folder}/{name}/labels")
+        if importlib.util.find_spec("matplotlib"):
+            draw(points, labels, f"{given.folder}/{name}.png", name.replace("_", " "))
+        print(f"{given.folder}/{name}")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

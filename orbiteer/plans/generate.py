@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,27 +35,52 @@ def output_path(source: str, old: str = "merged", new: str = "msis") -> str:
 
 
 def existing(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Those outputs of ``files`` that are there, asked of their file system."""
+    """Those outputs of ``files`` that are there, asked of their file system, many at a time."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
-    for row in files.select("output_file").distinct().toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(row["output_file"])
-        if path.getFileSystem(conf).exists(path):
-            found.append((row["output_file"],))
+
+    def there(name: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(conf).exists(path)
+
+    names = [r["output_file"] for r in files.select("output_file").distinct().collect()]
+    with ThreadPoolExecutor(16) as pool:
+        found = [(name,) for name, yes in zip(names, pool.map(there, names), strict=True) if yes]
     return spark.createDataFrame(found, "output_file string")
 
 
-def generate(spark: SparkSession, sources: Sequence[str], model: DensityModel, space_weather: DataFrame, manifest: str | None = None, resume: bool = True, skip_existing: bool = True, batch: int = BATCH, now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)) -> DataFrame:
-    """A row per file as in ``RUN_MANIFEST``, appended to ``manifest``: success, failed (with the error) or skipped.
+def generate(
+    spark: SparkSession,
+    sources: str | Sequence[str],
+    model: DensityModel,
+    space_weather: DataFrame,
+    manifest: str | None = None,
+    resume: bool = True,
+    skip_existing: bool = True,
+    batch: int = BATCH,
+    workers: int = 4,
+    now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC),
+) -> DataFrame:
+    """A row per file as in ``RUN_MANIFEST``: success, failed (with the error) or skipped.  Each is appended to ``manifest``
+    as soon as its file ends, so a run that is stopped goes on where it was.
 
-    A file that fails doesn't stop the others.  Inside a file, Spark's tasks take batches of ``batch`` rows."""
+    ``workers`` files are under way at once, as jobs that share the cluster, so small ones don't leave it idle; inside a
+    file, tasks take batches of ``batch`` rows.  A file that fails doesn't stop the others; a single path, given as a
+    string, raises its error after it is logged."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-    files = spark.createDataFrame([(s,) for s in sources], "source_file string").select("source_file", renamed(F.col("source_file"), "merged", "msis").alias("output_file"))
+    alone = isinstance(sources, str)
+    files = spark.createDataFrame([(s,) for s in ([sources] if alone else sources)], "source_file string").select("source_file", renamed(F.col("source_file"), "merged", "msis").alias("output_file"))
     runs = read_csv(spark, manifest, RUN_MANIFEST) if manifest is not None else None
     todo, skipped = pending(files, runs, existing(spark, files), resume, skip_existing)
-    stamp = lambda: now().strftime("%Y-%m-%dT%H:%M:%SZ")
-    log = [(stamp(), "skipped", r["source_file"], r["output_file"], None, None, None, None, batch, 1, r["reason"]) for r in skipped.collect()]
-    for i, file in enumerate(todo.orderBy("source_file").collect(), 1):
+    todo, skipped = todo.orderBy("source_file").collect(), skipped.collect()
+    errors, lock = [], Lock()
+
+    def logged(*rows: tuple) -> list[tuple]:
+        if manifest is not None and rows:
+            with lock:
+                append_csv(spark.createDataFrame(list(rows), RUN_MANIFEST), manifest, RUN_MANIFEST)
+        return list(rows)
+
+    def one(i: int, file) -> list[tuple]:
         source, out, began, rows, error = file["source_file"], file["output_file"], time.monotonic(), None, None
         try:
             table = scan(spark, source)
@@ -62,10 +89,16 @@ def generate(spark: SparkSession, sources: Sequence[str], model: DensityModel, s
             write(add_densities(with_forcing(table, space_weather), model), out, "lz4")
             rows = scan(spark, out).count()
         except Exception as e:  # one file's failure is a row of the log
+            errors.append(e)
             error = str(e)[:240]
         batches = None if rows is None else -(-rows // batch)
-        log.append((stamp(), "failed" if error else "success", source, out, i, rows, batches, round(time.monotonic() - began, 3), batch, 1, error))
-    results = spark.createDataFrame(log, RUN_MANIFEST)
-    if manifest is not None and log:
-        append_csv(results, manifest, RUN_MANIFEST)
-    return results
+        return logged((stamp(), "failed" if error else "success", source, out, i, rows, batches, round(time.monotonic() - began, 3), batch, 1, error))
+
+    stamp = lambda: now().strftime("%Y-%m-%dT%H:%M:%SZ")
+    log = logged(*[(stamp(), "skipped", r["source_file"], r["output_file"], None, None, None, None, batch, 1, r["reason"]) for r in skipped])
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        for rows in pool.map(one, range(1, len(todo) + 1), todo):
+            log += rows
+    if alone and errors:
+        raise errors[0]
+    return spark.createDataFrame(log, RUN_MANIFEST)

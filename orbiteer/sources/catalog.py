@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_component, in_months
 
 # Addresses, file names and prefixes as the archives have them.
-_DENSITY = "https://thermosphere.tudelft.nl/data/data/version_02/"
+DENSITY_FOLDER = "https://thermosphere.tudelft.nl/data/data/version_02/"
 MISSIONS = {
     "grace": (["GRACE_data/"], ["GA_DNS_ACC_", "GB_DNS_ACC_"], False),
     "grace_fo": (["GRACE-FO_data/"], ["GC_DNS_ACC_", "GD_DNS_ACC_"], False),
@@ -26,7 +26,7 @@ SPACE_WEATHER = {
     "f107_nrcan_daily.txt": "https://www.spaceweather.gc.ca/solar_flux_data/daily_flux_values/fluxtable.txt",
     "omni2_all_years.dat": "https://spdf.gsfc.nasa.gov/pub/data/omni/low_res_omni/omni2_all_years.dat",
 }
-_CO2 = "https://gml.noaa.gov/webdata/ccgg/trends/co2/"
+CO2_FOLDER = "https://gml.noaa.gov/webdata/ccgg/trends/co2/"
 CO2 = {
     "co2_mm_mlo.csv": "mauna_loa_monthly.csv",
     "co2_annmean_mlo.csv": "mauna_loa_annual.csv",
@@ -46,8 +46,8 @@ ARCHIVE_MONTHS, ARCHIVE_PAUSE_S = ("2000-01", "2025-12"), 65.0
 def sources(spark: SparkSession) -> DataFrame:
     """(dataset, name, url): the files with fixed addresses, and the listings of missions."""
     rows = [("space_weather", name, url) for name, url in SPACE_WEATHER.items()]
-    rows += [("co2", local, _CO2 + remote) for remote, local in CO2.items()]
-    rows += [(mission, "index", _DENSITY + tail) for mission, (tails, _, _) in MISSIONS.items() for tail in tails]
+    rows += [("co2", local, CO2_FOLDER + remote) for remote, local in CO2.items()]
+    rows += [(mission, "index", DENSITY_FOLDER + tail) for mission, (tails, _, _) in MISSIONS.items() for tail in tails]
     return spark.createDataFrame(rows, "dataset string, name string, url string")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +18,30 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite") -> None:
-    """Parquet; readers see all of it or, if the job fails, nothing."""
-    df.write.mode(mode).option("compression", compression).parquet(path)
+    """Parquet.  With "overwrite" the table is written beside its place and then put there, so a job that fails leaves the
+    old table as it was, and a plan may read the table it replaces."""
+    if mode != "overwrite":
+        df.write.mode(mode).option("compression", compression).parquet(path)
+        return
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    beside = target.suffix(f"-new-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.option("compression", compression).parquet(beside.toString())
+        old = target.suffix(f"-old-{uuid.uuid4().hex}") if files.exists(target) else None
+        if old is not None:
+            files.rename(target, old)
+        if not files.rename(beside, target):
+            if old is not None:
+                files.rename(old, target)
+            raise OSError(f"{path} can't be replaced")
+        if old is not None:
+            files.delete(old, True)
+    finally:
+        if files.exists(beside):
+            files.delete(beside, True)
+    spark.catalog.refreshByPath(path)
 
 
 def append_csv(df: DataFrame, path: str, schema: T.StructType) -> None:
@@ -44,19 +69,21 @@ def read_space_weather(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _footers(batches):
-    """Rows of each row group of Parquet files given whole."""
-    import io
-
+    """Rows of each row group of Parquet files, of which only the footers are read."""
     import pandas as pd
     import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
 
     for files in batches:
-        for path, content in zip(files["path"], files["content"], strict=True):
-            meta = pq.ParquetFile(io.BytesIO(content)).metadata
+        for path in files["path"]:
+            system, place = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            with system.open_input_file(place) as file:
+                meta = pq.ParquetFile(file).metadata
             yield pd.DataFrame({"path": path, "row_group": range(meta.num_row_groups), "rows": [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]})
 
 
 def row_groups(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, row_group, rows) of Parquet files, read where the files are."""
+    """(path, row_group, rows) of Parquet files, from their footers, by tasks.  The files must be where pyarrow's file
+    systems reach them (local, HDFS, S3 and the like)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths)
-    return files.select("path", "content").mapInPandas(_footers, "path string, row_group int, rows long")
+    return files.select("path").repartition(max(1, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(_footers, "path string, row_group int, rows long")

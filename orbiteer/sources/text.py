@@ -67,12 +67,20 @@ def typed(rows: DataFrame, schema: T.StructType, keys: tuple[str, ...] = ("path"
 
 
 def read_mission(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    return typed(normalised(read_lines(spark, paths)), schema)
+    return mission_rows(read_lines(spark, paths), schema)
+
+
+def mission_rows(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    return typed(normalised(lines), schema)
 
 
 def read_archive(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    return archive_rows(read_lines(spark, paths))
+
+
+def archive_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Archive text with kilometres as metres and a timestamp; a malformed stamp raises."""
-    rows, bad = typed(normalised(read_lines(spark, paths), ("#", ":")), ARCHIVE)
+    rows, bad = typed(normalised(lines, ("#", ":")), ARCHIVE)
     return rows.select(
         "path",
         "JulianDay",

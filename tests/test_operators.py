@@ -109,6 +109,10 @@ def test_text_reader(spark, tmp_path):
     assert [r.mission_code for r in tables.read_csv(spark, f"{tmp_path}/manifest", decode.DECODE_MANIFEST).collect()] == ["CH"]
     assert [r.mission_code for r in tables.read_csv(spark, f"{tmp_path}/merges", decode.MERGE_MANIFEST).collect()] == ["CH"]
     assert decode.merge_tables(spark, [], "x") is None
+    out = decode.decode_mission(spark, "champ", [f"{tmp_path}/CH_{x}.zip" for x in "abc"], f"{tmp_path}/two", f"{tmp_path}/log")
+    logged = tables.read_csv(spark, f"{tmp_path}/log", decode.DECODE_MANIFEST).collect()
+    assert [r.source_path.rsplit("/", 1)[-1] for r in logged] == ["CH_a.zip"] and spark.read.parquet(out.path).count() == 2
+    assert {r.path.rsplit("/", 1)[-1] for r in out.rejected.collect()} == {"CH_b.zip", "CH_c.zip"}
     with pytest.raises(ValueError, match="unknown mission"):
         decode.decode_mission(spark, "x", [], "y")
     with pytest.raises(ValueError):
@@ -231,6 +235,11 @@ def test_model_and_ratios(spark, tmp_path):
     made = spark.read.parquet(generate.output_path(source)).orderBy("timestamp")
     assert made.first()["f107"] == 91.0 and made.first()["f107a"] == 111.0 and made.first()["ap"] == 7.0
     assert made.first()["msis_density_ct_2.0"] == pytest.approx(400 + 1 - 2 + 300 + 150)
+    assert [r.status for r in generate.generate(spark, source, closed_form, daily, skip_existing=False).collect()] == ["success"]
+    one = f"{tmp_path}/one"
+    with pytest.raises(ValueError, match="no rows"):
+        generate.generate(spark, sources[1], closed_form, daily, one)
+    assert [r.status for r in tables.read_csv(spark, one, RUN_MANIFEST).collect()] == ["failed"]
     analysed = ratios.analysed(ratios.with_mission({"CHAMP": made}))
     assert "ln_density_ratio_2.1" in analysed.columns and "ln_density_ratio_matlab_density" not in analysed.columns
     with pytest.raises(ValueError, match="repeat"):
@@ -258,7 +267,8 @@ def test_upsert_and_entries(spark, tmp_path):
     assert tables.read_csv(spark, f"{tmp_path}/none", RUN_MANIFEST).count() == 0
     one = lambda x: spark.range(1).select(x.alias("x")).first().x
     assert one(manifest.download_needed(F.lit(True), F.lit(0), False)) and not one(manifest.download_needed(F.lit(True), F.lit(5), False))
-    assert one(manifest.valid_response(F.lit("http://a"), F.lit("text/plain"), F.lit(200))) and not one(manifest.valid_response(F.lit("http://a/login"), F.lit("text/plain"), F.lit(200)))
+    assert one(manifest.valid_response(F.lit("http://a"), F.lit("text/plain"), F.lit(200))) and not one(manifest.valid_response(F.lit("http://login.a.org/x"), F.lit("text/plain"), F.lit(200)))
+    assert one(manifest.valid_response(F.lit("http://a/login"), F.lit("text/plain"), F.lit(200))) and not one(manifest.valid_response(F.lit("http://a"), F.lit("text/html; charset=x"), F.lit(200)))
 
 
 def test_no_page_is_stored_as_a_file(tmp_path):
@@ -289,6 +299,122 @@ def test_downloads(tmp_path):
         download.first_answer(["bad"], get)
 
 
+class Server:
+    """Answers by path, with the code, kind and body of ``files``, and goes on at an offset if asked to."""
+
+    def __init__(self, files):
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+        from threading import Thread
+
+        self.asked, outer = [], self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                outer.asked.append((self.path, dict(self.headers)))
+                code, kind, body = files.get(self.path, (404, "text/plain", b"gone"))
+                if code == 200 and "Range" in self.headers:
+                    at = int(self.headers["Range"].split("=")[1].rstrip("-"))
+                    code, body = (206, body[at:]) if at < len(body) else (416, b"")
+                self.send_response(code)
+                self.send_header("Content-Type", kind)
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+
+
+@pytest.fixture
+def served():
+    files = {"/a.zip": (200, "application/zip", b"0123456789"), "/page": (200, "text/html", b"<p>Sign in</p>"), "/empty": (200, "text/plain", b"")}
+    files["/index/"] = (200, "text/html", b'<a href="GA_DNS_ACC_2002_01_v02.zip"><a href="GA_DNS_ACC_2003_01_v02.zip"><a href="sub/"><a href="x.txt">')
+    files |= {f"/index/GA_DNS_ACC_{y}_01_v02.zip": (200, "application/zip", b"z") for y in (2002, 2003)}
+    files |= {f"/{y}/{m}": (200, "application/octet-stream", b"rows") for y, m in (("2000", "12"), ("2001", "01"))}
+    server = Server(files)
+    yield server
+    server.server.shutdown()
+
+
+def test_answers_that_are_no_files(served, tmp_path):
+    """HTML, an empty body and an error are failures, and leave nothing at the file's place."""
+    for name in ("page", "empty", "none"):
+        entry = download.download(f"{served.url}/{name}", tmp_path / name, retries=2, delay_s=0)
+        assert entry.status == "failed" and entry.error and not (tmp_path / name).exists()
+    assert download.is_login("https://LOGIN.example.org/x") and not download.is_login("https://example.org/login")
+
+
+def test_resume_and_credentials(served, tmp_path):
+    (tmp_path / "a.zip.part").write_bytes(b"01234")
+    client = download.Client(cookie="s=1", user="u", password="p", headers={"X-A": "b"})
+    entry = download.download(f"{served.url}/a.zip", tmp_path / "a.zip", client=client)
+    asked = served.asked[-1][1]
+    assert entry.size_bytes == 10 and (tmp_path / "a.zip").read_bytes() == b"0123456789" and asked["Range"] == "bytes=5-" and asked["Cookie"] == "s=1" and asked["X-A"] == "b" and asked["Authorization"].startswith("Basic ")
+    (tmp_path / "b.part").write_bytes(b"0123456789")
+    assert download.download(f"{served.url}/a.zip", tmp_path / "b", client=client).size_bytes == 10
+    (tmp_path / "jar").write_text("# Netscape HTTP Cookie File\n127.0.0.1\tFALSE\t/\tFALSE\t0\tsession\tabc\n")
+    download.download(f"{served.url}/a.zip", tmp_path / "c", client=download.Client(cookie_file=str(tmp_path / "jar"), bearer="t", resume=False))
+    assert served.asked[-1][1]["Cookie"] == "session=abc" and served.asked[-1][1]["Authorization"] == "Bearer t"
+
+
+def test_archive_in_months(served, tmp_path, monkeypatch):
+    import json
+
+    monkeypatch.setattr(download.catalog, "ARCHIVE", served.url)
+    naps = []
+    entries = download.fetch_archive(tmp_path / "archive", "2000-11", "2001-01", 65, sleep=naps.append, retries=1)
+    assert [e.status for e in entries] == ["failed", "downloaded", "downloaded"] and naps == [65, 65] and "cookie" in entries[0].error
+    naps.clear()
+    again = download.fetch_archive(tmp_path / "archive", "2000-12", "2001-01", 65, sleep=naps.append, retries=1)
+    assert [e.status for e in again] == ["skipped", "skipped"] and not naps
+    known = json.loads((tmp_path / "archive" / "manifest.json").read_text())
+    assert known["dataset"] == "hasdm" and [(e["path"], e["status"]) for e in known["entries"]] == [("hasdm_2000_11", "failed"), ("hasdm_2000_12", "skipped"), ("hasdm_2001_01", "skipped")]
+    with pytest.raises(ValueError):
+        download.fetch_archive(tmp_path, "2001-02", "2001-01")
+
+
+def test_missions_from_their_index(spark, served, tmp_path, monkeypatch):
+    monkeypatch.setattr(download.catalog, "DENSITY_FOLDER", served.url + "/")
+    monkeypatch.setattr(download.catalog, "MISSIONS", {"grace": (["gone/", "index/"], ["GA_DNS_ACC_"], False), "goce": (["gone/"], ["GO_"], True)})
+    entries = download.fetch_missions(spark, tmp_path, ["grace", "goce"], 200201, 200212, retries=1)
+    assert [(e.path.rsplit("/", 1)[-1], e.status) for e in entries] == [("goce", "failed"), ("GA_DNS_ACC_2002_01_v02.zip", "downloaded")]
+    rows = manifest.entries(tables.read_download_manifest(spark, str(tmp_path / "manifest.json"))).collect()
+    assert {(r.path, r.status) for r in rows} == {("goce", "failed"), ("grace/GA_DNS_ACC_2002_01_v02.zip", "downloaded")}
+    monkeypatch.setattr(download.catalog, "SPACE_WEATHER", {"a.txt": served.url + "/a.zip"})
+    assert download.main(["space_weather", "--folder", str(tmp_path / "sw")]) == 0 and (tmp_path / "sw" / "a.txt").exists()
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    """A plan may read the table that it replaces; one that fails leaves it."""
+    path = f"{tmp_path}/t"
+    tables.write(spark.range(3), path)
+    tables.write(spark.read.parquet(path).selectExpr("id + 10 as id"), path)
+    assert sorted(values(spark.read.parquet(path), "id")) == [(10,), (11,), (12,)]
+    with pytest.raises(Exception, match="no"):
+        tables.write(spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_days_that_repeat(spark):
+    rows = spark.createDataFrame([(stamp("2003-01-02"),)], "timestamp timestamp_ntz")
+    daily = spark.createDataFrame([(dt.date(2003, 1, 2), 1.0), (dt.date(2003, 1, 2), 2.0)], "date date, x double")
+    assert weather.attach_daily(rows, daily.limit(1)).first().x == 1.0
+    with pytest.raises(Exception, match="repeats"):
+        weather.attach_daily(rows, daily).collect()
+
+
+def test_figure_command(spark, tmp_path):
+    rows = figure.sample_observations(spark, 300).withColumns({"Anomalus Density (kg/m^3)": F.lit(0.0), "Degraded Flag Thrusters": F.lit(0.0)})
+    rows.write.parquet(f"{tmp_path}/t")
+    assert figure.main([f"CHAMP={tmp_path}/t", "--folder", f"{tmp_path}/out"]) == 0
+    for name, _, _ in figure.VARIANTS:
+        assert spark.read.parquet(f"{tmp_path}/out/{name}/points").count() > 0 and spark.read.parquet(f"{tmp_path}/out/{name}/labels").count() == 1
+
+
 def test_figure_and_report(spark, tmp_path):
     rows = [(stamp(f"2003-{m:02d}-0{d}"), 350000.0 if name == "C" else 250000.0, 80.0 + 30 * d, 0.0, 0.0, 0.1 * d, 0.2 * m) for name in "CG" for m in range(1, 13) for d in (1, 2, 3)]
     table = spark.createDataFrame(
