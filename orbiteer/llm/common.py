@@ -72,11 +72,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpoint``, but a table of Parquet.  For loops: what Spark infers of a checkpointed plan's columns is kept
-    with it and grows from turn to turn; of a table it knows nothing.  Its files stay, as checkpoints do, until the
-    folder is cleared."""
+    with it and grows from turn to turn; of a table it knows nothing.  Its files stay until ``discard``, or, as those of
+    checkpoints, until the folder is cleared."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

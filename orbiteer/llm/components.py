@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     third of the nodes even of a long path; so turns grow with the logarithm of the longest path.
     Loops give their node a row; rows with nulls are ignored; an empty table gives an empty result."""
     edges = written(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    found, turn = None, 0
+    found, old, turn = None, None, 0
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if turn % 2 == 0:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         else:
             order = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("h"), F.col(x).alias("p"))  # noqa: E731, B023
             up = both.groupBy("a").agg(F.least(order("a"), F.min(order("b"))).alias("x")).select("a", "x.p")
-        up = written(up)
+        near = written(up)
+        up = near
         for _ in range(2):
             then = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
             up = up.join(then, "p").select("a", F.col("q").alias("p"))
@@ -37,8 +38,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             found = found.join(then, "component", "left").select("node", F.coalesce("q", "component").alias("component"))
         first = edges.join(up.withColumnRenamed("p", "x"), "a").select("x", "b")
         second = first.join(up.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
+        before = edges
         edges = written(second.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         found = written(found)
+        discard(before, near, up, *([old] if old is not None else []))
+        old = found
         if edges.isEmpty():
             least: Column = F.min("node").alias("least")
             return found.join(found.groupBy("component").agg(least), "component").select("node", F.col("least").alias("component"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as C
 import pytest
+from pyspark.sql import functions as F
 
 from .test_near_dup import brute
 
@@ -84,6 +85,29 @@ def documents_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], COLUMNS)
 
 
+def test_odd_rows_through_all_stages(spark, odd, none):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names: every stage keeps the columns, with their
+    values, and clean documents."""
+    clashing = odd.withColumns({"hash": F.lit(7), "mix_plan": F.lit(7), "n_dropped": F.lit(7), "_kept": F.lit(7), "mix_copies": F.lit(7)})
+    docs = clashing
+    for name, stage in C.STAGES[:-1]:
+        after = stage(spark, docs, "").cache()
+        assert after.columns == clashing.columns, name
+        rows = after.collect()
+        assert all(r["hash"] == r["mix_plan"] == r["score"] == r["mix_copies"] == r["n_dropped"] == 7 for r in rows)
+        if name == "language_id":
+            assert {r.doc_id for r in rows} >= {1, 2, 3, 8, None} and not {r.doc_id for r in rows} & {4, 5, 6, 7}
+        if name == "near_dup":
+            assert [r.doc_id for r in rows if (r.text or "").startswith("the same text")] == [1]
+        docs = after
+    assert C.packed(spark, docs, "").count() >= 1
+    docs = none
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == none.columns and docs.count() == 0, name
+    assert C.packed(spark, docs, "").count() == 0
+
+
 def test_copies_over_the_ratio_survive_once(spark):
     """A fifth of a source's pages are copies of one document; all of its pages share a menu."""
     story = "\n".join(f"line {k} of a story that five pages of this source tell in the same words" for k in range(6))
