@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
+
+All but the last return the columns they are given, also such as have the names of columns that an operator adds.  All
+take empty tables, which stay empty, and long texts, which they read whole; what they do with nulls, ties and repeated
+rows is said at each."""
 
 from __future__ import annotations
 
@@ -18,19 +22,34 @@ from orbiteer.llm.packing import pack
 LEAST_SCORE = 0.4
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with those columns of ``names`` that it has under other names."""
+    return docs.withColumnsRenamed({n: f"_own_{n}" for n in names})
+
+
+def _back(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, with those that were put aside under their names again."""
+    return docs.select(*[F.col(f"`_own_{c}`").alias(c) if f"_own_{c}" in docs.columns else F.col(f"`{c}`") for c in like.columns])
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages that the labelled ones teach; those without letters go."""
-    found = identify(docs, train(docs))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Documents whose text is in one of the languages that the labelled ones teach.
+
+    Texts that are null, empty or without letters go, and all if no row teaches a language; rows that repeat are judged
+    alike; doc_id and source may be null."""
+    found = identify(_aside(docs, "lang_pred", "score"), train(docs))
+    return _back(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of their source share; n_chars follows the text.
 
-    Copies of one text count as one page here: the next stage is to find one of them whole."""
-    cut = drop_boilerplate(docs)
-    columns = [F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return cut.select(columns)
+    Copies of one text count as one page here: the next stage is to find one of them whole.  A null text stays null, a null
+    source is one like others, rows that repeat are cut alike, and a row of which all lines go stays with an empty text."""
+    cut = drop_boilerplate(_aside(docs, "n_lines", "n_dropped", "_common", "_kept"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return _back(cut, docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,23 +60,28 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a word or a doc_id are in no group and stay."""
     marks = groups(docs).where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "hash")
     marks = checkpoint(marks.agg(F.first("chosen").alias("chosen"), F.count(F.lit(1)).alias("n")).where("not chosen or n > 1"))
-    hashed = docs.withColumn("hash", F.xxhash64("text"))
-    out = hashed.join(small(marks), ["doc_id", "hash"], "left_anti").select(docs.columns)
+    hashed = _aside(docs, "hash").withColumn("hash", F.xxhash64("text"))
+    out = _back(hashed.join(small(marks), ["doc_id", "hash"], "left_anti"), docs)
     again = checkpoint(marks.where("chosen"))
     if again.isEmpty():
         return out
-    first = hashed.join(small(again), ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    row = F.struct(*[F.col(f"`_own_{c}`").alias(c) if f"_own_{c}" in hashed.columns else F.col(f"`{c}`") for c in docs.columns])
+    first = hashed.join(small(again), ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min(row).alias("row"))
     return out.union(first.select("row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document, each a row, as the mix takes."""
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("mix_copy")
-    return mix(docs).select(*docs.columns, copies).select(docs.columns)
+    """As many copies of each document, each a row, as the mix takes.
+
+    A null source is one like others; a null or empty text has size 0, so its row is taken as often as all its source's
+    are; rows that repeat in doc_id and text are taken alike."""
+    aside = _aside(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_plan", "mix_u")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("_copy")
+    return _back(mix(aside).select("*", copies), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens."""
+    """The pieces of all documents in windows of 2048 tokens.  A null or empty text is one token; each row is a document."""
     return pack(docs)
 
 
