@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ END_ID = 1
 LOT = 200_000
 #: Words whose ids a Python worker remembers, in about 200 bytes each, and how many the tokenizer is given at once (it
 #: takes some 500 bytes for each).
-REMEMBERED, LEARNT = 300_000, 8192
+REMEMBERED, LEARNT = 400_000, 8192
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -147,8 +148,7 @@ class Ids:
         new = list(new)
         for i in range(0, len(new), LEARNT):
             self.learn(new[i : i + LEARNT])
-        look = self.known.__getitem__
-        return [self.encoded(text).tobytes() if x is None else b"".join(map(look, x)) for text, x in zip(texts, parts, strict=True)]
+        return [self.encoded(text).tobytes() if x is None else b"".join(itemgetter(*x)(self.known)) if len(x) > 1 else self.known[x[0]] for text, x in zip(texts, parts, strict=True)]
 
 
 _ids: dict[str, Ids] = {}
