@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Bytes, about, of what rows of any width hold up to which their table is broadcast.
 BROADCAST_BYTES = 8 << 20
-#: Rows of an Arrow batch in place of Spark's default: whole texts are long, and 10,000 of them are held in several copies.
-ARROW_ROWS = 2000
+#: Rows, and bytes, of an Arrow batch in place of Spark's defaults: whole texts are long, and a batch is held in several
+#: copies, by the executor and by Python.  A longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 2000, 2 << 20
 
 #: Java and Python pattern of one word: a run without space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Sends whole texts to Python in batches of ``ARROW_ROWS``, unless the session has a size of its own."""
+    """Sends whole texts to Python in batches of ``ARROW_ROWS`` and about ``ARROW_BYTES``, unless the session has sizes of
+    its own."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
