@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -84,11 +85,14 @@ class Ids:
 
     In a text of printable ASCII and Latin-1 letters, the vocabulary's own pattern is ``piece``, and none of its pieces
     spans a blank.  So such texts are looked up, in lower case, by what stands between blanks, or else by their pieces;
-    only pieces not seen lately go to the tokenizer, many together, and are told apart by the ids that end a word.
+    of pieces not seen lately, words of letters go to the tokenizer's model one by one, spelt as its byte-level step
+    would, and the others to the tokenizer, many together; those are told apart by the ids that end a word.
     Other texts, and those in which a special token may stand, go to the tokenizer whole."""
 
     plain = bytes([0x0A, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
     piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: How a byte-level vocabulary writes the bytes that don't print, in their order; others are written as in Latin-1.
+    unprinted = {b: 0x100 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
     #: Full stops and commas, other punctuation, the rest.
     kinds = bytes(ord("p") if c in b".," else ord("q") if 0x21 <= c < 0x7F and not chr(c).isalnum() else ord("a") for c in range(256))
 
@@ -103,6 +107,7 @@ class Ids:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -110,6 +115,10 @@ class Ids:
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def remember(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        cuts = (4 * ends).tolist()
+        self.known.update(zip(pieces, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+
     def learn(self, parts: list[str]) -> None:
         whole, mixed, split = [], [], []
         for part in parts:
@@ -118,11 +127,13 @@ class Ids:
             else:
                 mixed.append(part)
                 split.append(self.piece.findall(part))
-        new = list(set().union(*split).difference(self.known, whole))
-        new += whole
-        ids = self.encoded(" ".join(new))
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        self.known.update(zip(new, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        other = []
+        for piece in set().union(*split).difference(self.known, whole):
+            (whole if piece.isalpha() else other).append(piece)
+        found = [[token.id for token in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.unprinted))] for word in whole]
+        self.remember(whole, np.array(list(chain.from_iterable(found)), dtype="<u4"), np.cumsum([len(x) for x in found], dtype=np.int64))
+        ids = self.encoded(" ".join(other))
+        self.remember(other, ids, np.flatnonzero(self.ends[ids]) + 1)
         look = self.known.__getitem__
         self.known.update(zip(mixed, [b"".join(map(look, y)) for y in split], strict=True))
 
@@ -144,7 +155,7 @@ class Ids:
         parts = [self.parts(text) for text in texts]
         new = set().union(*filter(None, parts)).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set().union(*filter(None, parts))
+            self.known = {x: self.known[x] for x in set().union(*filter(None, parts)).intersection(self.known)}
         new = list(new)
         for i in range(0, len(new), LEARNT):
             self.learn(new[i : i + LEARNT])
