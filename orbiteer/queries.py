@@ -251,6 +251,14 @@ def padded_slice(spark, d):
     return weather.slice_around(read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), times)
 
 
+@query("""WITH file AS (SELECT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_linestatus = 'F' AND year(l_shipdate) = 1998)
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN (SELECT min(day) - 3 FROM file) AND (SELECT max(day) + 1 FROM file)""")
+def padded_slice_year(spark, d):
+    """As ``padded_slice``, around all that one mission measured in a year."""
+    times = observations(spark, d).where("mission = 'F' and timestamp >= timestamp_ntz'1998-01-01' and timestamp < timestamp_ntz'1999-01-01'")
+    return weather.slice_around(read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), times)
+
+
 @query("""SELECT event_id, date_trunc('hour', ts)::TIMESTAMP AS hour_of, round(sin(epoch(date_trunc('hour', ts)::TIMESTAMP) / 86400.0), 6) AS flux FROM events""")
 def hour_dedupe_lookup(spark, d):
     def lookup(hours: DataFrame) -> DataFrame:
