@@ -19,15 +19,17 @@ BLOCKS = (0, 64, 512, 4096, 32768)
 #: What tasks have combined of one text is combined again in so many parts before it meets.
 PARTS = 16
 
-_TEXT = F.coalesce("text", F.lit(""))
+
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """``docs`` (text) with mask: the bits of the filters that need a text alone, A to D."""
-    words = F.array_remove(F.split(_TEXT, r"[\x20\x09-\x0D]+"), "")
-    capitals = F.length(_TEXT) - F.length(F.regexp_replace(_TEXT, "[A-Z]+", ""))
+    words = F.array_remove(F.split(_text(), r"[\x20\x09-\x0D]+"), "")
+    capitals = F.length(_text()) - F.length(F.regexp_replace(_text(), "[A-Z]+", ""))
     n, different = F.size("_words"), F.size(F.array_distinct("_words"))
-    failed = [n < 50, 100 * different < 65 * n, 100 * capitals > 5 * F.length(_TEXT), _TEXT.rlike(r"[#$%&*|]")]
+    failed = [n < 50, 100 * different < 65 * n, 100 * capitals > 5 * F.length(_text()), _text().rlike(r"[#$%&*|]")]
     mask = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(failed)), F.lit(0))
     return docs.withColumn("_words", words).withColumn("mask", mask).drop("_words")
 
@@ -35,8 +37,8 @@ def failures(docs: DataFrame) -> DataFrame:
 def _hashes(hashed: Callable[..., Column]) -> list[Column]:
     """The number of code points and a hash of each successive block, null behind the text's end."""
     ends = [*(b - a for a, b in zip(BLOCKS, BLOCKS[1:], strict=False)), 2**31 - 1]
-    blocks = [F.when(F.length(_TEXT) > start, hashed(F.substring(_TEXT, start + 1, n))) for start, n in zip(BLOCKS, ends, strict=True)]
-    return [F.length(_TEXT).alias("n_chars"), *[b.alias(f"b{i}") for i, b in enumerate(blocks)]]
+    blocks = [F.when(F.length(_text()) > start, hashed(F.substring(_text(), start + 1, n))) for start, n in zip(BLOCKS, ends, strict=True)]
+    return [F.length(_text()).alias("n_chars"), *[b.alias(f"b{i}") for i, b in enumerate(blocks)]]
 
 
 def _split(column: Column, i: int, hashed: Callable[..., Column]) -> Column:
@@ -71,7 +73,7 @@ def different_texts(docs: DataFrame, classes: DataFrame, hashed: Callable[..., C
 
     Only texts of these classes are shuffled.  Copies are combined inside each task, then in parts, then all."""
     found = docs.select("doc_id", "text", *_hashes(hashed)).withColumn("class", _class(hashed)).join(small(classes), "class", "left_semi")
-    found = found.select("class", _TEXT.alias("text"), "doc_id", (F.spark_partition_id() % PARTS).alias("part"))
+    found = found.select("class", _text().alias("text"), "doc_id", (F.spark_partition_id() % PARTS).alias("part"))
     found = found.groupBy("class", "text", "part").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     return found.groupBy("class", "text").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
@@ -97,7 +99,7 @@ def marked(docs: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -> DataF
     if several.isEmpty():
         return out(rows.join(small(one), "class", "left"))
     alone = rows.join(small(several), "class", "left_anti").join(small(one), "class", "left")
-    whole = failures(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("part"), "mask", _TEXT.alias("text"), *_hashes(hashed)).withColumn("class", _class(hashed)).join(small(several), "class", "left_semi")
+    whole = failures(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("part"), "mask", _text().alias("text"), *_hashes(hashed)).withColumn("class", _class(hashed)).join(small(several), "class", "left_semi")
     firsts = different_texts(docs, several, hashed).where("n > 1").select("class", "text", "first")
     return out(alone).union(out(whole.join(firsts, ["class", "text"], "left")))
 
