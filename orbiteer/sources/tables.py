@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +12,64 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..schemas import DOWNLOAD_MANIFEST, SPACE_WEATHER
+from .commits import CommittedTable
+
+#: Folders of a manifest that are put together to one.
+COMPACT = 32
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths)
+    """The rows of tables: folders of Parquet or committed tables, whose last version is read."""
+    committed = [CommittedTable(spark, p).read() for p in paths if CommittedTable.is_one(spark, p)]
+    plain = [p for p in paths if not CommittedTable.is_one(spark, p)] if committed else list(paths)
+    for p in plain:
+        recover(spark, p)
+    frames = ([spark.read.parquet(*plain)] if plain else []) + committed
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _siblings(spark: SparkSession, path: str):
+    """A table's place, its file system, and the folders beside it that a replacement makes, by name."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if target.getParent() is not None and files.exists(target.getParent()):
+        for status in files.listStatus(target.getParent()):
+            if re.fullmatch(re.escape(target.getName()) + r"-(new|old)-[0-9a-f]{32}", status.getPath().getName()):
+                found.append(status)
+    return target, files, found
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Ends a replacement by ``write`` that was stopped after the old table was moved away: the new one is put there if it is
+    complete, else the old one is put back.  A table that is there is left alone."""
+    if re.search(r"[*?{\[]", path):
+        return False
+    target, files, beside = _siblings(spark, path)
+    if not beside or files.exists(target):
+        return False
+    of = lambda kind: sorted((s for s in beside if f"-{kind}-" in s.getPath().getName()), key=lambda s: s.getModificationTime())
+    whole = [s for s in of("new") if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    for status in reversed(of("old") + whole):
+        if files.rename(status.getPath(), target):
+            return True
+    return False
 
 
 def write(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite") -> None:
     """Parquet.  With "overwrite" the table is written beside its place and then put there, so a job that fails leaves the
-    old table as it was, and a plan may read the table it replaces."""
+    old table as it was, and a plan may read the table it replaces; if the driver stops between the two renames, the next
+    ``scan`` or ``write`` ends the replacement.  With "versioned" a committed table gets a further version."""
+    if mode == "versioned":
+        CommittedTable(df.sparkSession, path, compression=compression).replace(df)
+        return
     if mode != "overwrite":
         df.write.mode(mode).option("compression", compression).parquet(path)
         return
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    recover(spark, path)
+    target, files, _ = _siblings(spark, path)
     beside = target.suffix(f"-new-{uuid.uuid4().hex}")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         df.write.option("compression", compression).parquet(beside.toString())
         old = target.suffix(f"-old-{uuid.uuid4().hex}") if files.exists(target) else None
@@ -45,13 +88,30 @@ def write(df: DataFrame, path: str, compression: str = "snappy", mode: str = "ov
 
 
 def append_csv(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Appends rows to a manifest kept as CSV: unknown columns go, missing ones are empty."""
+    """Appends rows to a manifest kept as CSV: unknown columns go, missing ones are empty.
+
+    A manifest is a committed table, so several writers lose nothing; once it has ``COMPACT`` folders they become one file.
+    One that is a plain folder of CSV stays one."""
+    spark = df.sparkSession
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    df.select(*columns).coalesce(1).write.mode("append").option("header", True).csv(path)
+    rows = df.select(*columns)
+    log = _manifest(spark, path, schema)
+    if not CommittedTable.is_one(spark, path) and log.store.names():
+        rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+        return
+    log.append(rows, one_file=True)
+    if len(log.folders()) >= COMPACT:
+        log.compact()
+
+
+def _manifest(spark: SparkSession, path: str, schema: T.StructType) -> CommittedTable:
+    return CommittedTable(spark, path, schema, "csv", header="true")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A manifest kept as CSV, empty if it isn't there yet."""
+    if CommittedTable.is_one(spark, path):
+        return _manifest(spark, path, schema).read()
     try:
         return spark.read.schema(schema).option("header", True).csv(path)
     except AnalysisException as error:

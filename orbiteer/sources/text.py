@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from ..functions.numeric import c
 from ..functions.text import is_comment, tokens
 from ..functions.time import parse_compact
 from ..schemas import ALTITUDE, ARCHIVE, DENSITY, LATITUDE, LOCAL_TIME, LONGITUDE
+from .archive import opened, stream_lines
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,24 +48,61 @@ def normalised(lines: DataFrame, comments: tuple[str, ...] = ("#",)) -> DataFram
     return lines.where(F.col("line").isNotNull() & ~is_comment(F.col("line"), comments)).withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") > 0)
 
 
-def typed(rows: DataFrame, schema: T.StructType, keys: tuple[str, ...] = ("path",)) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``tokens`` as columns of ``schema``, and the bad ones (keys, line_no, tokens): of another number of tokens,
-    or with one that isn't of its column's type.  A file with a bad row is rejected whole, as a strict reader would."""
-    fields = schema.fields
+def _value(i: int, kind: T.DataType) -> Column:
+    token = F.get("tokens", F.lit(i))
+    return token if isinstance(kind, T.StringType) else token.try_cast(kind)
 
-    def value(i: int, kind: T.DataType) -> Column:
-        token = F.get("tokens", F.lit(i))
-        return token if isinstance(kind, T.StringType) else token.try_cast(kind)
 
-    ok = F.size("tokens") == len(fields)
-    for i, f in enumerate(fields):
+def _checked(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``rows`` (tokens) with _ok: as many tokens as columns, each of its column's type."""
+    ok = F.size("tokens") == len(schema.fields)
+    for i, f in enumerate(schema.fields):
         if not isinstance(f.dataType, T.StringType):
-            ok = ok & value(i, f.dataType).isNotNull()
+            ok = ok & _value(i, f.dataType).isNotNull()
+    return rows.withColumn("_ok", ok)
+
+
+def typed(rows: DataFrame, schema: T.StructType, keys: tuple[str, ...] = ("path",)) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``tokens`` as columns of ``schema``, and the bad ones (keys, line_no, tokens): of another number of tokens,
+    or with one that isn't of its column's type.  A file with a bad row is rejected whole, as a strict reader would."""
     # an indented comment is one once its blanks are gone
-    rows = rows.where(~F.get("tokens", F.lit(0)).startswith("#")).withColumn("_ok", ok)
+    rows = _checked(rows.where(~F.get("tokens", F.lit(0)).startswith("#")), schema)
     bad = rows.where(~F.col("_ok"))
     good = rows.join(bad.select(*keys).distinct(), list(keys), "left_anti")
-    return good.select(*keys, *[value(i, f.dataType).alias(f.name) for i, f in enumerate(fields)]), bad.select(*keys, "line_no", "tokens")
+    return good.select(*keys, *[_value(i, f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]), bad.select(*keys, "line_no", "tokens")
+
+
+def judged(lines: DataFrame, schema: T.StructType, comments: tuple[str, ...] = ("#",)) -> DataFrame:
+    """Each row of ``lines`` once, told apart by ``kind``: "row" (of ``schema``'s columns), "bad" (with its tokens), "error" (its
+    file can't be read; with the error), "none" (its file has no text) or "blank" (nothing to read: a comment or an empty
+    line, of which only the first of each range stays, so a file without rows is known)."""
+    rows = lines.withColumn("tokens", F.coalesce(tokens(F.col("line")), F.array().cast("array<string>")))
+    rows = _checked(rows, schema)
+    blank = is_comment(F.col("line"), comments) | (F.size("tokens") == 0) | F.get("tokens", F.lit(0)).startswith("#")
+    kind = F.when(F.col("error").isNotNull(), "error").when(F.col("member").isNull(), "none").when(blank, "blank").when(F.col("_ok"), "row").otherwise("bad")
+    rows = rows.withColumn("kind", kind).where("kind <> 'blank' or line_no = 0")
+    columns = [F.when(F.col("kind") == "row", _value(i, f.dataType)).alias(f.name) for i, f in enumerate(schema.fields)]
+    return rows.select("path", "member", "offset", "line_no", "kind", "error", F.when(F.col("kind") == "bad", F.col("tokens")).alias("tokens"), *columns)
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """(path, member, rows, bad_rows, status, error) of each file of ``judged`` rows: decoded, rejected (a bad row), unreadable,
+    no_text or empty."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    files = rows.groupBy("path").agg(F.max("member").alias("member"), n("row").alias("rows"), n("bad").alias("bad_rows"), F.max("error").alias("error"))
+    status = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("member").isNull(), "no_text").when(F.col("bad_rows") > 0, "rejected")
+    return files.select("path", "member", "rows", "bad_rows", status.when(F.col("rows") == 0, "empty").otherwise("decoded").alias("status"), "error")
+
+
+def mission_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The lines of files, streamed (``archive.stream_lines``), or through Spark's reader of whole files where only that one
+    reaches them."""
+    try:
+        for path in [paths] if isinstance(paths, str) else paths:
+            opened(path)
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        return read_lines(spark, paths).select("path", "member", F.lit(0).cast("long").alias("offset"), "line_no", "line", F.lit(None).cast("string").alias("error"))
+    return stream_lines(spark, paths)
 
 
 def read_mission(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +120,10 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
 def archive_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Archive text with kilometres as metres and a timestamp; a malformed stamp raises."""
     rows, bad = typed(normalised(lines, ("#", ":")), ARCHIVE)
+    return archive_columns(rows, parse_compact(F.col("YYYYMMDDhhmm"))), bad
+
+
+def archive_columns(rows: DataFrame, stamp: Column) -> DataFrame:
     return rows.select(
         "path",
         "JulianDay",
@@ -89,5 +132,5 @@ def archive_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         c("LAT").alias(LATITUDE),
         c("LST").alias(LOCAL_TIME),
         c("RHO").alias(DENSITY),
-        parse_compact(F.col("YYYYMMDDhhmm")).alias("timestamp"),
-    ), bad
+        stamp.alias("timestamp"),
+    )
