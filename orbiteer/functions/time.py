@@ -38,6 +38,11 @@ def hour_key(ts: Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
+def month_key(day: Column) -> Column:
+    """The month that a day or time is in, as YYYY-MM."""
+    return F.date_format(day, "yyyy-MM")
+
+
 def second_of_day(ts: Column) -> Column:
     """Seconds since midnight, with their fraction."""
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_format(ts, "s.SSSSSS").cast("double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c, log_ratio
@@ -41,6 +41,18 @@ def analysed(model: DataFrame, second: DataFrame | None = None, keys: Sequence[s
     return with_log_ratios(model)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int = 64, keys: Sequence[str] = ("mission", "timestamp")) -> None:
+    """Saves ``df`` as a table whose files are dealt by a hash of ``keys`` and sorted by them: tables with as many buckets join
+    on these keys bucket by bucket, without moving or sorting a row again.  One shuffle here deals the rows as the files are."""
+    dealt = df.repartition(buckets, *[c(k) for k in keys])
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
+def analysed_tables(spark: SparkSession, model: str, second: str | None = None, keys: Sequence[str] = ("mission", "timestamp")) -> DataFrame:
+    """``analysed`` of tables by name, as ``write_bucketed`` saves them."""
+    return analysed(spark.table(model), spark.table(second) if second is not None else None, keys)
+
+
 def with_mission(frames: dict[str, DataFrame]) -> DataFrame:
     """The rows of several missions, with their names; columns that a mission lacks are null."""
     out = None

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import c
-from ..functions.time import hour_key, padded
+from ..functions.time import hour_key, month_key, padded
 from .filters import date_slice
 
 #: A daily flux above this is taken for an outlier.
@@ -44,13 +44,37 @@ def slice_around(daily: DataFrame, times: DataFrame, ts: str = "timestamp", befo
     return date_slice(daily, F.col("date"), F.lit(limits["first_day"]), F.lit(limits["last_day"]))
 
 
-def centred_mean(daily: DataFrame, value: str, day: str = "date", days: int = 81) -> DataFrame:
+def slice_by_month(daily: DataFrame, times: DataFrame, ts: str = "timestamp", day: str = "date", before: int = 3, after: int = 1) -> DataFrame:
+    """As ``slice_around``, of a table with a column ``month`` by which its files lie (``sources.layout``).  The range stays in
+    the plan: a join with its few months prunes the files of all others when the query runs."""
+    limits = times.agg(F.min(c(ts)).alias("start"), F.max(c(ts)).alias("end"))
+    first, last = padded(F.col("start"), F.col("end"), before, after)
+    limits = limits.select(first.alias("_first"), last.alias("_last")).where("_first <= _last")
+    months = limits.select("*", F.explode(F.sequence(F.trunc("_first", "month"), F.trunc("_last", "month"), F.expr("interval 1 month"))).alias("_month"))
+    months = months.select("_first", "_last", month_key(F.col("_month")).alias("month"))
+    out = daily.join(F.broadcast(months), "month").where(c(day).between(F.col("_first"), F.col("_last")))
+    if out.isEmpty():
+        raise ValueError("no rows in this range of days")
+    return out.drop("_first", "_last")
+
+
+def with_halo(df: DataFrame, at: Column, before: int, after: int, size: int) -> DataFrame:
+    """``df`` with _part, the stretch of ``size`` steps that a row of position ``at`` (an integer) is in, and copies of the
+    rows at its edges in the stretches beside it (_copy), so a window over up to ``before`` steps back and ``after`` ahead finds all it
+    needs in one stretch, and stretches are windows of their own.  Rows without a position are a stretch."""
+    part = lambda x: F.floor(x / F.lit(size))
+    rows = df.withColumn("_part", F.explode_outer(F.sequence(part(at - after), part(at + before))))
+    return rows.withColumn("_copy", ~F.col("_part").eqNullSafe(part(at)))
+
+
+def centred_mean(daily: DataFrame, value: str, day: str = "date", days: int = 81, stretch: int = 730) -> DataFrame:
     """``daily`` with the mean of ``value`` over the days around each, by the calendar, so gaps don't shift it.
 
-    One row a day, of which there are a few ten thousand since measurements began; a window over them all is small."""
-    half = days // 2
-    around = Window.orderBy(F.unix_date(c(day))).rangeBetween(-half, half)
-    return daily.withColumn(f"{value}_{days}day_avg", F.avg(c(value)).over(around))
+    Days are dealt out in stretches with ``days`` // 2 more on either side: no task has to hold them all."""
+    half, at = days // 2, F.unix_date(c(day))
+    around = Window.partitionBy("_part").orderBy(at).rangeBetween(-half, half)
+    rows = with_halo(daily, at, half, half, stretch).withColumn(f"{value}_{days}day_avg", F.avg(c(value)).over(around))
+    return rows.where(~F.col("_copy")).drop("_part", "_copy")
 
 
 def attach_daily(rows: DataFrame, daily: DataFrame, ts: str = "timestamp", lag_days: int = 0) -> DataFrame:
@@ -71,13 +95,13 @@ def three_hourly(daily: DataFrame) -> DataFrame:
     return with_day(daily).select("date", "AP_AVG", stacked).select((F.unix_date("date").cast("long") * 8 + F.col("i")).alias("slot"), "ap", F.col("AP_AVG").alias("ap_day"))
 
 
-def ap_history(daily: DataFrame) -> DataFrame:
+def ap_history(daily: DataFrame, stretch: int = 8 * 365) -> DataFrame:
     """(slot, aps): daily mean; the three hours' value; those 3, 6 and 9 hours before; the means of the eight values 12
-    to 33 and 36 to 57 hours before."""
-    slots = three_hourly(daily)
-    over = Window.orderBy("slot")
+    to 33 and 36 to 57 hours before.  Slots are dealt out in stretches with the 19 before each."""
+    over = Window.partitionBy("_part").orderBy("slot")
     at = lambda a, b: F.avg("ap").over(over.rangeBetween(a, b))
-    return slots.select("slot", F.array("ap_day", "ap", at(-1, -1), at(-2, -2), at(-3, -3), at(-11, -4), at(-19, -12)).alias("aps"))
+    aps = F.array("ap_day", "ap", at(-1, -1), at(-2, -2), at(-3, -3), at(-11, -4), at(-19, -12)).alias("aps")
+    return with_halo(three_hourly(daily), F.col("slot"), 19, 0, stretch).select("slot", aps, "_copy").where(~F.col("_copy")).drop("_copy")
 
 
 def slot_of(ts: str = "timestamp"):

@@ -30,6 +30,13 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if uri.startswith("file:") else uri)
 
 
+def _is_zip(file) -> bool:
+    """By its first bytes: an entry, or the end of an archive without any."""
+    start = file.read(4)
+    file.seek(0)
+    return start in (b"PK\x03\x04", b"PK\x05\x06")
+
+
 def listed(uri: str) -> list[tuple[str, int]]:
     """(path, bytes) of a file, of all files in a folder, or of those that a pattern in the last part of a path fits."""
     system, place = opened(uri)
@@ -39,7 +46,7 @@ def listed(uri: str) -> list[tuple[str, int]]:
     else:
         found = [system.get_file_info(place)]
         if found[0].type == fs.FileType.NotFound:
-            raise FileNotFoundError(uri)
+            raise FileNotFoundError(f"{uri} doesn't exist")
     files = []
     for info in found:
         inside = system.get_file_info(fs.FileSelector(info.path, recursive=True)) if info.type == fs.FileType.Directory else [info]
@@ -71,7 +78,7 @@ class Lines(DataSourceReader):
                 step = self.split
                 if size > step:
                     with system.open_input_file(place) as file:
-                        step = size if file.read(4)[:2] == b"PK" else step
+                        step = size if _is_zip(file) else step
                 ranges += [(path, a, min(size, a + step)) for a in range(0, max(1, size), max(1, step))]
         out: list[Pieces] = []
         held = 0
@@ -95,7 +102,7 @@ def _file(path: str, first: int, end: int) -> Iterator[pa.RecordBatch]:
     try:
         system, place = opened(path)
         with system.open_input_file(place) as file:
-            if first == 0 and zipfile.is_zipfile(file):
+            if first == 0 and _is_zip(file):
                 with zipfile.ZipFile(file) as archive:
                     member = next((n for n in archive.namelist() if n.lower().endswith(".txt")), None)
                     if member is None:

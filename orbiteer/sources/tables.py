@@ -6,7 +6,7 @@ import re
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -16,6 +16,8 @@ from .commits import CommittedTable
 
 #: Folders of a manifest that are put together to one.
 COMPACT = 32
+#: Rows of a list of files up to which it is broadcast; beyond it a join shuffles.
+BROADCAST_FILES = 100_000
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
@@ -72,21 +74,33 @@ def write(df: DataFrame, path: str, compression: str = "snappy", mode: str = "ov
     beside = target.suffix(f"-new-{uuid.uuid4().hex}")
     try:
         df.write.option("compression", compression).parquet(beside.toString())
-        old = target.suffix(f"-old-{uuid.uuid4().hex}") if files.exists(target) else None
-        if old is not None:
-            files.rename(target, old)
-        if not files.rename(beside, target):
-            if old is not None:
-                files.rename(old, target)
-            raise OSError(f"{path} can't be replaced")
-        if old is not None:
-            files.delete(old, True)
+        put(spark, beside.toString(), path)
     finally:
         if files.exists(beside):
             files.delete(beside, True)
+
+
+def put(spark: SparkSession, made: str, path: str) -> None:
+    """Renames the folder ``made`` to ``path``, whose old table, if there is one, goes."""
+    target, files, _ = _siblings(spark, path)
+    files.mkdirs(target.getParent())
+    old = target.suffix(f"-old-{uuid.uuid4().hex}") if files.exists(target) else None
+    if old is not None:
+        files.rename(target, old)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(made), target):
+        if old is not None:
+            files.rename(old, target)
+        raise OSError(f"{path} can't be replaced")
+    if old is not None:
+        files.delete(old, True)
     spark.catalog.refreshByPath(path)
 
 
+def plain_path(path: Column) -> Column:
+    """A path of Spark's metadata as file systems have it."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def append_csv(df: DataFrame, path: str, schema: T.StructType) -> None:
     """Appends rows to a manifest kept as CSV: unknown columns go, missing ones are empty.
 
