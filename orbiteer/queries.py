@@ -4,6 +4,7 @@ A line item is an observation: its ship date the time, its quantity the solar fl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from .functions import text as X
 from .functions import time as T
 from .functions.numeric import c, clip, log_ratio, n_unique
 from .operators import binstats, filters, manifest, merge, model, ratios, weather
-from .plans import figure
-from .schemas import ALTITUDE, LATITUDE, LONGITUDE
-from .sources import catalog
+from .plans import decode, figure, generate, merge_sorted
+from .schemas import ALTITUDE, DENSITY, LATITUDE, LONGITUDE
+from .session import shared_folder
+from .sources import archive, catalog, layout
+from .sources.commits import CommittedTable
 from .sources.text import normalised
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -499,6 +502,115 @@ def analysed_ratios(spark, d):
     return rounded(out.select("o_orderkey", c("ln_density_ratio_0").alias("r0"), c("ln_density_ratio_matlab_density").alias("second")))
 
 
+# Below, tables are first written as files, which are then read by the operator.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that are made of the tables; it stays until the shared folder is cleared."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _archive_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as archive text; those of status P lack their last value."""
+    rows = read(spark, d, "orders")
+    line = F.concat_ws("\t ", F.date_format("o_orderdate", "yyyyMMddHHmm"), "o_orderkey", F.round(F.col("o_totalprice") / 1000, 3).cast("string"), F.lit("1.5"), F.lit("-20"), F.lit("7"), F.when(F.col("o_orderstatus") != "P", F.lit("2e-12")))
+    return rows.select(line.alias("line"), F.col("o_orderstatus").alias("status"))
+
+
+def _decoded(spark: SparkSession, d: str) -> decode.Decoded:
+    """Open orders in zip files, others in plain ones by status."""
+    folder, lines = _folder(spark, "text"), _archive_lines(spark, d)
+    archive.write_archives(lines.where("status = 'O'").select("line"), f"{folder}/zips")
+    lines.where("status <> 'O'").write.partitionBy("status").text(f"{folder}/plain")
+    return decode.decode_archive(spark, [f"{folder}/zips", f"{folder}/plain"], f"{folder}/out")
+
+
+@query("""SELECT o_orderkey, round(round(o_totalprice / 1000, 3) * 1000, 3) AS metres, CAST(o_orderdate AS TIMESTAMP) AS timestamp, 1.5::DOUBLE AS lat, -20.0::DOUBLE AS lon, 2e-12::DOUBLE AS rho FROM orders WHERE o_orderstatus <> 'P'""")
+def text_ingest(spark, d):
+    rows = spark.read.parquet(_decoded(spark, d).path)
+    return rows.select(F.col("JulianDay").cast("long").alias("o_orderkey"), F.round(c(ALTITUDE), 3).alias("metres"), "timestamp", c(LONGITUDE).alias("lon"), c(LATITUDE).alias("lat"), c(DENSITY).alias("rho")).select("o_orderkey", "metres", "timestamp", "lat", "lon", "rho")
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'decoded' END AS status, sum((o_orderstatus <> 'P')::BIGINT)::BIGINT AS rows, sum((o_orderstatus = 'P')::BIGINT)::BIGINT AS bad_rows FROM orders GROUP BY 1")
+def file_verdicts(spark, d):
+    return _decoded(spark, d).files.where("rows + bad_rows > 0").groupBy("status").agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 3723 SECOND AS timestamp FROM lineitem")
+def merge_by_footers(spark, d):
+    """A decoded table for each year, of which those of two quarters of one year overlap."""
+    folder = _folder(spark, "merge")
+    rows = read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("Date yyyy-mm-dd"), F.lit("01:02:03.000").alias("Time hh:mm:ss.sss"), F.lit("UTC").alias("Time System"), "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"))
+    rows = rows.withColumn("year", F.when(F.col("year") == 1995, F.concat(F.lit("1995"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b"))).otherwise(F.col("year").cast("string")))
+    rows.hint("rebalance", "year").write.partitionBy("year").parquet(folder)
+    years = [r["year"] for r in rows.select("year").distinct().collect()]
+    merge_sorted.merge_sorted(spark, [f"{folder}/year={y}" for y in sorted(years)], f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("l_orderkey", "l_linenumber", "timestamp")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS part FROM orders")
+def manifest_commits(spark, d):
+    """Three appends to a log, put together to one file after the second."""
+    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    log = CommittedTable(spark, _folder(spark, "log"), None, "parquet")
+    for i, part in enumerate((rows.where("status = 'F'"), rows.where("status = 'O'"), rows.where("status not in ('F', 'O')"))):
+        log.append(part.withColumn("part", F.lit(i)))
+        if i == 1:
+            log.compact(one_file=False)
+    return log.read()
+
+
+@query("""SELECT o_orderkey, 0 AS version FROM orders UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderstatus = 'F'""")
+def table_versions(spark, d):
+    """All versions of a table that is replaced by a part of itself and then appended to."""
+    rows = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    table = CommittedTable(spark, _folder(spark, "versions"))
+    table.replace(rows)
+    table.replace(table.read().where("o_orderstatus = 'O'"))
+    table.append(rows.where("o_orderstatus = 'F'"))
+    return merge.strict_union([table.read(v).select("o_orderkey", F.lit(v).alias("version")) for v in range(3)])
+
+
+@query(ORACLES["analysed_ratios"])
+def analysed_bucketed(spark, d):
+    """As ``analysed_ratios``, of tables saved by bucket."""
+    rows = read(spark, d, "orders").select(F.lit("X").alias("mission"), F.timestamp_seconds("o_orderkey").cast("timestamp_ntz").alias("timestamp"), "o_orderkey", F.col("o_totalprice").alias("msis_density_0"), F.lit(1000.0).alias("Density (kg/m^3)"))
+    second = rows.where("o_orderkey % 3 <> 0").select("mission", "timestamp", (c("msis_density_0") * 2).alias("matlab_density"), F.lit(0.0).alias("Altitude_m_"))
+    names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("model", "second")]
+    for frame, name in zip((rows, second), names, strict=True):
+        ratios.write_bucketed(frame, name, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out = ratios.analysed_tables(spark, *names)
+    return rounded(out.select("o_orderkey", c("ln_density_ratio_0").alias("r0"), c("ln_density_ratio_matlab_density").alias("second")))
+
+
+@query(ORACLES["padded_slice_year"])
+def slice_by_month(spark, d):
+    """As ``padded_slice_year``, of orders whose files lie by month; the range stays in the plan."""
+    folder = _folder(spark, "months")
+    layout.write_by_month(read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), folder, "date", keys=())
+    times = observations(spark, d).where("mission = 'F' and timestamp >= timestamp_ntz'1998-01-01' and timestamp < timestamp_ntz'1999-01-01'")
+    return weather.slice_by_month(layout.read_by_month(spark, folder), times).select("o_orderkey", "date")
+
+
+@query(f"""WITH {_DAYS} SELECT l_orderkey, l_linenumber, round(l_extendedprice / 1000 * 0.5 + l_discount - l_tax + 2.1 * round(a.flux, 5) + round(b.mean, 2) + 4, 4) AS v21, 4.0::DOUBLE AS ap
+FROM lineitem JOIN means a ON a.day = CAST(l_shipdate AS DATE) - 1 JOIN means b ON b.day = CAST(l_shipdate AS DATE)""")
+def generated_files(spark, d):
+    """Line items as a merged table for each year and flag, all of which one plan generates; days without weather are left out."""
+    folder = _folder(spark, "files")
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"), F.col("l_discount").alias(LONGITUDE), F.col("l_tax").alias(LATITUDE), F.col("l_extendedprice").alias(ALTITUDE),
+        F.concat_ws("_", F.year("l_shipdate"), "l_returnflag", F.lit("merged")).alias("name"),
+    )
+    rows.hint("rebalance", "name").write.partitionBy("name").parquet(folder)
+    daily = _space_weather(spark, d).withColumns({"F107_OBS": F.round("F107_OBS", 5), "F107_OBS_CENTER81": F.round("F107_OBS_CENTER81", 2), "AP_AVG": F.lit(4.0), **{f"AP{i}": F.lit(4.0) for i in range(1, 9)}}).drop("date")
+    files = [f"{folder}/name={r['name']}" for r in rows.select("name").distinct().collect()]
+    log = generate.generate(spark, files, closed_form, daily, f"{folder}/log")
+    made = [r["output_file"] for r in log.where("status = 'success'").collect()]
+    out = spark.read.parquet(*made).where("f107 is not null and f107a is not null")
+    return out.select("l_orderkey", "l_linenumber", F.round(c("msis_density_2.1"), 4).alias("v21"), "ap")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return fig_uncertainty_of_mean(spark, d)
 
