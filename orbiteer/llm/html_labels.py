@@ -140,3 +140,30 @@ def made(n: int = 90, seed: int = 3) -> list[str]:
             body = [some(links(pick.randint(2, 5)), 0.8), some(f"<p>-{words(1, 3)}</p>{links(3)}", 0.3), article(), some(links(3), 0.3) and "", some(comments("div", "div"), 0.2), links(3), some(f"<p>-{words(2, 6)}</p>{links(2)}", 0.5)]
         out.append("<body>" + "".join(body) + "</body>")
     return out
+
+
+def ended(n: int = 60, seed: int = 8) -> list[str]:
+    """``n`` pages with a line on who owns them: at the end of the page, unnamed, on flat pages and beside two columns (no
+    article text), or as the article's own last or middle line."""
+    pick = random.Random(seed)
+    words = lambda low, high: " ".join(pick.choice(_WORDS) for _ in range(pick.randint(low, high))).capitalize()
+    out = []
+    for i in range(n):
+        prose = [f"<p>+{' '.join(words(6, 24) + '.' for _ in range(pick.randint(1, 5)))}</p>" for _ in range(pick.randint(2, 6))]
+        line = pick.choice(["&copy; 2020 {}. All rights reserved.", "Copyright {} 2019", "&copy; {}", "(c) 2021 {}, all rights reserved", "All rights reserved.", "Copyright 2018 {}. All rights reserved by the owners."]).format(words(1, 4))
+        nav = f"<ul>{''.join(f'<li><a href=/{k}>-{words(1, 3)}</a></li>' for k in range(pick.randint(2, 5)))}</ul>"
+        title = f"<h1>+{words(2, 7)}</h1>" if pick.random() < 0.8 else ""
+        tag, last = pick.choice(["p", "div", "td"]), pick.choice(["", f"<p><a href=/i>-{words(1, 2)}</a></p>"])
+        end = f"<{tag}>-{line}</{tag}>" if tag != "td" else f"<table><tr><td>-{line}</td></tr></table>"
+        if i % 4 == 0:
+            out.append(f"<body>{nav}{title}{''.join(prose)}{end}{last}</body>")
+        elif i % 4 == 1:
+            out.append(f"<body><div>{nav}</div><div><div>{title}{''.join(prose)}</div><div><h4>-{words(1, 3)}</h4><p>-{words(4, 18)}</p></div></div>{end}{last}</body>")
+        elif i % 4 == 2:
+            k = pick.randint(1, len(prose))
+            inside = "".join([*prose[:k], f"<p>+{line}</p>", *prose[k:]])
+            out.append(f"<body><nav>{nav}</nav><article>{title}{inside}</article>" + pick.choice(["", f"<footer>-{line}</footer>"]) + "</body>")
+        else:
+            prose.insert(1, f"<p>+{line}</p>")
+            out.append(f"<body>{nav}<div>{title}{''.join(prose)}</div><p><a href=/i>-{words(1, 2)}</a></p></body>")
+    return out

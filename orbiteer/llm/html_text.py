@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import short_batches, table, tidy
-from .html_labels import PAGES, made
+from .html_labels import PAGES, ended, made
 
 _ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>")
@@ -25,6 +25,13 @@ _RAW = frozenset("script style title textarea iframe noscript".split())
 _MUTE = frozenset("select button template object svg canvas".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table td th tr ul".split())
+#: Elements that end an open one of these names when they begin, and those that such a one is looked for in: the end tags
+#: of cells and rows may be left out.
+_ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+#: What may not be closed from inside a table that is in it.
+_CELLS = frozenset("td th tr".split())
+#: Who owns a page, and what may be done with it.
+_LEGAL = re.compile(r"©|\(c\) *\d{4}|\bcopyright\b|\brights reserved\b", re.I)
 #: Elements that say what is in them: no article text.
 _APART = frozenset("nav footer aside form menu dialog".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -38,7 +45,9 @@ _HINTS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr masthead menu modal nav navbar navigation newsletter notice notices"
     " pager pagination popup promo share sharing sidebar signup social subscribe subscription toolbar widget".split()
 )
-_QUOTING = frozenset("comment comments discussion disqus kommentar kommentare outbrain recommended related replies reply respond sponsor sponsored taboola".split())
+_QUOTING = frozenset("comments discussion disqus kommentare outbrain related replies respond sponsored taboola".split())
+#: Parts that say so only where nothing else is said: an article may be on a "comment-policy" or for "recommended-reading".
+_MAYBE = frozenset("comment kommentar recommended reply sponsor".split())
 _NEUTRAL = frozenset("area bar block bottom box container inner left list main outer panel reader right section site top wrap wrapper".split())
 _LAYOUT = frozenset("has no with without".split())
 
@@ -82,9 +91,9 @@ def hint(attributes: str) -> int:
     if "=" not in attributes:
         return 0
     names = frozenset(p.lower() for v in _NAMES.findall(attributes) for p in _PART.findall("".join(v)))
-    if names & _LAYOUT or not names & (_HINTS | _QUOTING):
+    if names & _LAYOUT or not names & (_HINTS | _QUOTING | _MAYBE):
         return 0
-    return 2 if names & _QUOTING or names <= _HINTS | _NEUTRAL else 1
+    return 2 if names & _QUOTING or names <= _HINTS | _MAYBE | _NEUTRAL else 1
 
 
 def blocks(html: str) -> tuple[list[Block], list[Element]]:
@@ -95,6 +104,7 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
     text: list[str] = []
     link: list[str] = []
     stack: list[tuple[str, int, bool]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack, by name
     place, unseen, in_link, heading = 0, False, False, False
     unclosed: set[str] = set()
 
@@ -109,6 +119,20 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
             text.clear()
             link.clear()
 
+    def shut(name: str) -> None:
+        """Closes the innermost open element of a name, with all inside it."""
+        nonlocal place, unseen
+        k = opened[name][-1]
+        _, place, unseen = stack[k]
+        for inner, *_ in stack[k:]:
+            opened[inner].pop()
+        del stack[k:]
+
+    def inner(name: str) -> bool:
+        """Whether an element of a name is open, for cells and rows in the innermost table."""
+        own = opened.get(name)
+        return bool(own) and (name not in _CELLS or own[-1] > (opened.get("table") or [-1])[-1])
+
     def add(piece: str) -> None:
         if piece:
             text.append(piece)
@@ -166,14 +190,13 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
         if name not in _CONTAINERS:
             continue
         if closing:
-            k = len(stack) - 1
-            # a closing tag without its opening one is looked for no deeper than this, so that reading stays linear
-            while k >= max(0, len(stack) - 64) and stack[k][0] != name:
-                k -= 1
-            if k >= 0 and stack[k][0] == name:
-                _, place, unseen = stack[k]
-                del stack[k:]
+            if inner(name):
+                shut(name)
         else:
+            for other in _ENDS.get(name, ()):
+                if inner(other) and (name == "tr" or opened[other][-1] > (opened.get("tr") or [-1])[-1]):
+                    shut(other)
+            opened.setdefault(name, []).append(len(stack))
             stack.append((name, place, unseen))
             around = elements[place]
             article = around.article or name in ("article", "main", "section")
@@ -222,13 +245,14 @@ def core(elements: list[Element]) -> tuple[int, bool]:
 
 
 #: What a tree sees of a block.
-FEATURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "in the core", "apart", "hint", "heading")
+FEATURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "in the core", "apart", "hint", "heading", "legal", "blocks after")
 
 
 def features(page: list[Block], elements: list[Element]) -> Iterator[tuple[float, ...]]:
     """Of each block: words and link density, those of the block before and of the one after, whether it is in the core of
     the page (2 and -2 if an element's name says what that is, else 1 and -1), in an element of another use, under names
-    that hint at something else (of containers inside the core), and a heading."""
+    that hint at something else (of containers inside the core), a heading, a note of who owns the page, and how many blocks
+    of the page, up to three, follow."""
     if not page:
         return
     lead, sure = core(elements)
@@ -239,10 +263,11 @@ def features(page: list[Block], elements: list[Element]) -> Iterator[tuple[float
             hints[i] = max(hints[e.within], e.hint)
             apart[i] = apart[e.within] or e.name in _APART or (e.name == "header" and not e.article)
     none = Block("", 0, 0.0, False, 0)
-    for before, own, after in zip([none, *page[:-1]], page, [*page[1:], none], strict=True):
+    for n, (before, own, after) in enumerate(zip([none, *page[:-1]], page, [*page[1:], none], strict=True), 1):
         i = own.place
         at = (1 + sure) * (1 if inside[i] else -1)
-        yield own.words, own.linked, before.words, before.linked, after.words, after.linked, at, apart[i], hints[i], own.heading
+        legal = own.words <= 40 and _LEGAL.search(own.text) is not None
+        yield own.words, own.linked, before.words, before.linked, after.words, after.linked, at, apart[i], hints[i], own.heading, legal, min(3, len(page) - n)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 1):
@@ -283,7 +308,7 @@ def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @cache
 def learnt(depth: int = 8):
     """The tree for the labelled pages.  Those written by hand count several times."""
-    return grow(*labelled(PAGES * 4 + made()), depth, 4)
+    return grow(*labelled(PAGES * 4 + made() + ended()), depth, 4)
 
 
 def main_text(html: str, tree) -> str:

@@ -211,6 +211,71 @@ def test_wrappers(before, after, kept):
     assert text == (" ".join(re.sub("<[^>]*>", " ", STORY).split()) if kept else "")
 
 
+@pytest.mark.parametrize("rows", [10, 40, 80, 10_000])
+@pytest.mark.parametrize("core", ["article", "div"])
+def test_cells_without_end_tags(rows, core):
+    """Rows and cells end where the next ones begin, however many there are; the article behind them stays."""
+    import time
+
+    began = time.perf_counter()
+    table_ = "<tr><td><a href='/a'>One</a><td><a href='/b'>Two</a>" * rows
+    page = f"<body><nav><table>{table_}</table></nav><{core}>{STORY}</{core}></body>"
+    assert html_text.main_text(page, html_text.learnt()) == " ".join(re.sub("<[^>]*>", " ", STORY).split())
+    assert time.perf_counter() - began < 5
+    found, elements = html_text.blocks(f"<table>{table_}</table><p>x")
+    assert len(found) == 2 * rows + 1 and found[-1].place == 0 and {elements[e.within].name for e in elements if e.name == "td"} == {"tr"}
+
+
+def test_tables_in_tables():
+    inside = "<table><tr><td>a<td>b<table><tr><td>c</td></td></tr></table>d<tr><td>e</table>f"
+    found, elements = html_text.blocks(inside)
+    depth = lambda i: 0 if i == 0 else 1 + depth(elements[i].within)
+    assert [(b.text, depth(b.place)) for b in found] == [("a", 3), ("b", 3), ("c", 6), ("d", 3), ("e", 3), ("f", 0)]
+
+
+@pytest.mark.parametrize("attributes", ["class='comment-policy post'", "id='recommended-reading'", "class='reply-rates story'", "id='sponsor-history'"])
+@pytest.mark.parametrize("core", ["article", "main", "div", "section"])
+def test_articles_on_comments_and_the_like(attributes, core):
+    page = f"<body><nav><a href='/'>Home</a></nav><{core} {attributes}>{STORY}</{core}><footer>Imprint</footer></body>"
+    assert html_text.main_text(page, html_text.learnt()) == " ".join(re.sub("<[^>]*>", " ", STORY).split())
+
+
+@pytest.mark.parametrize("line", ["&copy; 2020 The Daily Plain. All rights reserved.", "Copyright 2019 River Press", "&copy; plain.example.com"])
+@pytest.mark.parametrize("layout", ["<body>{0}<p>{1}</p></body>", "<body>{0}<div>{1}</div></body>", "<body><div><div>{0}</div><div><p>Other towns.</p></div></div><p>{1}</p></body>"])
+def test_unnamed_footers_go(line, layout):
+    story = STORY + f"<p>{LINES}</p>"
+    assert html_text.main_text(layout.format(story, line), html_text.learnt()) == " ".join(re.sub("<[^>]*>", " ", story).split())
+    inside = f"<body><nav><a href='/'>Home</a></nav><article>{story}<p>{line}</p></article></body>"
+    assert html_text.main_text(inside, html_text.learnt()).endswith(" ".join(unescape(line).split()))
+
+
+#: Pages as their authors' tools leave them, written by hand and not by the rules of ``html_labels``, with their articles.
+BY_HAND = [
+    (
+        "<!doctype html><html><body class='single post-template'><div id=page><div id=masthead><a href=/>The Ledger</a></div><div id=primary class='content-area wide'><div class=entry><h1>Tides</h1>"
+        "<p>The harbour wall was finished in the spring, two years late and at twice the price that the council had named.</p><p>Boats were back by June.</p></div></div>"
+        "<div id=secondary class=sidebar><h3>Archive</h3><ul><li><a href=/1>May</a><li><a href=/2>June</a></ul></div></div></body></html>",
+        "Tides The harbour wall was finished in the spring, two years late and at twice the price that the council had named. Boats were back by June.",
+    ),
+    (
+        "<html><body><table width=100%><tr><td><a href=a.html>Back</a><td><a href=b.html>Up</a></table><h2>How to mend a clock</h2><p>Take the hands off first, and lay them on a dark cloth so that you find them again.\n"
+        "<p>Then let the spring down, slowly, with the key in your hand all the time until it no longer pulls.\n<p>Only now open the back of the case and look for the broken wheel.<hr><a href=a.html>Back</a></body></html>",
+        "How to mend a clock Take the hands off first, and lay them on a dark cloth so that you find them again. Then let the spring down, slowly, with the key in your hand all the time until it no longer pulls. Only now open the back of the case and look for the broken wheel.",
+    ),
+    (
+        "<body><nav aria-label=Main><a href=/>Start</a><a href=/n>News</a></nav><main><article><header><h1>Snow in May</h1></header><p>Nobody had packed for it, and the pass was shut by noon with forty cars on the way up.</p>"
+        "<figure><img src=x><figcaption>The pass at noon.</figcaption></figure><p>By night the ploughs had got through.</p></article><section id=comments><h2>2 replies</h2><p>We were in the third car and sang to stay awake until the plough came by.</p></section></main>"
+        "<div class=newsletter-signup><p>Get our letter each Friday and never miss a story from the mountains again.</p></div><footer>Made in the valley</footer></body>",
+        "Snow in May Nobody had packed for it, and the pass was shut by noon with forty cars on the way up. The pass at noon. By night the ploughs had got through.",
+    ),
+]
+
+
+@pytest.mark.parametrize("page,text", BY_HAND)
+def test_pages_written_by_hand(page, text):
+    assert html_text.main_text(page, html_text.learnt()) == text
+
+
 def test_pages_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (None, None, "<p>x", 3), (2, "u", "<p>" + "y " * 50_000, 3)], "page_id long, url string, html string, text int")
     rows = sorted((r.page_id or 0, r.n_chars) for r in html_text.extract(df).collect())
