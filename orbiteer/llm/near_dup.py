@@ -251,8 +251,8 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     each's rarest m - ``matches`` + 1 (m: its coordinates left), so only this prefix is merged.  A task counts the
     matches of the sets that share a list and joins those with enough; long lists are counted in blocks
     (``_candidates``).  What is joined is a group, compared in blocks of ``block`` by whole sets: first each
-    block in itself, then the roots found, then the sets outside a group's largest component with all of the group.
-    No pair of a group is dropped and none is sent out, only each member's root.
+    block in itself, then the roots found, then the sets outside a group's largest component with all of the group, of
+    both those whose rarest shingles leave a link possible (``_live``).  No pair of a group is dropped and none is sent out, only each member's root.
 
     ASCII letters are lower-cased; words are as in ``common.WORD``.  A null or empty text has no shingle and is linked
     with nothing: component_id is its own doc_id.  A row with a null doc_id is returned with a null component_id and
@@ -283,7 +283,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     comps = checkpoint(comps.select("set", F.col("root").alias("comp")))
     large = members.where(F.col("n") > block)
     if not large.isEmpty():
-        comps = _across_blocks(docs, large, comps, roots, kind, block)
+        comps = _across_blocks(docs, large, comps, roots, kind, block, shingle, percent)
 
     joined = classes.select("set", F.struct("doc_id", "hash").alias("least")).join(comps, "set")
     least = checkpoint(joined.groupBy("comp").agg(F.min("least").alias("least")))
@@ -297,7 +297,50 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: in
     return found.select("doc_id", "hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen"))
 
 
-def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, kind: str, block: int) -> DataFrame:
+def _shingles(length: int):
+    """Of rows (set, blob, comp, text): a row for each shingle, with the number of all of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for all_, first in shingle_sets(batch.column(3), length):
+                n, size = len(first) - 1, np.diff(first)
+                key, sets = _keys(all_, first), batch.column(0).slice(at, n).to_numpy()
+                whole = key == sets  # of rows that share doc_id and hash, those with this set's text
+                size = np.where(whole, size, 0)
+                token = all_[np.repeat(whole, np.diff(first))].view(np.int64)
+                columns = [np.repeat(batch.column(i).slice(at, n).to_numpy(), size) for i in range(3)]
+                columns += [np.repeat(size, size).astype(np.int64), token]
+                for i in range(0, len(token), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["set", "blob", "comp", "size", "token"])
+                at += n
+
+    return run
+
+
+def _live(docs: DataFrame, own: DataFrame, length: int, percent: int) -> DataFrame:
+    """(set): the members of ``own`` (doc_id, hash, set, blob, comp) that may be linked to one of another comp of their blob.
+
+    Two sets that are alike share one of each's rarest shingles, as many as are left when ``percent`` of the set, one
+    less, are taken away.  Shingles are counted within blobs of several comps; those that only one set has can't be shared but
+    take their places.  So of a template's many texts, each with more of its own than the likeness allows, none is left, and
+    what is sent to be compared doesn't grow with the square of their number."""
+    several = checkpoint(own.groupBy("blob").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("blob"))
+    own = own.join(small(several), "blob").select("doc_id", "hash", "set", "blob", "comp")
+    texts = docs.join(small(checkpoint(own)), ["doc_id", "hash"]).select("set", "blob", "comp", "text")
+    tokens = texts.mapInArrow(tidy(_shingles(length)), "set long, blob long, comp long, size long, token long").distinct()
+    tokens = checkpoint(tokens)
+    shared = tokens.groupBy("blob", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sets = tokens.join(shared, ["blob", "token"]).groupBy("set", "blob", "comp", "size").agg(F.collect_list(F.struct("n", "token")).alias("t"))
+    # of the prefix, what shingles of the set alone don't take
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("t"))
+    rare = sets.where(prefix > 0).select("set", "blob", "comp", F.explode(F.slice(F.array_sort("t"), F.lit(1), prefix.cast("int"))).alias("t"))
+    rare = checkpoint(rare.select("set", "blob", "comp", "t.token"))
+    lists = rare.groupBy("blob", "token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("blob", "token")
+    return checkpoint(rare.join(lists, ["blob", "token"], "left_semi").select("set").distinct())
+
+
+def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, kind: str, block: int, length: int, percent: int) -> DataFrame:
     """``comps`` (set, comp) after comparing members of different blocks of the ``large`` groups."""
     tops = large.join(comps.select(F.col("comp").alias("set")).distinct(), "set").withColumn("comp", F.col("set")).drop("n")
     tops = checkpoint(tops.join(tops.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), "blob"))
@@ -306,7 +349,10 @@ def _across_blocks(docs: DataFrame, large: DataFrame, comps: DataFrame, roots, k
     comps = checkpoint(comps.join(again, "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")))
 
     own = checkpoint(large.drop("n").join(comps, "set"))
-    pairs = _pairs_of_blocks(own, "blob", block).select("doc_id", "hash", "set", "blob", "comp", "p")
+    live = _live(docs, own, length, percent)
+    if live.isEmpty():
+        return comps
+    pairs = _pairs_of_blocks(checkpoint(own.join(small(live), "set", "left_semi")), "blob", block).select("doc_id", "hash", "set", "blob", "comp", "p")
     links = docs.join(small(checkpoint(pairs)), ["doc_id", "hash"]).groupBy("blob", "p").applyInPandas(roots, kind)
     links = checkpoint(links.where("set <> root").distinct())
     first = comps.select("set", F.col("comp").alias("a"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orbiteer.llm import near_dup, wordhash
 from orbiteer.llm.components import connected_components
@@ -144,3 +145,41 @@ def test_texts_that_share_a_doc_id(spark, block):
 def test_block_without_its_texts():
     block = pd.DataFrame({"set": [1, 2], "comp": [1, 2], "text": ["a b", "c d"]})
     assert near_dup._roots(2, 80, near_dup.COORDINATES, near_dup.MATCHES)(block).empty
+
+
+def _template(n, own, shared, seed=4):
+    """Texts of ``shared`` common words and ``own`` others each."""
+    import random
+
+    draw = random.Random(seed)
+    frame = [f"t{i}" for i in range(shared)]
+    return [(i, " ".join(frame + [f"w{draw.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+def test_template_is_not_sent_around(spark):
+    """Texts of likeness 0.6 make a group of candidates; none is left to be compared across blocks, however many they are."""
+    for n in (300, 600):
+        docs = spark.createDataFrame(_template(n, 50, 150), "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+        signed = docs.mapInArrow(near_dup._sign(2, 48), near_dup._SETS)
+        own = signed.select("doc_id", "hash", "set", F.lit(1).cast("long").alias("blob"), F.col("set").alias("comp"))
+        assert near_dup._live(docs, own, 2, 80).count() == 0
+    rows = near_dup.near_duplicates(docs.drop("hash"), 2, block=64).collect()
+    assert len(rows) == 600 and all(r.kept for r in rows)
+
+
+def test_links_across_blocks_of_a_template(spark):
+    """Of the same template, some texts are near copies of others: those are found, also by a likeness of exactly 0.8."""
+    texts = [t for _, t in _template(400, 50, 150)]
+    for i in range(0, 60, 2):
+        words = texts[i].split()
+        words[-9:] = [f"x{i}y{j}" for j in range(9)]
+        texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2, block=64).collect()}
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for _, t in docs]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in sorted(links):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert got == dict(enumerate(root)) and len(links) >= 30
