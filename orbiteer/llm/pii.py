@@ -38,6 +38,10 @@ TITLES = {"f": "Mrs Ms Miss Mme Mlle Frau Señora Sra Signora госпожа Κ
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_INITIAL = r"\p{Lu}\."
+#: Small words of surnames, which stay as they are.
+PARTICLES = "von van der den de da di del della dos du la le ten ter zu bin ibn al el".split()
+_OWN = rf"(?!(?:{_TITLE})\b){_NAME}"
 _END = r"(?![\p{L}\p{N}])"
 #: Kinds of personal data in the order in which they are tried at a place, all of them after what is no letter or digit
 #: (Java patterns without groups).
@@ -50,8 +54,10 @@ KINDS = {
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": rf"(?<!\+)(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{2,4}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}){_END}",
     "card": rf"\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}{_END}",
-    "name": rf"(?:{_TITLE})\b\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?:{_TITLE})\b\.?(?: (?:{_TITLE})\b\.?)*(?: (?:{_OWN}|{_INITIAL})){{0,3}}(?: (?:{'|'.join(PARTICLES)})){{0,3}} {_OWN}",
 }
+#: A full name without a title, at each place where one may begin, of two and of three words.
+UNTITLED = [rf"(?<![\p{{L}}\p{{N}}'’-])(?=({_OWN}{f' (?:{_OWN}|{_INITIAL})' * n}(?: (?:{'|'.join(PARTICLES)})){{0,3}} {_OWN}){_END})" for n in (0, 1)]
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
 #: What a text with any of them has somewhere, to be looked for first: it costs a tenth.
 SCREEN = rf"[0-9@]|[0-9a-fA-F]{{32}}|sk-|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})"
@@ -152,15 +158,17 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     surname = F.lit(None).cast("string")
     for script, parts in PARTS.items():
         made = F.concat(*[_pick(parts, _number(d, i, len(parts))) for i in range(1, 4)])
-        surname = F.when(script_of(norm) == script, made).otherwise(surname)
+        second = F.concat(*[_pick(parts, _number(d, i, len(parts))) for i in range(4, 6)])
+        surname = F.when(script_of(norm) == script, F.when(norm.contains("-"), F.concat(made, F.lit("-"), second)).otherwise(made)).otherwise(surname)
     given = F.lit(None).cast("string")
     for script, genders in GIVEN.items():
         for gender, names in genders.items():
             # one name at first, then two or three in one word, so that a surname with many given names has enough
             more = [F.when(attempt >= least, F.lower(_pick(names, _number(d, at, len(names))))).otherwise("") for at, least in ((4, 4), (6, 8))]
-            given = F.when(kind == f"given:{script}:{gender}", F.concat(_pick(names, _number(d, 2, len(names))), *more)).otherwise(given)
+            second = F.when(F.substring_index(norm, SEPARATOR, 1).contains("-"), F.concat(F.lit("-"), _pick(names, _number(d, 6, len(names))))).otherwise("")
+            given = F.when(kind == f"given:{script}:{gender}", F.concat(_pick(names, _number(d, 2, len(names))), *more, second)).otherwise(given)
     # a country, what tells the kind of an access key, and the first digit of a card stay
-    kept = F.regexp_extract(norm, r"^(\+\d|\d(?=\d{12,18}$)|akia|asia|gh[pousr]_|sk-|[a-z]{2}(?=\d{2}[a-z0-9]{11,}$))", 0)
+    kept = F.regexp_extract(norm, r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d)|\d(?=\d{12,18}$)|akia|asia|gh[pousr]_|sk-|[a-z]{2}(?=\d{2}[a-z0-9]{11,}$))", 0)
     hexadecimal = norm.rlike("^[0-9a-f]{32,}$")
     kept = F.when(kind.isin("phone", "iban", "secret", "card") & ~hexadecimal, kept).otherwise("")
     rest = F.substring(norm, F.length(kept) + 1, F.length(norm))
@@ -201,21 +209,52 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 
 def parts_of(raw: Column) -> Column:
-    """The entities in a match, as (kind, norm, gender, part): a name has up to two, each with the part of the text it is.
-    gender is that of a name's title, if it tells one."""
-    kind = _alternatives({k: p for k, p in KINDS.items() if k != "password"}, raw, F.lit("password"))
+    """The entities in a match, as (kind, norm, gender, part, at): a name has a surname and up to three given names or initials,
+    each with its word of the text and that word's number; gender is that of the name's titles, if one tells it.  Titles
+    and particles are no entities."""
+    full = raw.rlike(rf"^{_OWN}(?: (?:{_OWN}|{_INITIAL}))?(?: (?:{'|'.join(PARTICLES)})){{0,3}} {_OWN}$")
+    kind = _alternatives({k: p for k, p in KINDS.items() if k != "password"}, raw, F.when(full, "name").otherwise("password"))
     digits = F.regexp_replace(raw, r"\D", "")
     norm = F.when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)).when(kind == "card", digits).when(kind == "iban", F.lower(F.replace(raw, F.lit(" "))))
     norm = norm.when(kind == "password", raw).otherwise(F.lower(raw))
-    words = F.split(raw, " ")
-    title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
-    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("")
-    last, first = F.element_at(words, -1), F.get(words, F.lit(1))
-    entity = lambda kind, norm, gender, part: F.struct(kind.alias("kind"), norm.alias("norm"), gender.alias("gender"), part.alias("part"))
-    surname = entity(F.lit("surname"), F.lower(last), F.lit(""), last)
-    given = entity(F.lit("given"), F.concat_ws(SEPARATOR, F.lower(first), F.lower(last)), gender, first)
-    names = F.when(F.size(words) > 2, F.array(given, surname)).otherwise(F.array(surname))
-    return F.when(kind == "name", names).otherwise(F.array(entity(kind, norm, F.lit(""), raw)))
+    words = F.transform(F.split(raw, " "), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    bare = lambda w: F.regexp_replace(w["word"], r"\.$", "")
+    title = lambda w: bare(w).isin([t for titles in TITLES.values() for t in titles])
+    gendered = lambda g: F.exists(words, lambda w: bare(w).isin(TITLES[g]))
+    gender = F.when(gendered("f"), "f").when(gendered("m"), "m").otherwise("")
+    last = F.element_at(words, -1)
+    entity = lambda kind, norm, gender, part, at: F.struct(kind.alias("kind"), norm.alias("norm"), gender.alias("gender"), part.alias("part"), at.cast("int").alias("at"))
+
+    def given(w: Column) -> Column:
+        kind = F.when(w["word"].rlike(f"^{_INITIAL}$"), "initial").otherwise("given")
+        return entity(kind, F.concat_ws(SEPARATOR, F.lower(w["word"]), F.lower(last["word"])), gender, w["word"], w["at"])
+
+    before = F.filter(F.slice(words, 1, F.size(words) - 1), lambda w: ~title(w) & ~w["word"].isin(PARTICLES))
+    names = F.concat(F.transform(before, given), F.array(entity(F.lit("surname"), F.lower(last["word"]), F.lit(""), last["word"], last["at"])))
+    return F.when(kind == "name", names).otherwise(F.array(entity(kind, norm, F.lit(""), raw, F.lit(-1))))
+
+
+def full_name(raw: Column) -> Column:
+    """Of a name, titled or not, its words but for titles, in lower case; null if that is a surname alone."""
+    names = F.filter(F.split(raw, " "), lambda w: ~F.regexp_replace(w, r"\.$", "").isin([t for titles in TITLES.values() for t in titles]))
+    return F.when(F.size(names) > 1, F.lower(F.array_join(names, " ")))
+
+
+def untitled(docs: DataFrame, raws: DataFrame) -> DataFrame | None:
+    """(hash, raws): the texts of ``docs`` that name a person of ``raws`` (raw) in full without a title, and how; None if nobody
+    is named in full.  A name is first given name and surname, or all that came with the title."""
+    named = raws.where(F.col("raw").rlike(f"^(?:{KINDS['name']})$")).select(full_name(F.col("raw")).alias("full")).where("full is not null")
+    words = F.split("full", " ")
+    short = F.concat_ws(" ", F.get(words, F.lit(0)), F.array_join(F.filter(F.slice(words, 2, F.size(words) - 1), lambda w, i: w.isin(PARTICLES) | (i == F.size(words) - 2)), " "))
+    named = named.select(F.explode(F.array_distinct(F.array("full", short))).alias("full")).where(~F.col("full").rlike(r"^\p{L}\. ")).distinct()
+    named = checkpoint(named)
+    if named.isEmpty():
+        return None
+    text = F.coalesce("text", F.lit(""))
+    every = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in UNTITLED]))
+    each = docs.select(F.xxhash64("text").alias("hash"), F.explode(every).alias("raw")).withColumn("full", F.lower("raw"))
+    each = each.join(F.broadcast(named) if fits(named, F.length("full")) else named, "full", "left_semi").select("hash", "raw").distinct()
+    return checkpoint(each.groupBy("hash").agg(F.collect_set("raw").alias("raws")))
 
 
 def with_gender(raws: DataFrame) -> DataFrame:
@@ -248,24 +287,31 @@ def poured(part: Column, made: Column) -> Column:
 
 def replacements(found: DataFrame, key: str) -> DataFrame:
     """(raw, replacement) of every different match in ``found`` (raw) that is personal data."""
-    raws = found.select("raw").distinct().select("raw", F.posexplode(parts_of(F.col("raw"))).alias("i", "x")).select("raw", "i", "x.*")
+    raws = found.select("raw").distinct().select("raw", F.explode(parts_of(F.col("raw"))).alias("x")).select("raw", "x.*")
     raws = checkpoint(raws.where(is_valid(F.col("kind"), F.col("norm"))))
-    raws = checkpoint(with_gender(raws))
+    initials = raws.where("kind = 'initial'")
+    raws = checkpoint(with_gender(raws.where("kind <> 'initial'")))
     made = assign(raws.select("kind", "norm").distinct(), key).select("kind", "norm", "surrogate")
     kind, part, new = F.col("kind"), F.col("part"), F.col("surrogate")
     named = (kind == "surname") | kind.startswith("given")
-    cased = F.when((part == F.upper("part")) & (F.length("part") > 1), F.upper(new)).when(named, F.initcap(new)).otherwise(new)
+    capital = F.array_join(F.transform(F.split(new, "-"), lambda x: F.initcap(x)), "-")
+    cased = F.when((part == F.upper("part")) & (F.length("part") > 1), F.upper(new)).when(named, capital).otherwise(new)
     new = F.when(named | kind.isin("email", "ip"), cased).otherwise(poured(part, F.regexp_replace(new, r"[^\p{L}\p{N}+]", "")))
-    pairs = raws.join(made, ["kind", "norm"]).groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("i", new.alias("new"), named.alias("named")))).alias("x"))
-    title = F.when(F.get("x", F.lit(0))["named"], F.concat(F.substring_index("raw", " ", 1), F.lit(" "))).otherwise("")
-    return pairs.select("raw", F.concat(title, F.array_join(F.transform("x", lambda x: x["new"]), " ")).alias("replacement"))
+    words = raws.join(made, ["kind", "norm"]).select("raw", "at", new.alias("new"))
+    # letters are few: initials of different people may become the same
+    words = words.union(initials.select("raw", "at", F.upper(_like(F.col("part"), _digest(key, F.col("kind"), F.col("norm"))))))
+    pairs = words.groupBy("raw").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("x"))
+    replaced = F.array_join(F.transform(F.split("raw", " "), lambda w, i: F.coalesce(F.try_element_at("x", i), w)), " ")
+    return pairs.select("raw", F.coalesce(F.try_element_at("x", F.lit(-1)), replaced).alias("replacement"))
 
 
 def pseudonymise(docs: DataFrame, key: str = "orbiteer") -> DataFrame:
     """``docs`` (text and any others) with the personal data in text replaced, and n_replaced.
 
     ``KINDS`` says what is found: mail and network addresses, phone, card, account and social security numbers, access
-    keys, passwords, and names after a title.  Numbers of cards and accounts need right check digits (``is_valid``), and
+    keys, passwords, and names after titles: given names, initials, particles and a surname, of which titles and particles
+    stay.  A person who is named in full after a title anywhere is found by that full name without one, too (``untitled``); a
+    surname alone isn't.  Numbers of cards and accounts need right check digits (``is_valid``), and
     their surrogates have right ones.  An entity's surrogate is made from a digest of ``key``, its kind and its normal
     form, so it is the same wherever and however written (coreference), and looks like it: digits for digits, letters
     of the same script and case, octets of as many digits, given names of the person's gender (``with_gender``).
@@ -276,13 +322,17 @@ def pseudonymise(docs: DataFrame, key: str = "orbiteer") -> DataFrame:
     Only texts with a match are joined to their replacements; all others pass as they are.  What is found at a place is
     the first kind that fits.  A null text stays null, an empty one empty, and a long one is replaced whole.  Rows are
     told apart by their text, so ones that repeat a doc_id, or have none, are each replaced.  An empty table gives no
-    row.  Columns n_replaced, _hash and _private are replaced."""
-    docs = docs.drop("n_replaced", "_hash", "_private")
+    row.  Columns n_replaced, _hash, _private, _named, _found, _names, _first and _new
+    are replaced."""
+    docs = docs.drop("n_replaced", "_hash", "_private", "_named", "_found", "_names", "_first", "_new")
     text = F.coalesce(F.col("text"), F.lit(""))
     every = F.when(text.rlike(SCREEN), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = docs.select(F.xxhash64("text").alias("hash"), F.array_distinct(every).alias("raws")).where(F.size("raws") > 0)
     found = checkpoint(found.distinct())
     each = found.select("hash", F.explode("raws").alias("raw"))
+    mentions = untitled(docs, each.select("raw").distinct())
+    if mentions is not None and not mentions.isEmpty():
+        each = each.union(mentions.select("hash", F.explode("raws").alias("raw"))).distinct()
     new = checkpoint(replacements(each, key))
     each = each.join(F.broadcast(new) if fits(new, F.length("raw") + F.length("replacement")) else new, "raw")
     maps = each.groupBy("hash").agg(F.collect_set(F.struct("raw", "replacement")).alias("pairs"))
@@ -291,20 +341,36 @@ def pseudonymise(docs: DataFrame, key: str = "orbiteer") -> DataFrame:
     docs = docs.withColumn("_hash", F.xxhash64("text"))
     if fits(maps, size):
         return _replaced(docs.join(F.broadcast(maps), "_hash", "left"), docs, every)
+    named = mentions.select(F.col("hash").alias("_hash")) if mentions is not None else None
     matched = F.coalesce(F.size(every) > 0, F.lit(False))
-    clean = docs.where(~matched).withColumn("_private", F.lit(None).cast(maps.schema["_private"].dataType))
-    return _replaced(docs.where(matched).join(maps, "_hash", "left"), docs, every).union(_replaced(clean, docs, every))
+    if named is not None and not named.isEmpty():  # texts that are matched by a name without a title only
+        known = F.broadcast(named) if fits(named, F.lit(8)) else named
+        docs = docs.join(known.withColumn("_named", F.lit(True)), "_hash", "left")
+        matched = matched | F.col("_named").isNotNull()
+    clean = docs.where(~matched).drop("_named").withColumn("_private", F.lit(None).cast(maps.schema["_private"].dataType))
+    private = docs.where(matched).drop("_named").join(maps, "_hash", "left")
+    docs = docs.drop("_named")
+    return _replaced(private, docs, every).union(_replaced(clean, docs, every))
 
 
 def _replaced(joined: DataFrame, docs: DataFrame, every: Column) -> DataFrame:
-    private = F.col("_private")
+    private, found = F.col("_private"), F.col("_found")
+    joined = joined.withColumn("_found", every)
+    # full names without a title come last, the longest first: none of the surrogates is one
+    names = F.filter(F.map_keys(private), lambda k: k.rlike(rf"^{_OWN} ") & ~F.array_contains(found, k))
+    joined = joined.withColumn("_names", F.array_sort(names, lambda a, b: F.length(b) - F.length(a)))
     pieces = F.split(F.col("text"), ANY, -1)
-    made = F.transform(every, lambda m: F.coalesce(private[m], m))
+    made = F.transform(found, lambda m: F.coalesce(private[m], m))
     new = F.array_join(F.zip_with(pieces, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    whole = lambda k: F.concat(F.lit(r"(?<![\p{L}\p{N}'’-])"), F.regexp_replace(k, r"\.", r"\\\\."), F.lit(_END))
+    some = F.coalesce(F.size("_names"), F.lit(0)) > 0
+    joined = joined.withColumn("_first", new)
+    named = F.aggregate("_names", F.col("_first"), lambda t, k: F.regexp_replace(t, whole(k), private[k]))
+    before = F.aggregate("_names", F.lit(0), lambda n, k: n + F.size(F.split(F.col("_first"), whole(k), F.lit(-1))) - 1)
     known = private.isNotNull() & F.col("text").isNotNull()
-    columns = [F.when(known, new).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "_hash"]
-    count = F.when(known, F.size(F.filter(every, lambda m: private[m].isNotNull()))).otherwise(0)
-    return joined.select(*columns, count.cast("long").alias("n_replaced"))
+    count = F.size(F.filter(found, lambda m: private[m].isNotNull())) + F.when(some, before).otherwise(0)
+    joined = joined.withColumns({"_new": F.when(known, F.when(some, named).otherwise(F.col("_first"))).otherwise(F.col("text")), "n_replaced": F.when(known, count).otherwise(0).cast("long")})
+    return joined.select(*[F.col("_new").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "_hash"], "n_replaced")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
