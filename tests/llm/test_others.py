@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 from html import unescape
@@ -442,18 +443,42 @@ def test_likeness_to_the_next(spark, sf_dir, documents):
 
 def test_search_query(spark, sf_dir, documents):
     """simhash_search against all pairs of fingerprints."""
-    bits = simhash.fingerprints(pa.array([t for _, t in documents]))
+    bits = simhash.fingerprints(pa.array([t for _, t in documents]), simhash.SEARCH_TERM)
     names = simhash._hex(bits)
     expected = set()
     for k, (i, _) in enumerate(documents):
         if i % 100 == 0:
-            for name in {names[m] for m in np.flatnonzero((bits != bits[k]).sum(axis=1) <= 6)}:
+            for name in {names[m] for m in np.flatnonzero((bits != bits[k]).sum(axis=1) <= simhash.SEARCH_RADIUS)}:
                 own = [d for (d, _), x in zip(documents, names, strict=True) if x == name]
                 expected.add((i, min(own), len(own), int((bits[k] != bits[names.index(name)]).sum())))
     assert {tuple(r) for r in simhash.simhash_search(spark, sf_dir).collect()} == expected
 
 
-@pytest.mark.parametrize("radius,blocks", [(0, 1), (3, 4), (6, 8)])
+def test_recall_of_near_copies(spark):
+    """Of the pairs of unequal texts with a two-word likeness of 0.8 or more, counted over all pairs, nine in ten are found."""
+    from collections import Counter
+
+    from orbiteer.llm import near_dup
+
+    folder = os.path.join(os.path.dirname(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").rstrip("/")), "sf0.01")
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").collect())
+    sets = [set(a[f[i] : f[i + 1]].tolist()) for a, f in near_dup.shingle_sets(pa.array([t for _, t in docs]), 2) for i in range(len(f) - 1)]
+    having = {}
+    for j, one in enumerate(sets):
+        for h in one:
+            having.setdefault(h, []).append(j)
+    names = simhash._hex(simhash.fingerprints(pa.array([t for _, t in docs]), simhash.SEARCH_TERM))
+    # every document is a query here, to have more pairs
+    pairs = set()
+    for i in range(len(docs)):
+        both = Counter(j for h in sets[i] for j in having[h])
+        pairs |= {(names[i], names[j]) for j, n in both.items() if sets[i] != sets[j] and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)}
+    frame = lambda xs: spark.createDataFrame([(x,) for x in sorted(set(xs))], "fingerprint string")
+    found = {(r.query, r.fingerprint) for r in simhash.within_radius(frame(names), frame(names), simhash.SEARCH_RADIUS, simhash.SEARCH_BLOCKS).collect()}
+    assert len(pairs) > 50 and len(pairs & found) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("radius,blocks", [(0, 1), (3, 4), (6, 8), (14, 16)])
 def test_radius_search(spark, radius, blocks):
     random = np.random.default_rng(radius)
     base = random.integers(0, 2, (6, simhash.BITS)).astype(bool)
