@@ -146,23 +146,39 @@ def fingerprint(docs: DataFrame, term: int = TERM) -> DataFrame:
 
 def within_radius(queries: DataFrame, found: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     """All pairs (query, fingerprint, distance) of the distinct fingerprints of ``queries`` and of ``found`` that differ
-    in at most ``radius`` bits.  Two such agree in all of ``blocks`` but ``radius`` blocks of bits, so for each choice of
-    that many blocks there is a table, keyed by them put first, and every pair meets in at least one of them.
+    in at most ``radius`` bits.
+
+    With a radius below ``blocks``, two such agree in all but ``radius`` blocks of bits, so for each choice of that many blocks
+    there is a table, keyed by them put first, and every pair meets in at least one of them.  With a larger one, two such differ
+    in at most radius / blocks bits of some block: there is a table for each block, keyed by it, where a query looks under
+    every key that is so near to its own.  Queries' keys are broadcast if they are few rows, else both sides shuffle.
 
     Nulls take no part, repeated fingerprints count once, empty tables give no row, further columns are ignored."""
-    if not 0 <= radius < blocks or BITS % (4 * blocks):
-        raise ValueError("radius must be below blocks, and blocks must cut the hexadecimal digits evenly")
+    if radius < 0 or BITS % (4 * blocks) or radius >= blocks and BITS // blocks > 32:
+        raise ValueError("blocks must cut the hexadecimal digits evenly, into numbers")
     width = BITS // 4 // blocks
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        df = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
+    def permuted(name: str) -> Column:
         keys = [F.concat(F.lit(f"{t:x}:"), *[F.substring(name, 1 + b * width, width) for b in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-        return df.select(name, F.explode(F.array(*keys)).alias("key"))
+        return F.array(*keys)
+
+    def near(name: str, bits: int) -> Column:
+        flips = [sum(1 << i for i in chosen) for n in range(bits + 1) for chosen in combinations(range(4 * width), n)]
+
+        def keys(b: int) -> Column:
+            own = F.conv(F.substring(name, 1 + b * width, width), 16, 10).cast("long")
+            return F.transform(_longs(flips), lambda x: own.bitwiseXOR(x) * blocks + b)
+
+        return F.flatten(F.array(*map(keys, range(blocks))))
+
+    def tables(df: DataFrame, name: str, bits: int) -> DataFrame:
+        df = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
+        return df.select(name, F.explode(permuted(name) if radius < blocks else near(name, bits)).alias("key"))
 
     half = BITS // 8
     distance = sum((F.bit_count(F.conv(F.substring("query", 1 + i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("fingerprint", 1 + i, 8), 16, 10).cast("long"))) for i in range(0, 2 * half, 8)), F.lit(0))
-    # where the queries' tables are few rows, those of all others aren't shuffled
-    pairs = tables(found, "fingerprint").join(small(checkpoint(tables(queries, "query"))), "key").withColumn("distance", distance.cast("int"))
+    asked = small(checkpoint(tables(queries, "query", radius // blocks)))
+    pairs = tables(found, "fingerprint", 0).join(asked, "key").withColumn("distance", distance.cast("int"))
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
@@ -170,8 +186,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
-#: Of the search: words of a term, bits that two fingerprints may differ in, and blocks, of which two are then equal.
-SEARCH_TERM, SEARCH_RADIUS, SEARCH_BLOCKS = 1, 14, 16
+#: Of the search: words of a term, bits that two fingerprints may differ in, and blocks, of which one then differs in two.
+SEARCH_TERM, SEARCH_RADIUS, SEARCH_BLOCKS = 1, 20, 8
 
 
 def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -478,7 +478,7 @@ def test_recall_of_near_copies(spark):
     assert len(pairs) > 50 and len(pairs & found) >= 0.9 * len(pairs)
 
 
-@pytest.mark.parametrize("radius,blocks", [(0, 1), (3, 4), (6, 8), (14, 16)])
+@pytest.mark.parametrize("radius,blocks", [(0, 1), (3, 4), (6, 8), (14, 16), (20, 8), (9, 4)])
 def test_radius_search(spark, radius, blocks):
     random = np.random.default_rng(radius)
     base = random.integers(0, 2, (6, simhash.BITS)).astype(bool)
