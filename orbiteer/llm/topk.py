@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, table, tidy
+from .common import checkpoint, short_batches, table, tidy
 
 #: Candidates in a shard, of which one task makes a tree; queries that go down a tree together; vectors in a leaf.
 SHARD, QUERIES, LEAF = 8192, 4096, 64
-#: Bytes of the queries, as they are stored, that are broadcast at once; a component is one to eight of them.
-QUERY_BYTES = 4 << 20
+#: Bytes of the queries, as they are stored, of a cell of the grid (a component is one to eight of them), and trees there.
+QUERY_BYTES, CELL_TREES = 4 << 20, 8
 
 #: Stand for an empty place among a query's best.  The first can be negated.
 NO_SCORE, NO_ID = -(2**63) + 1, 2**63 - 1
 
-_SHARDS = "shard int, one int, n int, tree binary, queries binary, found binary"
+_SHARDS = "shard int, n int, tree binary, queries binary, found binary"
 _FOUND = "shard int, place int, query_id long, vec_id long, score long"
 
 
@@ -177,7 +177,7 @@ def _shards(k: int, leaf: int, most: int):
             floor = score[:, -1] if k else np.zeros(len(own))
             tree.vectors, tree.order = _narrow(tree.vectors), None
             pickled = [pickle.dumps(x, 5) for x in ((tree, ids), (number, own, ids[own], _narrow(queries), floor), (score, found))]
-            columns = [pa.array([number], pa.int32()), pa.array([0], pa.int32()), pa.array([len(own)], pa.int32()), *(pa.array([x], pa.binary()) for x in pickled)]
+            columns = [pa.array([number], pa.int32()), pa.array([len(own)], pa.int32()), *(pa.array([x], pa.binary()) for x in pickled)]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SHARDS.split(", ")])
 
         for batch in batches:
@@ -200,44 +200,79 @@ def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _away(k: int):
-    """Of rows (shard, tree, array of the queries of many shards): what those queries find in all trees of the task that
-    aren't their own.  The best so far go from tree to tree."""
+    """Of rows (c, r, shard, tree, queries) by cell (c, r), in each the queries of some shards before the trees of others:
+    what those queries find in all of these trees that aren't their own.  The best so far go from tree to tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
+        cell, known, state = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if state is not None:
+                number, place, query, _, _, score, found = state
+                yield from _rows(number, place, query, score, found)
+
         for batch in batches:
             for i in range(len(batch)):
-                if known is None:
-                    known = [pickle.loads(x) for x in batch.column(2)[i].as_py()]
+                at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if at != cell:
+                    yield from done()
+                    cell, known, state = at, [], None
+                if batch.column(4)[i].is_valid:
+                    known.append(pickle.loads(batch.column(4)[i].as_py()))
+                    continue
+                if not known:
+                    continue
+                if state is None:
                     number = np.concatenate([np.full(len(x[1]), x[0]) for x in known])
                     place, query, floor = (np.concatenate([x[c] for x in known]) for c in (1, 2, 4))
                     width = max(x[3].shape[1] for x in known)
-                    vectors = np.concatenate([_wide(x[3], width) for x in known])
-                    score, found = _none(len(query), k)
-                tree, ids = pickle.loads(batch.column(1)[i].as_py())
-                both = max(width, tree.vectors.shape[1])
+                    state = number, place, query, floor, np.concatenate([_wide(x[3], width) for x in known]), *_none(len(query), k)
+                number, _, _, floor, vectors, score, found = state
+                tree, ids = pickle.loads(batch.column(3)[i].as_py())
+                both = max(vectors.shape[1], tree.vectors.shape[1])
                 tree.vectors = _wide(tree.vectors, both)
                 tree.centres = np.pad(tree.centres, ((0, 0), (0, both - tree.centres.shape[1])))
-                others = np.flatnonzero(number != batch.column(0)[i].as_py())
+                others = np.flatnonzero(number != batch.column(2)[i].as_py())
                 for a in range(0, len(others), QUERIES):
                     part = others[a : a + QUERIES]
                     s, f = score[part], found[part]
                     search(tree, ids, _wide(vectors[part], both), np.full(len(part), -1), floor[part], s, f)
                     score[part], found[part] = s, f
-        if known is not None:
-            yield from _rows(number, place, query, score, found)
+        yield from done()
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def _grid(trees: DataFrame, query_bytes: int, cell_trees: int) -> DataFrame:
+    """(c, r, shard, tree, queries): the cells of a grid whose columns are groups of shards' queries and whose rows are groups of
+    trees, each tree in all columns of its row and each shard's queries in all rows of its column.
+
+    Shards are numbered by the partitions that they were dealt to evenly, one to each (two if it is uneven), so as many
+    successive ones as fit in ``query_bytes`` by the size of the largest are a column."""
+    part = F.shiftright("shard", 12)
+    known = trees.agg(F.coalesce(F.max(F.length("queries")), F.lit(1)).alias("most"), F.coalesce(F.max(part), F.lit(0)).alias("last")).first()
+    wide = max(1, query_bytes // known["most"])
+    columns = known["last"] // wide + 1
+    column = F.floor(part / wide).cast("int")
+    rows = max(1, -(-trees.count() // cell_trees))
+    row = F.pmod(F.xxhash64("shard", F.lit(1)), F.lit(rows)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = trees.select(each(columns).alias("c"), row.alias("r"), "shard", "tree", F.lit(None).cast("binary").alias("queries"))
+    queries = trees.where("n > 0").select(column.alias("c"), each(rows).alias("r"), "shard", F.lit(None).cast("binary").alias("tree"), "queries")
+    cells = queries.union(candidates).repartition(max(1, min(columns * rows, 10_000)), "c", "r")
+    return cells.sortWithinPartitions("c", "r", F.col("queries").isNull())
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES, cell_trees: int = CELL_TREES) -> DataFrame:
     """For each row of ``vectors`` (vec_id long, vector array<long>) where ``is_query`` holds: its ``k`` largest inner
     products with other rows, as query_id, rank, vec_id, score; ties to the smaller vec_id; all, if there are fewer.
 
     Rows are dealt evenly to shards of about ``shard`` rows, whatever is in them, which is the one shuffle of vectors.  The
     task of a shard makes its tree, once, and its own queries search it; the kth score that they find there is where they
-    start everywhere else.  Then the queries, in groups of at most about ``query_bytes``, are broadcast to the trees, and a
-    task takes its trees one after the other, so the kth score rises from tree to tree.
+    start everywhere else.  Then one job takes the queries to the trees: both are dealt to the cells of a grid, of at most
+    ``query_bytes`` of queries and about ``cell_trees`` trees.  A cell reads its queries and takes its trees one after the other, so the
+    kth score rises from tree to tree.  The number of jobs is the same for any number of queries; each tree is sent
+    once for each group of queries.
 
     Rows with a null vec_id or vector take no part.  Rows that repeat a vec_id are rows of their own: each is a candidate of
     all others, and each a query, with results of its own.  An empty table gives no row.  Vectors of different lengths
@@ -248,14 +283,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, leaf: i
     trees = rows.repartition(max(1, -(-n // shard))).mapInArrow(tidy(_shards(k, leaf, shard)), _SHARDS)
     trees = checkpoint(trees)
     found = trees.select("queries", "found").mapInArrow(tidy(_at_home), _FOUND)
-    sizes = trees.where("n > 0").agg(F.sum(F.length("queries")).alias("size"), F.count(F.lit(1)).alias("n")).first()
-    groups = max(1, -(-(sizes["size"] or 0) // query_bytes))
-    tasks = max(1, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
-    for g in range(groups):
-        own = trees.where((F.col("n") > 0) & (F.pmod(F.hash("shard"), F.lit(groups)) == g)).groupBy("one").agg(F.collect_list("queries").alias("queries"))
-        pairs = trees.select("shard", "tree", "one").coalesce(tasks).join(F.broadcast(own), "one").select("shard", "tree", "queries")
-        more = pairs.mapInArrow(tidy(_away(k)), _FOUND)
-        found = found.union(more if groups == 1 else checkpoint(more))
+    short_batches(vectors.sparkSession)
+    more = _grid(trees, query_bytes, cell_trees).mapInArrow(tidy(_away(k)), _FOUND)
+    found = found.union(more)
     order = Window.partitionBy("shard", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

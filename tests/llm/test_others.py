@@ -663,12 +663,26 @@ def test_search_with_repeated_ids(spark):
     rows += rows[:20] + [(3, [1, 2, 3])] * 15 + [(5, [])]
     df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
     expected = brute_top(rows, 7, 3)
-    for size in (1 << 20, 500):
-        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 3 == 0, k=7, shard=50, leaf=8, query_bytes=size).collect())) == expected
+    for size, trees in ((1 << 20, 8), (500, 8), (2500, 2), (1, 1)):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 3 == 0, k=7, shard=50, leaf=8, query_bytes=size, cell_trees=trees).collect())) == expected
     two = spark.createDataFrame([(1, [1]), (1, [2])], "vec_id long, vector array<long>")
     assert sorted(map(tuple, topk.top_k(two, F.lit(True)).collect())) == [(1, 1, 1, 2), (1, 1, 1, 2)]
 
 
+def test_search_takes_as_many_jobs_for_any_number_of_queries(spark):
+    random = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, random.integers(-50, 50, 6).tolist()) for i in range(2000)], "vec_id long, vector array<long>")
+    jobs = []
+    for size, name in ((1 << 20, "few"), (2000, "many")):
+        spark.sparkContext.setJobGroup(name, name)
+        plan_ = topk.top_k(df, F.lit(True), k=3, shard=50, leaf=8, query_bytes=size)
+        assert plan_.count() == 6000
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+        assert "BroadcastExchange" not in plan_._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 8
+
+
 def test_branches_are_cut():
     """The bound leaves most leaves of a clustered shard closed."""
     random = np.random.default_rng(5)
