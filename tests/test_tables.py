@@ -360,3 +360,27 @@ def test_many_files_are_one_plan(spark, tmp_path):
     again = generate.generate(spark, sources, closed_form, daily, f"{tmp_path}/log")
     assert {r.status for r in again.collect() if r.source_file not in bad} == {"skipped"}
     assert [r.status for r in again.collect() if r.source_file == sources[5]] == ["success"]
+
+
+def test_second_branch(spark, tmp_path):
+    from orbiteer.plans import second
+
+    rows = spark.createDataFrame([(dt.datetime(2003, 1, d, 1), 400000.0, 1.0, 2.0, 2.0, "X") for d in (1, 2, 3)], "timestamp timestamp_ntz, `Altitude (m)` double, `Longitude (deg)` double, `Latitude (deg)` double, `Density (kg/m^3)` double, mission string")
+    rows.write.parquet(f"{tmp_path}/in")
+    daily = spark.createDataFrame([(2003, 1, d, *[float(d)] * 8, 7.0, 90.0 + d, 0.0, "OBS") for d in (1, 2, 3)], SPACE_WEATHER)
+    second.write_second(spark, f"{tmp_path}/in", f"{tmp_path}/out", daily, closed_form)
+    made = spark.read.parquet(f"{tmp_path}/out")
+    assert {"Altitude_m_", "Density_kg_m_3_", "matlab_density", "matlab_f107_daily", "matlab_f107_81day_avg"} <= set(made.columns) and "Altitude (m)" not in made.columns
+    found = {r.timestamp.day: r for r in made.collect()}
+    assert found[1].matlab_f107_daily is None and found[3].matlab_f107_daily == 92.0 and found[3].matlab_f107_81day_avg == 92.0
+    assert found[3].matlab_density == pytest.approx(200 + 1 - 2 + 2 * 92 + 92 + 7)
+    analysed = ratios.analysed(rows.withColumn("msis_density_0", F.lit(2.0)), made)
+    assert "ln_density_ratio_matlab_density" in analysed.columns and analysed.count() == 3
+
+
+def test_listings_and_months(spark):
+    from orbiteer.plans import download
+
+    assert download.months("2000-11", "2001-02") == [(2000, 11), (2000, 12), (2001, 1), (2001, 2)]
+    assert sorted(r.name for r in download.names_of(spark, b" a.zip \r\n\nb.zip\n").collect()) == ["a.zip", "b.zip"]
+    assert sorted(r.name for r in download.names_of(spark, b'<a href="c.zip"><a href="d/">').collect()) == ["c.zip"]
