@@ -58,6 +58,12 @@ def parse_compact(stamp: Column) -> Column:
     return F.to_timestamp_ntz(stamp, F.lit("yyyyMMddHHmm"))
 
 
+def now_iso() -> Column:
+    """The time of the query in UTC, as ISO text to the second."""
+    now = F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return F.concat(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def padded(start: Column, end: Column, before: int, after: int) -> tuple[Column, Column]:
     """First and last day of a range of times, with days added on both sides."""
     return F.date_sub(F.to_date(start), before), F.date_add(F.to_date(end), after)

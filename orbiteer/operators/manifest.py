@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import answer_parts, shortened
+from ..functions.time import now_iso
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path", order: str = "seq") -> DataFrame:
     """One row for each key of both tables: the one of highest ``order``, new before old."""
@@ -56,3 +59,32 @@ def download_needed(exists, size, overwrite: bool):
 def valid_response(url, content_type, code):
     """Whether an answer is the file: not from a login host, not HTML, and code 200."""
     return ~F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).startswith("login."), F.lit(False)) & ~F.lower(content_type).startswith("text/html") & (code == 200)
+
+
+def fetch_plan(wanted: DataFrame, there: DataFrame, overwrite: bool = False) -> DataFrame:
+    """``wanted`` (path and any others) with needed: whether the file is to be fetched, as ``there`` (path, size) lists what is in
+    place.  A path that is listed twice counts with its larger size."""
+    sizes = there.groupBy("path").agg(F.max("size").alias("_size"), F.lit(True).alias("_there"))
+    found = wanted.join(sizes, "path", "left")
+    return found.withColumn("needed", download_needed(F.col("_there"), F.col("_size"), overwrite)).drop("_size", "_there")
+
+
+def answered(reports: DataFrame, at: Column | None = None) -> DataFrame:
+    """Manifest entries (path, url, status, timestamp, size_bytes, error) of what fetches report: ``reports`` has path, size and
+    line, which tells the answer's code, content type and address.
+
+    downloaded: the answer is the file and not empty; else failed, with what it was as the error.  A line that tells
+    less is a failure too.  ``at``: the time of the entries, else now in UTC."""
+    parts = answer_parts(F.coalesce("line", F.lit("")))
+    code, kind, url = F.get(parts, F.lit(0)).try_cast("int"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.get(parts, F.lit(2))
+    told = F.coalesce(valid_response(url, kind, code), F.lit(False)) & url.isNotNull()
+    good = told & (F.coalesce("size", F.lit(0)) > 0)
+    error = F.when(told, "empty answer").otherwise(shortened(F.concat(F.lit("not a file: "), F.coalesce("line", F.lit(""))), 200))
+    return reports.select(
+        "path",
+        F.coalesce(url, F.lit("")).alias("url"),
+        F.when(good, "downloaded").otherwise("failed").alias("status"),
+        (now_iso() if at is None else at).alias("timestamp"),
+        F.when(good, F.col("size")).cast("long").alias("size_bytes"),
+        F.when(~good, error).alias("error"),
+    )

@@ -15,9 +15,9 @@ from .functions import time as T
 from .functions.numeric import c, clip, log_ratio, n_unique
 from .operators import binstats, filters, manifest, merge, model, ratios, weather
 from .plans import decode, figure, generate, merge_sorted, second
-from .schemas import ALTITUDE, DENSITY, LATITUDE, LONGITUDE
+from .schemas import ALTITUDE, DATE, DECODE_MANIFEST, DENSITY, LATITUDE, LOCAL_TIME, LONGITUDE, TIME
 from .session import shared_folder
-from .sources import archive, catalog, layout
+from .sources import archive, catalog, layout, tables
 from .sources.commits import CommittedTable
 from .sources.text import normalised
 
@@ -626,6 +626,112 @@ def second_branch(spark, d):
     return out.select("l_orderkey", "l_linenumber", F.round("matlab_f107_daily", 5).alias("flux"), F.round("matlab_f107_81day_avg", 2).alias("mean"), F.round(F.col("matlab_density") - F.col("matlab_f107_81day_avg"), 6).alias("without_mean"))
 
 
+_FIELDS = "lower(l_returnflag) || '/' || l_orderkey || '/' || l_linenumber"
+
+
+@query(f"""SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'unknown' ELSE 'supplier ' || l_suppkey END AS dataset, {_FIELDS} AS path, CASE WHEN l_linenumber = 1 THEN '' ELSE 'https://example.org/' || l_orderkey END AS url,
+ CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE 'downloaded' END AS status, '' AS timestamp, CASE WHEN l_returnflag <> 'N' THEN l_quantity::BIGINT END AS size_bytes FROM lineitem""")
+def manifest_json(spark, d):
+    """A JSON manifest for each supplier, a line each, of which many entries lack fields."""
+    folder, known = _folder(spark, "manifests"), F.col("l_returnflag") != "N"
+    entry = F.struct(
+        F.concat_ws("/", F.lower("l_returnflag"), "l_orderkey", "l_linenumber").alias("path"),
+        F.when(F.col("l_linenumber") != 1, F.concat(F.lit("https://example.org/"), "l_orderkey")).alias("url"),
+        F.when(known, "downloaded").alias("status"),
+        F.when(known, F.col("l_quantity").cast("long")).alias("size_bytes"),
+    )
+    named = F.when(F.col("l_suppkey") % 5 != 0, F.concat(F.lit("supplier "), "l_suppkey")).alias("dataset")
+    read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_list(entry).alias("entries")).select(named, "entries").write.json(folder)
+    rows = manifest.entries(tables.read_download_manifest(spark, folder, lines=True))
+    return rows.select("dataset", "path", "url", "status", "timestamp", "size_bytes")
+
+
+@query(f"""WITH {_DAYS} SELECT year(day)::INTEGER AS YEAR, month(day)::INTEGER AS MONTH, day(day)::INTEGER AS DAY, (day(day) % 7)::DOUBLE AS AP3, round(flux, 5) AS F107_OBS, round(mean, 2) AS F107_OBS_CENTER81,
+ CASE WHEN flux > 400 THEN 'PRD' ELSE 'OBS' END AS F107_DATA_TYPE, NULL::DOUBLE AS AP_AVG FROM means""")
+def space_weather_csv(spark, d):
+    """Daily totals in published CSV form: dates, names with dots, another order, columns too many and one too few."""
+    folder, days = _folder(spark, "weather"), _space_weather(spark, d)
+    day = F.dayofmonth("date")
+    published = [F.col("date").cast("string").alias("DATE"), F.lit(2500).alias("BSRN"), *[(day % (i + 4)).alias(f"AP{i}") for i in range(8, 0, -1)], F.lit(None).cast("string").alias("ISN")]
+    flux = [F.round("F107_OBS_CENTER81", 2).alias("F10.7_OBS_CENTER81"), F.when(F.col("F107_OBS") > weather.HIGH_FLUX, "PRD").otherwise("OBS").alias("F10.7_DATA_TYPE"), F.round("F107_OBS", 5).alias("F10.7_OBS")]
+    days.select(*published, *flux).write.option("header", True).csv(folder)
+    rows = weather.pruned(tables.read_space_weather(spark, folder))
+    return rows.select("YEAR", "MONTH", "DAY", "AP3", "F107_OBS", "F107_OBS_CENTER81", "F107_DATA_TYPE", "AP_AVG")
+
+
+def _mission_text(spark: SparkSession, d: str, folder: str) -> list[str]:
+    """Line items as mission text, a comment before each: zipped if returned, else plain and by year; those of 1995 lack their
+    last value."""
+    rows = read(spark, d, "lineitem")
+    values = [F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("01:02:03.250"), F.lit("UTC"), "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey", "l_quantity", F.lit("0"), F.lit("0")]
+    line = F.concat_ws(" \t", *[c(x).cast("string") if isinstance(x, str) else x for x in values], F.when(F.year("l_shipdate") != 1995, F.lit("1e-3")))
+    lines = rows.select("l_returnflag", F.year("l_shipdate").alias("year"), F.explode(F.array(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "  ").otherwise(""), F.lit("# a b")), line)).alias("line"))
+    zips = lines.where("l_returnflag = 'R' and year <> 1995")
+    archive.write_archives(zips.select("line"), f"{folder}/zips", ".TXT")
+    lines.where("not (l_returnflag = 'R' and year <> 1995)").drop("l_returnflag").hint("rebalance", "year").write.partitionBy("year").text(f"{folder}/plain")
+    return [f"{folder}/zips", f"{folder}/plain"]
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, '01:02:03.250' AS time, l_extendedprice AS altitude, l_discount AS lon, l_tax AS lat, l_quantity AS density FROM lineitem WHERE year(l_shipdate) <> 1995""")
+def mission_ingest(spark, d):
+    folder = _folder(spark, "mission")
+    decoded = decode.decode_mission(spark, "champ", _mission_text(spark, d, folder), f"{folder}/out", f"{folder}/manifest")
+    logged = tables.read_csv(spark, f"{folder}/manifest", DECODE_MANIFEST)
+    if logged.count() != decoded.files.where("status = 'decoded'").count():
+        raise ValueError("the manifest doesn't have each decoded file once")
+    rows = spark.read.parquet(decoded.path)
+    return rows.select(
+        c("Argument of Latitude (deg)").cast("long").alias("l_orderkey"), c(LOCAL_TIME).cast("int").alias("l_linenumber"), c(DATE).alias("day"), c(TIME).alias("time"),
+        c(ALTITUDE).alias("altitude"), c(LONGITUDE).alias("lon"), c(LATITUDE).alias("lat"), c(DENSITY).alias("density"),
+    )
+
+
+@query("""WITH said AS (SELECT page_id, coalesce(length(html), 0) AS n, CASE WHEN page_id % 7 = 0 THEN 'https://Login.example.org/' || page_id ELSE coalesce(url, 'http://x') END AS url,
+ CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS code, CASE WHEN page_id % 5 = 0 THEN 'text/HTML;charset=utf-8' ELSE 'application/zip' END AS kind FROM pages),
+judged AS (SELECT *, page_id % 7 <> 0 AND page_id % 5 <> 0 AND code = 200 AS told, page_id % 3 <> 0 AS any_bytes FROM said)
+SELECT 'p/' || page_id AS path, url, CASE WHEN told AND any_bytes AND n > 0 THEN 'downloaded' ELSE 'failed' END AS status, CASE WHEN told AND any_bytes AND n > 0 THEN n END AS size_bytes,
+ CASE WHEN NOT told THEN left('not a file:  ' || code || '  ' || kind || ' ' || url, 212) WHEN NOT any_bytes OR n = 0 THEN 'empty answer' END AS error FROM judged""")
+def fetch_answers(spark, d):
+    """What fetches of pages would report: some are answered by a login page, by HTML, by an error or with nothing."""
+    page = F.col("page_id")
+    url = F.when(page % 7 == 0, F.concat(F.lit("https://Login.example.org/"), page)).otherwise(F.coalesce("url", F.lit("http://x")))
+    line = F.concat(F.lit(" "), F.when(page % 11 == 0, "404").otherwise("200"), F.lit("  "), F.when(page % 5 == 0, "text/HTML;charset=utf-8").otherwise("application/zip"), F.lit(" "), url)
+    size = F.when(page % 3 != 0, F.length("html")).otherwise(0)
+    reports = read(spark, d, "pages").select(F.concat(F.lit("p/"), page).alias("path"), size.alias("size"), line.alias("line"))
+    return manifest.answered(reports).select("path", "url", "status", "size_bytes", "error")
+
+
+@query("""SELECT p_partkey, 'm/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.csv' ELSE '.zip' END AS path, p_partkey % 3 <> 1 OR p_partkey % 5 = 0 AS needed FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 6 <> 5""")
+def download_plan(spark, d):
+    """Files wanted by parts, some of which a listing has, once empty and then whole, or empty only."""
+    part, path = F.col("p_partkey"), F.concat(F.lit("m/"), "p_partkey", F.when(F.col("p_partkey") % 4 == 0, ".csv").otherwise(".zip")).alias("path")
+    rows = read(spark, d, "part")
+    wanted = catalog.without_dirs(rows.where("p_partkey % 6 <> 5").select("p_partkey", path), ["tmp"])
+    listed = rows.where("p_partkey % 3 = 1").select(path, F.explode(F.array(F.lit(0), F.when(part % 5 == 0, 0).otherwise(10))).alias("size"))
+    return manifest.fetch_plan(wanted, listed)
+
+
+_SHIFTED = OBS.replace("SELECT l_shipdate AS ts", "SELECT l_shipdate + INTERVAL 10 YEAR AS ts")
+_CHOSEN = """chosen AS (SELECT name, 'CHAMP' AS who, b.* FROM binned b, (VALUES ('daily_mean_sem_from_2006', 2006), ('daily_mean_sem_from_2005', 2005), ('raw_observation_sem_from_2006', 2006)) v(name, y)
+ WHERE altitude / 1000 BETWEEN 300 AND 500 AND anomalous = 0 AND ts >= TIMESTAMP '2001-01-01' AND (ts < make_timestamp(y, 1, 1, 0, 0, 0) OR ts > TIMESTAMP '2009-12-31') AND bucket IS NOT NULL
+ UNION ALL SELECT name, 'GOCE', b.* FROM binned b, (VALUES ('daily_mean_sem_from_2006'), ('daily_mean_sem_from_2005'), ('raw_observation_sem_from_2006')) v(name)
+ WHERE altitude / 1000 BETWEEN 225 AND 300 AND anomalous = 0 AND degraded = 0 AND bucket IS NOT NULL),
+values_ AS (SELECT name, who, bucket, seasonal_bin, date_bin, avg(r0) AS r0, avg(r2) AS r2 FROM chosen WHERE NOT starts_with(name, 'raw') GROUP BY ALL
+ UNION ALL SELECT name, who, bucket, seasonal_bin, date_bin, r0, r2 FROM chosen WHERE starts_with(name, 'raw'))"""
+_SPREAD = "round(coalesce(stddev_samp({x}), 0) / sqrt(CASE WHEN starts_with(name, 'raw') THEN count(DISTINCT date_bin) ELSE count({x}) END), 6)"
+
+
+@query(f"""WITH {_SHIFTED}, {_CHOSEN} SELECT name, who AS mission, bucket, seasonal_bin, (seasonal_bin + 0.5::DOUBLE) * 30.5::DOUBLE AS day_of_year, round(avg(r0), 6) AS msis_00_mean, {_SPREAD.format(x="r0")} AS msis_00_std,
+ round(avg(r2), 6) AS msis_20_mean, {_SPREAD.format(x="r2")} AS msis_20_std, count(r0) AS count FROM values_ GROUP BY name, who, bucket, seasonal_bin""")
+def figure_comparisons(spark, d):
+    """The points of the three comparisons, of analysed tables ten years later."""
+    folder = _folder(spark, "analysed")
+    rows = observations(spark, d).drop("mission").withColumn("timestamp", F.col("timestamp") + F.make_ym_interval(F.lit(10)))
+    tables.write(rows, folder)
+    points = [p.withColumn("name", F.lit(name)) for name, (p, _) in figure.comparisons(spark, {"CHAMP": folder, "GOCE": folder}).items()]
+    return rounded(merge.strict_union(points))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return fig_uncertainty_of_mean(spark, d)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.numeric import c
 from ..schemas import DOWNLOAD_MANIFEST, SPACE_WEATHER
 from .commits import CommittedTable
 
@@ -134,12 +135,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_download_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DOWNLOAD_MANIFEST).option("multiLine", True).json(path)
+def read_download_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON manifests, one in each file or, with ``lines``, one on each line."""
+    return spark.read.schema(DOWNLOAD_MANIFEST).option("multiLine", not lines).json(path)
 
 
-def read_space_weather(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SPACE_WEATHER).option("header", True).csv(path)
+def read_space_weather(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Daily indices from CSV with a header.  Columns are found by name, in any order and beside any others, and only those of
+    the schema are read: F10.7 in a name is F107, and a DATE stands for YEAR, MONTH and DAY.  A column that isn't there, or
+    a value that isn't of its column's type, is null; without days, and for files whose headers differ, it raises."""
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    found = {name.strip().replace("F10.7", "F107"): c(name) for name in rows.columns}
+    if "DATE" in found:
+        day = F.try_to_date(found["DATE"], "yyyy-MM-dd")
+        found |= {"YEAR": F.year(day), "MONTH": F.month(day), "DAY": F.dayofmonth(day)}
+    elif not {"YEAR", "MONTH", "DAY"} <= found.keys():
+        raise ValueError(f"no days in {path}")
+    return rows.select([found.get(f.name, F.lit(None).cast("string")).try_cast(f.dataType).alias(f.name) for f in SPACE_WEATHER.fields])
 
 
 def _footers(batches):

@@ -12,7 +12,7 @@ from orbiteer.functions.numeric import c, clip, n_unique, safe_div, safe_log
 from orbiteer.operators import binstats, filters, manifest, merge, model, ratios, weather
 from orbiteer.plans import decode, download, figure, generate, stats
 from orbiteer.queries import closed_form
-from orbiteer.schemas import RUN_MANIFEST, SCHEMAS, SPACE_WEATHER
+from orbiteer.schemas import DOWNLOAD_ENTRY, RUN_MANIFEST, SCHEMAS, SPACE_WEATHER
 from orbiteer.sources import catalog, tables
 from orbiteer.sources.text import normalised, read_archive, read_mission, typed
 
@@ -474,3 +474,36 @@ def test_zip_without_text(spark, tmp_path):
 def test_model_on_an_empty_table(spark):
     df = spark.createDataFrame([], "timestamp timestamp_ntz, `Altitude (m)` double, `Longitude (deg)` double, `Latitude (deg)` double, f107 double, f107a double, aps array<double>")
     assert model.add_densities(df, closed_form).count() == 0
+
+
+def test_space_weather_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("AP2,F10.7_OBS,DATE,X,F10.7_DATA_TYPE\n7,71.5,1957-10-01,1,OBS\nbad,,1957-10-02,,\n")
+    rows = [r.asDict() for r in tables.read_space_weather(spark, str(tmp_path / "a.csv")).orderBy("DAY").collect()]
+    assert [(r["YEAR"], r["MONTH"], r["DAY"], r["AP1"], r["AP2"], r["F107_OBS"], r["F107_DATA_TYPE"]) for r in rows] == [(1957, 10, 1, None, 7.0, 71.5, "OBS"), (1957, 10, 2, None, None, None, None)]
+    (tmp_path / "b.csv").write_text("DAY,MONTH,YEAR,AP_AVG\n3,2,2001,4\n")
+    assert [(r.YEAR, r.MONTH, r.DAY, r.AP_AVG) for r in tables.read_space_weather(spark, str(tmp_path / "b.csv")).collect()] == [(2001, 2, 3, 4.0)]
+    (tmp_path / "c.csv").write_text("AP1\n3\n")
+    with pytest.raises(ValueError, match="no days"):
+        tables.read_space_weather(spark, str(tmp_path / "c.csv"))
+    # a header that differs isn't read by position
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_space_weather(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+
+
+def test_answers(spark):
+    lines = [("a", 5, "200 application/zip http://x/a b"), ("b", 0, "200 application/zip http://x"), ("c", 5, "200 TEXT/html http://x"), ("d", 5, "503 a/b http://x"), ("e", 5, "200 a/b https://LOGIN.x.org/"), ("f", 5, "200 a/b"), ("g", None, ""), ("h", 5, None), ("i", 5, "200 a/b " + "http://x/" + "y" * 500), ("j", 5, "5xx a/b " + "y" * 500)]
+    rows = {r.path: r for r in manifest.answered(spark.createDataFrame(lines, "path string, size int, line string")).collect()}
+    assert {p: r.status for p, r in rows.items()} == {p: "downloaded" if p in "ai" else "failed" for p, _, _ in lines}
+    assert (rows["a"].url, rows["a"].size_bytes, rows["a"].error) == ("http://x/a b", 5, None) and rows["b"].error == "empty answer"
+    assert len(rows["j"].error) == 200 and rows["h"].error == "not a file: " and rows["f"].url == ""
+    assert dt.datetime.now(dt.UTC) - dt.datetime.fromisoformat(rows["a"].timestamp) < dt.timedelta(minutes=10)
+    own = manifest.answered(spark.createDataFrame(lines[:1], "path string, size int, line string"), F.lit("t")).first()
+    assert own.timestamp == "t" and own.asDict().keys() == {f.name for f in DOWNLOAD_ENTRY.fields}
+
+
+def test_fetch_plan(spark):
+    wanted = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "path string, n int")
+    there = spark.createDataFrame([("a", 0), ("a", 9), ("b", 0), ("c", None), ("z", 1)], "path string, size int")
+    assert sorted(values(manifest.fetch_plan(wanted, there), "path", "n", "needed")) == [("a", 1, False), ("b", 2, True), ("c", 3, True), ("d", 4, True)]
+    assert all(r.needed for r in manifest.fetch_plan(wanted, there, overwrite=True).collect())
+    assert manifest.fetch_plan(wanted, there.limit(0)).where("needed").count() == 4
