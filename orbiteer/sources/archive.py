@@ -18,8 +18,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of files that one task reads, and of a range of text that isn't zipped.
-SPLIT = 64 << 20
+#: Bytes of files that one task reads, and of a range of text that isn't zipped: at most SPLIT; fewer, but at least LEAST, where
+#: that leaves no task without any.
+SPLIT, LEAST = 64 << 20, 2 << 20
 #: Lines and characters of a batch.
 LINES, CHARACTERS = 20_000, 4 << 20
 
@@ -66,25 +67,27 @@ class Pieces(InputPartition):
 
 
 class Lines(DataSourceReader):
-    def __init__(self, paths: list[str], split: int):
-        self.paths, self.split = paths, split
+    def __init__(self, paths: list[str], split: int, tasks: int = 1):
+        self.paths, self.split, self.tasks = paths, split, tasks
 
     def partitions(self) -> list[Pieces]:
-        """Files of up to ``split`` bytes go together; a longer one is a partition by itself, or several if it isn't a zip."""
+        """Files of up to ``split`` bytes go together; a longer one is a partition by itself, or several if it isn't a zip.  If
+        that makes fewer than ``tasks``, ranges are shorter."""
+        files = [f for uri in self.paths for f in listed(uri)]
+        split = min(self.split, max(LEAST, sum(size for _, size in files) // max(1, self.tasks)))
         ranges = []
-        for uri in self.paths:
-            for path, size in listed(uri):
-                system, place = opened(path)
-                step = self.split
-                if size > step:
-                    with system.open_input_file(place) as file:
-                        step = size if _is_zip(file) else step
-                ranges += [(path, a, min(size, a + step)) for a in range(0, max(1, size), max(1, step))]
+        for path, size in files:
+            system, place = opened(path)
+            step = split
+            if size > step:
+                with system.open_input_file(place) as file:
+                    step = size if _is_zip(file) else step
+            ranges += [(path, a, min(size, a + step)) for a in range(0, max(1, size), max(1, step))]
         out: list[Pieces] = []
         held = 0
         for r in sorted(ranges, key=lambda r: r[1] - r[2]):
-            size = max(r[2] - r[1], self.split // 64)  # to open a file costs, too
-            if not out or held + size > self.split:
+            size = max(r[2] - r[1], split // 64)  # to open a file costs, too
+            if not out or held + size > split:
                 out.append(Pieces([]))
                 held = 0
             out[-1].ranges.append(r)
@@ -160,7 +163,8 @@ class _Batch:
 
 
 class TextMembers(DataSource):
-    """Option ``paths``: a JSON list, or ``path``; ``split``: bytes of files that a task reads."""
+    """Option ``paths``: a JSON list, or ``path``; ``split``: bytes of files that a task reads at most; ``tasks``: how many should have
+    some."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,7 +175,7 @@ class TextMembers(DataSource):
 
     def reader(self, schema) -> Lines:
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        return Lines(paths, int(self.options.get("split", SPLIT)))
+        return Lines(paths, int(self.options.get("split", SPLIT)), int(self.options.get("tasks", 1)))
 
 
 def stream_lines(spark: SparkSession, paths: str | list[str], split: int = SPLIT) -> DataFrame:
@@ -182,7 +186,7 @@ def stream_lines(spark: SparkSession, paths: str | list[str], split: int = SPLIT
     that can't be read, or not to its end, has a row with an error.  The files must be where pyarrow's file systems reach
     them (local, HDFS, S3 and the like); ``sources.text.read_lines`` takes whatever Spark reads, but holds files whole."""
     spark.dataSource.register(TextMembers)
-    return spark.read.format("text_members").option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).option("split", split).load()
+    return spark.read.format("text_members").option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).option("split", split).option("tasks", spark.sparkContext.defaultParallelism).load()
 
 
 def _packed(folder: str, member: str):

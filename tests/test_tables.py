@@ -56,6 +56,23 @@ def test_broken_files_are_rows(spark, tmp_path):
         archive.stream_lines(spark, str(tmp_path / "gone.zip")).collect()
 
 
+def test_small_inputs_reach_all_tasks(tmp_path, monkeypatch):
+    """Ranges are shorter where there would be fewer of them than tasks, and a zip stays whole."""
+    monkeypatch.setattr(archive, "LEAST", 1000)
+    (tmp_path / "a.txt").write_bytes(b"x" * 9_999 + b"\n")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("b.txt", "y" * 6_000)
+    size = (tmp_path / "b.zip").stat().st_size
+    for tasks, most in ((1, 10_000 + size), (4, (10_000 + size) // 4), (1000, 1000)):
+        parts = archive.Lines([str(tmp_path)], 1 << 20, tasks).partitions()
+        ranges = sorted(r for p in parts for r in p.ranges)
+        own = [(a, b) for path, a, b in ranges if path.endswith("a.txt")]
+        assert own[0][0] == 0 and own[-1][1] == 10_000 and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+        assert max(b - a for a, b in own) <= most and len(parts) >= min(tasks, 10)
+        assert [r[1:] for r in ranges if r[0].endswith("b.zip")] == [(0, size)]
+    assert len(archive.Lines([str(tmp_path)], 500, 1).partitions()) >= 20
+
+
 def test_stream_and_whole_files_agree(spark, tmp_path):
     folder = f"{tmp_path}/zips"
     made = archive.write_archives(spark.range(10_000).select(F.concat(F.lit("row "), "id")).repartition(3), folder)
