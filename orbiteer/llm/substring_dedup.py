@@ -240,8 +240,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
     document with a smaller doc_id, judged on the texts as given.  Returns a row for each document that loses words:
     doc_id, tag (a hash of its text), n_removed, kept (its other words, joined by blanks).
 
-    Words are as in ``common.WORD``, unchanged.  A null text has none.  A null doc_id takes no part.  Rows that repeat
-    a doc_id are the same document: they don't remove each other's words.  Further columns are ignored."""
+    Words are as in ``common.WORD``, unchanged.  A null or empty text has none.  A null doc_id takes no part.  Rows that repeat
+    a doc_id are the same document: they don't remove each other's words; those with the same text, too, give a row each.
+    A text of any length is read whole: its hashes take 16 bytes a word.  Of documents with the same words the smallest doc_id
+    keeps them, so there are no ties.  An empty table gives no row.  Further columns are ignored, whatever their names."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text")
     shared, spans = repeated_spans(docs, window, period)
     lists = spans.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("tag", "start", "stop"))).alias("spans"))
