@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def is_comment(line: Column, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
+def is_blank(line: Column, comment: str = "") -> Column:
+    """Whether a line has no token, or one that begins with ``comment`` comes first."""
+    return line.rlike(rf"\A\s*+({re.escape(comment)}|\z)" if comment else r"\A\s*+\z")
+
+
 def mission_code(name: Column) -> Column:
     """The part before the first underscore, in capitals."""
     return F.upper(F.substring_index(name, "_", 1))

@@ -5,6 +5,7 @@ that isn't zipped is read in ranges of bytes, side by side."""
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import io
 import json
@@ -13,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Bytes of files that one task reads, and of a range of text that isn't zipped: at most SPLIT; fewer, but at least LEAST, where
 #: that leaves no task without any.
 SPLIT, LEAST = 64 << 20, 2 << 20
-#: Lines and characters of a batch.
-LINES, CHARACTERS = 20_000, 4 << 20
+#: Text to a byte of a zip, roughly, by which a zip's share of a task counts.
+UNPACKED = 5
+#: Lines of a batch, and bytes that are split into lines at once.
+LINES, BLOCK = 20_000, 1 << 20
 
 SCHEMA = "path string, member string, offset long, line_no long, line string, error string"
 
@@ -85,8 +89,9 @@ class Lines(DataSourceReader):
             ranges += [(path, a, min(size, a + step)) for a in range(0, max(1, size), max(1, step))]
         out: list[Pieces] = []
         held = 0
-        for r in sorted(ranges, key=lambda r: r[1] - r[2]):
-            size = max(r[2] - r[1], split // 64)  # to open a file costs, too
+        weight = lambda r: (r[2] - r[1]) * (UNPACKED if r[0].lower().endswith(".zip") else 1)
+        for r in sorted(ranges, key=weight, reverse=True):
+            size = max(weight(r), split // 64)  # to open a file costs, too
             if not out or held + size > split:
                 out.append(Pieces([]))
                 held = 0
@@ -101,7 +106,7 @@ class Lines(DataSourceReader):
 
 def _file(path: str, first: int, end: int) -> Iterator[pa.RecordBatch]:
     """Batches of the lines of a range; what can't be read is a row with an error, after the lines before."""
-    member, batch = None, _Batch(path, first)
+    member, batches = None, _Batches(path, first)
     try:
         system, place = opened(path)
         with system.open_input_file(place) as file:
@@ -109,56 +114,82 @@ def _file(path: str, first: int, end: int) -> Iterator[pa.RecordBatch]:
                 with zipfile.ZipFile(file) as archive:
                     member = next((n for n in archive.namelist() if n.lower().endswith(".txt")), None)
                     if member is None:
-                        batch.add(None, None)
+                        yield batches.single(None)
                     else:
                         with archive.open(member) as raw:
-                            yield from batch.all(member, io.TextIOWrapper(raw, "utf-8", "replace"))
+                            yield from batches.all(member, _unpacked(raw))
             else:
                 member = place.rsplit("/", 1)[-1]
-                yield from batch.all(member, _range(file, first, end))
+                yield from batches.all(member, _range(file, first, end))
     except Exception as error:  # one file's failure is a row
-        batch.add(member, None, f"{type(error).__name__}: {error}"[:240])
-    if batch.lines:
-        yield batch.made()
+        yield batches.single(member, f"{type(error).__name__}: {error}"[:240])
 
 
-def _range(file, first: int, end: int) -> Iterator[str]:
-    """The lines that begin in a range of bytes; one that begins before belongs to the range before."""
+def _unpacked(raw) -> Iterator[list[str]]:
+    """The lines of a member, a block at a time, and those before a failure."""
+    decoder = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")("replace"), True)
+    held, size = [], 0
+    try:
+        while data := raw.read1(8192):
+            held.append(text := decoder.decode(data))
+            size += len(text)
+            if size >= BLOCK and "\n" in text:
+                *lines, rest = "".join(held).split("\n")
+                held, size = [rest], len(rest)
+                yield lines
+    except Exception:
+        yield "".join(held).split("\n")[:-1]
+        raise
+    yield _ended("".join([*held, decoder.decode(b"", True)]))
+
+
+def _ended(text: str) -> list[str]:
+    """The lines of a text; a last one needs no line feed."""
+    lines = text.split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _range(file, first: int, end: int) -> Iterator[list[str]]:
+    """The lines that begin in a range of bytes, a block at a time; one that begins before belongs to the range before."""
     file.seek(max(0, first - 1))
-    buffered = io.BufferedReader(file, 1 << 20)
+    buffered = io.BufferedReader(file, BLOCK)
     at = max(0, first - 1)
     if first:
         at += len(buffered.readline())
-    while at < end and (line := buffered.readline()):
-        at += len(line)
-        yield from line.decode("utf-8", "replace").splitlines() if b"\r" in line.rstrip(b"\r\n") else (line.decode("utf-8", "replace"),)
+    while at < end and (data := buffered.read(min(BLOCK, end - at))):
+        if not data.endswith(b"\n"):
+            data += buffered.readline()
+        at += len(data)
+        plain = data.replace(b"\r\n", b"\n")
+        yield _ended(plain.decode("utf-8", "replace")) if b"\r" not in plain else list(_mixed(data))
+
+
+def _mixed(data: bytes) -> Iterator[str]:
+    """Lines of which some end in, or are parted by, a carriage return alone."""
+    for line in io.BytesIO(data):
+        text = line.decode("utf-8", "replace")
+        yield from (x.rstrip("\r\n") for x in (text.splitlines() if b"\r" in line.rstrip(b"\r\n") else (text,)))
+
 
+class _Batches:
+    """Record batches of a range's lines, which are counted on."""
 
-class _Batch:
     def __init__(self, path: str, offset: int):
         self.path, self.offset, self.next = path, offset, 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.members, self.numbers, self.lines, self.errors, self.size = [], [], [], [], 0
-
-    def add(self, member: str | None, line: str | None, error: str | None = None) -> None:
-        self.members.append(member)
-        self.numbers.append(self.next)
-        self.lines.append(line)
-        self.errors.append(error)
-        self.next, self.size = self.next + 1, self.size + len(line or "")
-
-    def all(self, member: str, lines: Iterator[str]) -> Iterator[pa.RecordBatch]:
-        for line in lines:
-            self.add(member, line.rstrip("\r\n"))
-            if len(self.lines) >= LINES or self.size >= CHARACTERS:
-                yield self.made()
-
-    def made(self) -> pa.RecordBatch:
-        n = len(self.lines)
-        columns = [pa.array([self.path] * n), pa.array(self.members, pa.string()), pa.array([self.offset] * n), pa.array(self.numbers), pa.array(self.lines, pa.string()), pa.array(self.errors, pa.string())]
-        self.clear()
+
+    def all(self, member: str, blocks: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
+        for lines in blocks:
+            for at in range(0, len(lines), LINES):
+                yield self._made(member, lines[at : at + LINES], None)
+
+    def single(self, member: str | None, error: str | None = None) -> pa.RecordBatch:
+        return self._made(member, [None], error)
+
+    def _made(self, member: str | None, lines: list[str | None], error: str | None) -> pa.RecordBatch:
+        n, first = len(lines), self.next
+        self.next += n
+        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+        columns = [same(self.path, pa.string()), same(member, pa.string()), same(self.offset, pa.int64()), pa.array(np.arange(first, self.next)), pa.array(lines, pa.string()), same(error, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -199,8 +230,7 @@ def _packed(folder: str, member: str):
         beside = f"{place}/.{name}-{context.taskAttemptId()}"
         with system.open_output_stream(beside) as out, zipfile.ZipFile(_Unseekable(out), "w", zipfile.ZIP_DEFLATED) as archive, archive.open(f"{name}{member}", "w", force_zip64=True) as text:
             for batch in batches:
-                for line in batch.column(0).to_pylist():
-                    text.write((line or "").encode() + b"\n")
+                text.write("".join([f"{line or ''}\n" for line in batch.column(0).to_pylist()]).encode())
         system.move(beside, f"{place}/{name}.zip")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.zip"])], names=["path"])
 
